@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, fingerprints, line_dedup, mixing, packing, secrets, simhash, toxicity, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_texts(_docs(spark, sf_dir))
+    a, e, n = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.printed(a).alias("fingerprint"),
+        fingerprints.printed(e).alias("edited_fingerprint"),
+        fingerprints.likeness(a, e).alias("near_edited"),
+        fingerprints.likeness(a, n).alias("near_next"),
+        fingerprints.containment(a, e).alias("held_edited"),
+        fingerprints.containment(a, n).alias("held_next"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup.exact_dedup(_docs(spark, sf_dir))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -60,17 +76,39 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets.scan(_docs(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return done.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.printed(F.col("base")), 256).alias("base_sha256"),
+        secrets.printed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_docs(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL}
