@@ -12,11 +12,12 @@ packed once each. An empty table gives an empty result. Other columns are not re
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,10 @@ from .common import small_batches, text_of
 SEQUENCE = 2048
 END = 1
 #: Texts with other characters than these are tokenised whole. Within these, lower case and white space
-#: are the same to Python and to the tokenizer, and no text holds a special token.
-PLAIN = re.compile("[^\x00-\x1b\x20-ɏ]|<[|]")
-CACHE_WORDS = 500_000
+#: are the same to Arrow, Python and the tokenizer, and no text holds a special token. (RE2 syntax.)
+ODD = r"[^\x{0}-\x{1b}\x{20}-\x{24f}]|<[|]"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+CACHE_WORDS = 700_000
 
 
 class WordCache:
@@ -35,49 +37,93 @@ class WordCache:
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # For single words that are in lower case already: no pattern, no normalising.
+        self.single = Tokenizer.from_file(path)
+        self.single.normalizer = None
+        self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.mark_id = self.whole.token_to_id(self.mark)
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.codes: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Words go to the tokenizer in joined runs, parted by a special token."""
-        runs = [self.mark.join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        parts = [np.array(e.ids + [self.mark_id], np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        got = np.concatenate(parts)
-        ends = np.flatnonzero(got == self.mark_id)
-        starts = np.r_[0, ends[:-1] + 1]
-        self.codes.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> None:
+        at = len(self.starts)
+        self.codes.update(zip(words, range(at, at + len(words)), strict=True))
         self.starts = np.r_[self.starts, starts + len(self.flat)]
-        self.sizes = np.r_[self.sizes, ends - starts]
-        self.flat = np.r_[self.flat, got]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.flat = np.r_[self.flat, ids]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, t in enumerate(texts) if not PLAIN.search(t)]
-        out: list = [None] * len(texts)
-        words = [texts[i].lower().split() for i in plain]
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these codes, one after the other, and where each word's end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)], ends
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters, and such words with marks after them, go through the short path; others are
+        tokenised as they stand, parted by a special token."""
+        plain, pairs, rest = set(), [], []
+        for w in words:
+            if w.isalpha():
+                plain.add(w)
+            else:
+                core = w.rstrip(MARKS)
+                if core.isalpha():
+                    pairs.append((w, core, w[len(core) :]))
+                elif core:
+                    rest.append(w)
+                else:
+                    plain.add(w)
+        plain.update(x for _, core, tail in pairs for x in (core, tail))
+        fresh = list(plain.difference(self.codes))
+        if fresh:
+            runs = [" ".join(fresh[i : i + 64]) for i in range(0, len(fresh), 64)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.single.encode_batch_fast(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            starts = np.r_[0, ends[:-1]]
+            self._add(fresh, ids, ends - starts, starts)
+        pairs = [x for x in pairs if x[0] not in self.codes]
+        if pairs:
+            ids, ends = self._gather(np.array([self.codes[x] for p in pairs for x in p[1:]]))
+            ends = ends[1::2]
+            starts = np.r_[0, ends[:-1]]
+            self._add([p[0] for p in pairs], ids, ends - starts, starts)
+        if rest:
+            runs = [self.mark.join(rest[i : i + 64]) for i in range(0, len(rest), 64)]
+            ids = np.concatenate([np.array(e.ids + [self.mark_id], np.uint32) for e in self.whole.encode_batch_fast(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.mark_id)
+            starts = np.r_[0, ends[:-1] + 1]
+            self._add(rest, ids, ends - starts, starts)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.match_substring_regex(texts, ODD)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.codes) > self.most:
             self._clear()
-        new = set().union(*words).difference(self.codes) if words else set()
-        if new:
-            self._learn(list(new))
-        code = self.codes.__getitem__
-        for i, own in zip(plain, words, strict=True):
-            at = np.fromiter(map(code, own), np.int64, len(own))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out[i] = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        known = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            unseen = [words[i] for i in new]
+            self._learn(unseen)
+            known[new] = list(map(self.codes.__getitem__, unseen))
+        ids, ends = self._gather(known[coded.indices.to_numpy()])
+        cuts = np.r_[0, ends][lists.offsets.to_numpy()]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -119,14 +165,14 @@ def first_fit_decreasing(sizes: list[int], room: int = SEQUENCE) -> list[tuple[i
 
 def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """(doc_id, ids): every document's ids as little-endian unsigned 32-bit numbers, the end id included."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if "cache" not in held:
                 held["cache"] = WordCache(path)
-            found = held["cache"].encode(b.column("text").to_pylist())
+            found = held["cache"].encode(b.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array([np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in found], pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
