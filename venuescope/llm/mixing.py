@@ -103,13 +103,17 @@ def ordered_sources(names: Iterable) -> list:
     return sorted(names, key=lambda s: (s is None, s or ""))
 
 
+def _place(seed: int, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, share: float = 1.5, weights: tuple = WEIGHTS, repeats: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, members, size, taken, and the targets and sizes of sources as maps in `plan`.
+    """Every row's doc_id, place, members, source (the first member), size, source_size, target, taken.
 
-    members: an array of the sources that hold a document; by default its one source. Returns the rows
-    of every document with columns doc_id, source (first member), size, source_size, target, taken."""
+    members: an array of the sources that hold a document; by default its one source. The sizes and
+    targets are those of the first member."""
     members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
-    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), word_count(F.col(text_col)).alias("size"), _place(seed, id_col, text_col).alias("place"))
     rows = written(rows.withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int")), "mix")
     patterns = rows.groupBy("members").agg(F.sum("size").cast("long").alias("size")).collect()
     supply = {tuple(r.members): r.size or 0 for r in patterns}
@@ -133,9 +137,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     # One row a pattern: as many as there are sources and overlaps, which the driver has held already.
     told = rows.join(F.broadcast(known), rows.members.eqNullSafe(F.col("pattern")), "left").join(F.broadcast(by_source), F.element_at("members", 1).eqNullSafe(F.col("source")), "left")
     told = told.withColumn("round", F.when(F.col("cut").isNull() & (F.col("rest") > 0), F.col("size")).when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    keep = ["doc_id", "members", "source", "size", "source_size", "target", "rounds"]
+    keep = ["doc_id", "place", "members", "source", "size", "source_size", "target", "rounds"]
     inside = Window.partitionBy("members", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = told.where("bucket = cut").withColumn("run", F.sum("size").over(inside) - F.col("size") + F.col("before"))
     last = last.withColumn("round", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("run"))).cast("long"))
     parts = told.where("cut is null or bucket <> cut").select(*keep, "round").unionByName(last.select(*keep, "round"))
     return parts.withColumn("taken", (F.col("rounds") * F.col("size") + F.col("round")).cast("long")).drop("rounds", "round")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **how: object) -> DataFrame:
+    """The rows of docs as often as the mix takes their words; a last, partial copy keeps its first words.
+
+    All columns stay, whatever their names. Rows alike in id and text are taken alike."""
+    taken = mix(docs, id_col, text_col, seed=seed, **how).where("taken > 0").groupBy(F.col("place").alias("__place")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
+    rows = docs.withColumn("__at", _place(seed, id_col, text_col)).join(taken, F.col("__at") == F.col("__place"))
+    whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.pmod(F.col("__taken"), F.col("__size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("__words", F.explode(copies))
+    return rows.withColumn(text_col, F.when(F.col("__words") < 0, F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("__words")))).select(*docs.columns)
+
+
+def _first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of its first `words` words, white space between them kept."""
+    gaps = F.split(text, r"[^\x20\x09-\x0D]+", -1)
+    found = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), words), F.slice(found, F.lit(1), words), lambda g, w: F.array(g, w))), "")

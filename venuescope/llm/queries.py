@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, line_dedup, mixing, packing, secrets, simhash, toxicity, url_filter
+from . import exact_dedup, fingerprints, line_dedup, mixing, packing, pii, secrets, simhash, toxicity, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.regexp_count("spans", F.lit(rf"(^|,){kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), *counts)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -106,6 +112,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
