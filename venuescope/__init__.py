@@ -1,0 +1 @@
+"""Analytics of review text about places, as operators from DataFrame to DataFrame."""
