@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of
+from .common import id_of, key_of, text_of, written
 
 WORDS = 5
 FRACTION = 1 / 8
@@ -122,7 +122,8 @@ def _heads(docs: DataFrame) -> DataFrame:
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows (key, text, ...) with next_<column> of the next row by key, after the last that of the first."""
     own = rows.withColumn("range", F.shiftright("key", RANGE_BITS)).withColumn("guest", F.lit(0))
-    heads = _heads(rows.select("key"))
+    # Written first: its size is known then, and texts are not shuffled to find a few of them.
+    heads = written(_heads(rows.select("key")), "heads")
     guests = rows.join(heads, F.col("key") == F.col("first")).withColumn("guest", F.lit(1)).withColumnRenamed("before", "range").drop("first")
     order = Window.partitionBy("range").orderBy("guest", "key", "text")
     both = own.unionByName(guests)
