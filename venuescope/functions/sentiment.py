@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENT_VALUES
-from .text import collapse, is_metadata, is_number, keyword_hits, strip, truncated
+from .text import collapse, is_metadata, is_number, keyword_hits, let, strip, truncated
 
 
 def hint_key(hint: Column) -> Column:
@@ -25,8 +25,8 @@ def hint_value(key: Column) -> Column:
 def lexicon_score(text: Column, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS, step: float = 0.12) -> Column:
     """0.05 to 0.95: a step from 0.5 for every word of either list that the text holds."""
     own = F.lower(collapse(F.coalesce(text, F.lit(""))))
-    raw = 0.5 + keyword_hits(own, positive) * step - keyword_hits(own, negative) * step
-    return F.greatest(F.lit(0.05), F.least(F.lit(0.95), raw))
+    raw = lambda t: 0.5 + keyword_hits(t, positive) * step - keyword_hits(t, negative) * step
+    return F.greatest(F.lit(0.05), F.least(F.lit(0.95), let(own, raw)))
 
 
 def lexicon_result(score: Column) -> Column:
@@ -66,7 +66,7 @@ def routed(text: Column, model: Callable[[Column], Column], rating: Column | Non
     """Numbers by the rating rule, headings by the rating (else 0.5), other text by the model, cut to length."""
     known = rating_score(rating) if rating is not None else F.lit(None).cast("double")
     number = rating_score(strip(text).try_cast("double"))
-    return F.when(is_number(text), number).when(is_metadata(text), F.coalesce(known, F.lit(0.5))).otherwise(model(truncated(text)))
+    return F.when(is_number(text), number).when(is_metadata(text), F.coalesce(known, F.lit(0.5))).otherwise(let(truncated(text), model))
 
 
 def model_udf(load: Callable[[], Callable[[list[str]], list[float]]]):

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENDS = r"^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, ENDS, "")
@@ -25,16 +32,17 @@ def place_key(name: Column, district: Column, neighborhood: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences without their ends: a piece of one character is dropped, a text without pieces is its own."""
-    whole = strip(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(whole, r"[.!?]\s+"), strip), lambda s: F.length(s) > 1)
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(whole)).otherwise(parts)
+    return let(strip(F.coalesce(text, F.lit(""))), lambda whole: _pieces(whole, r"[.!?]\s+"))
+
+
+def _pieces(whole: Column, ends: str) -> Column:
+    parts = F.filter(F.transform(F.split(whole, ends), strip), lambda s: F.length(s) > 1)
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(let(parts, lambda p: F.when(F.size(p) == 0, F.array(whole)).otherwise(p)))
 
 
 def sentences_with_ends(text: Column) -> Column:
     """Sentences that keep their ends, from text with white space collapsed."""
-    whole = collapse(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(whole, r"(?<=[.!?。！？])\s+"), strip), lambda s: F.length(s) > 1)
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(whole)).otherwise(parts)
+    return let(collapse(F.coalesce(text, F.lit(""))), lambda whole: _pieces(whole, r"(?<=[.!?。！？])\s+"))
 
 
 def capped(text: Column, most: int = 500) -> Column:
@@ -49,12 +57,14 @@ def compact(text: Column, most: int = 120) -> Column:
 
 def truncated(text: Column, most: int = 2000, least_share: float = 0.8) -> Column:
     """At most `most` characters, cut after the last space, full stop or line end if that is late enough."""
-    whole = strip(F.coalesce(text, F.lit("")))
-    head = F.substring(whole, 1, most)
-    back = F.reverse(head)
-    last = lambda c: F.when(F.instr(back, c) > 0, most - F.instr(back, c)).otherwise(-1)
-    cut = F.greatest(last(" "), last("."), last("\n"))
-    return F.when(F.length(whole) <= most, whole).when(cut > most * least_share, F.substring(head, F.lit(1), cut + 1)).otherwise(head)
+    back = lambda h, c: F.instr(F.reverse(h), c)
+    last = lambda h, c: F.when(back(h, c) > 0, most - back(h, c)).otherwise(-1)
+
+    def cut(head: Column) -> Column:
+        at = F.greatest(last(head, " "), last(head, "."), last(head, "\n"))
+        return let(at, lambda a: F.when(a > most * least_share, F.substring(head, F.lit(1), a + 1)).otherwise(head))
+
+    return let(strip(F.coalesce(text, F.lit(""))), lambda whole: F.when(F.length(whole) <= most, whole).otherwise(let(F.substring(whole, 1, most), cut)))
 
 
 def is_number(text: Column) -> Column:

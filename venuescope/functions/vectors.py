@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..constants import BLEND_CUT, BLEND_SENTIMENT, BLEND_SIMILARITY
 
@@ -54,7 +55,7 @@ def hash_vector(text: str, buckets: int = 4096, least: int = 2, most: int = 5) -
     return out / norm if norm else out
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hash_encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Vectors for text where no sentence model is at hand."""
     for batch in batches:

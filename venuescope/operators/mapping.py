@@ -25,12 +25,12 @@ def flattened(lines: DataFrame, sentences: DataFrame, factors: list[str], line:
     Lines that do not parse, unknown reviews and sentence numbers out of range are left out."""
     answers = lines.select(F.from_json(F.col(line), ANSWER).alias("a")).where("a is not null")
     reviews = answers.select(F.explode("a.reviews").alias("r")).select(F.col("r.review_index").try_cast("long").alias("review_index"), F.explode("r.items").alias("i"))
-    rows = reviews.select("review_index", F.col("i.sentence_id").try_cast("long").alias("sentence_id"), F.posexplode("i.mappings").alias("at", "m"))
+    rows = reviews.select("review_index", F.col("i.sentence_id").try_cast("long").alias("sentence_id"), F.posexplode("i.mappings").alias("nth", "m"))
     hint = F.lower(strip(F.coalesce("m.sentiment_hint", F.lit("neutral"))))
     clean = rows.select(
         "review_index",
         "sentence_id",
-        "at",
+        "nth",
         strip(F.col("m.factor")).alias("factor"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("m.confidence").try_cast("double"), F.lit(0.0)))).alias("confidence"),
         strip(F.coalesce("m.evidence", F.lit(""))).alias("evidence"),
@@ -42,7 +42,7 @@ def flattened(lines: DataFrame, sentences: DataFrame, factors: list[str], line:
 
 def pivoted(rows: DataFrame, reviews: DataFrame, factors: list[str]) -> DataFrame:
     """Per review and factor: whether mapped, sentences, largest confidence and the different evidence texts."""
-    first = rows.groupBy("review_index", "factor", "evidence").agg(F.min(F.struct("sentence_id", "at")).alias("o"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("c"))
+    first = rows.groupBy("review_index", "factor", "evidence").agg(F.min(F.struct("sentence_id", "nth")).alias("o"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("c"))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "evidence"))), lambda x: x["evidence"]), " | ")
     sums = first.groupBy("review_index").pivot("factor", factors).agg(F.sum("n").alias("count"), F.max("c").alias("confidence"), texts.alias("evidence"))
     joined = reviews.join(sums, "review_index", "left")

@@ -122,7 +122,7 @@ VECTORS_SQL = f"""
 anchors AS (SELECT 'f' || CAST(label AS VARCHAR) AS factor, label AS factor_order, vec_id, embedding FROM
     (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1),
 sentences AS (SELECT (e.vec_id // 10) % 20 AS place, e.vec_id // 10 AS review, e.vec_id AS sentence, e.embedding,
-    coalesce({LEXICON_SQL.format("d.text")}, 0.5) AS sentiment
+    CASE WHEN d.text IS NULL THEN 0.5::DOUBLE ELSE {LEXICON_SQL.format("d.text")} END AS sentiment
     FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id NOT IN (SELECT vec_id FROM anchors)),
 sims AS (SELECT s.place, s.review, s.sentence, s.sentiment, a.factor, a.factor_order,
     list_cosine_similarity(s.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS similarity FROM sentences s CROSS JOIN anchors a),
