@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuescope import constants as C
+from venuescope.functions import format as ff
 from venuescope.functions import geo, text, vectors
 from venuescope.functions import sentiment as fs
 from venuescope.operators import evidence, images, mapping, places, recommend, similarity, spans, stats
@@ -183,3 +184,26 @@ def test_image_answers(spark):
 def test_model_hook(spark):
     score = fs.model_udf(lambda: lambda texts: [len(t) / 10 for t in texts])
     assert [r.v for r in spark.createDataFrame([("abc",), (None,)], "t string").select(score("t").alias("v")).collect()] == [0.3, 0.0]
+
+
+def test_formats(one):
+    assert one(ff.score(F.lit(0.1234567))) == "0.123" and one(ff.score(F.lit(None).cast("double"))) == "-"
+    assert [one(ff.signed(F.lit(v))) for v in (0.25, -0.25, -0.0001)] == ["+0.250", "-0.250", "0.000"]
+    assert one(ff.percent(F.lit(0.125))) == "12.5%" and one(ff.count(F.lit(1234567), "개")) == "1,234,567개"
+    assert one(similarity.summary(F.lit(0.5), F.lit(0.1), F.lit("a"), F.lit(""))) == "[0.500 ± 0.100, +a, -]"
+
+
+def test_chart_rows(spark):
+    df = spark.createDataFrame([("A", "f1", 0, 0.1), ("A", "f2", 1, 0.2)], "place string, factor string, factor_order int, fsi double")
+    assert [(r.factor, r.point) for r in ff.radar(df).orderBy("point").collect()] == [("f1", 1), ("f2", 2), ("f1", 3)]
+    points = spark.createDataFrame([(1.0, 2.0, 3), (1.0, None, 3)], "lat double, lng double, v int")
+    assert [r.row for r in ff.heat(points, "v").collect()] == [[1.0, 2.0, 3.0]]
+    wide = spark.createDataFrame([(1, 2, 3)], "place int, s_a int, s_a_calc int")
+    assert ff.by_suffix(wide, "_calc").columns == ["place", "s_a"] and ff.by_prefix(wide, "s_", "place").columns == wide.columns
+
+
+def test_names_and_blanks(spark):
+    df = spark.createDataFrame([("a", " "), (None, "x"), ("b", "y")], "name string, t string")
+    own = places.with_defaults(df, {"name": "place", "t": "review_text", "zzz": "other"})
+    assert own.columns == ["name", "t", "place", "review_text"] and [r.place for r in places.known_reviews(own).collect()] == ["b"]
+    assert [r.name for r in places.only_blank(df.dropna(), "name", "t").collect()] == ["a"]

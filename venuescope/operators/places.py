@@ -104,3 +104,27 @@ def nearest(points: DataFrame, stations: DataFrame, reach_m: float = 600.0, degr
     found = found.withColumn("minutes", walking_minutes(F.col("metres")))
     best = found.groupBy("point").agg(F.min(F.struct("minutes", "ordinal", "station", "kind", "metres")).alias("b"))
     return points.join(best, "point", "left").select("point", F.col("b.station").alias("station"), F.col("b.kind").alias("kind"), F.col("b.minutes").alias("minutes"), F.col("b.metres").alias("metres"))
+
+
+def row_slice(rows: DataFrame, start: int, stop: int, ordinal: str = "ordinal") -> DataFrame:
+    """Rows from position `start` to before `stop` by an ordinal."""
+    return numbered(rows, ordinal, "__at").where((F.col("__at") >= start) & (F.col("__at") < stop)).drop("__at")
+
+
+def districts_of(names: DataFrame, known: DataFrame) -> DataFrame:
+    """The district of every name (place): of the same place, else of the place that is its first word, else
+    of the first known place that starts with or holds that word.
+
+    known: k_place, district, ordinal. The first two steps are equi-joins; the last takes only names that
+    both left over, against the known places, which are a dimension."""
+    word = F.element_at(F.split("place", " "), 1)
+    firsts = known.where("district is not null").groupBy("k_place").agg(F.min(F.struct("ordinal", "district")).alias("d"))
+    firsts = firsts.select("k_place", F.col("d.ordinal").alias("ordinal"), F.col("d.district").alias("district"))
+    exact = firsts.select(F.col("k_place").alias("place"), F.col("district").alias("d1"))
+    begun = firsts.select(F.col("k_place").alias("word"), F.col("district").alias("d2"))
+    told = names.select("place").distinct().withColumn("word", word).join(exact, "place", "left").join(begun, "word", "left")
+    rest = told.where("d1 is null and d2 is null").select("place", "word")
+    found = rest.join(firsts, F.col("k_place").contains(F.col("word"))).groupBy("place").agg(F.min(F.struct("ordinal", "district")).alias("d"))
+    out = told.join(found, "place", "left")
+    tier = F.when(F.col("d1").isNotNull(), 1).when(F.col("d2").isNotNull(), 2).when(F.col("d").isNotNull(), 3)
+    return out.select("place", F.coalesce("d1", "d2", "d.district").alias("district"), tier.alias("tier"))

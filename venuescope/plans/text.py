@@ -204,6 +204,17 @@ def tiered_place_match(spark, d):
     return places.matched(own, points).select("place", "tier", "match")
 
 
+def district_lookup(spark, d):
+    rows = _rows(spark, d)
+    known = rows.where("review % 3 <> 0").select(F.concat("place", F.when(F.col("place").isin("src3", "src14"), " x").otherwise("")).alias("k_place"), "district", F.col("review").alias("ordinal"))
+    names = rows.select(F.concat("place", F.when(F.col("review") % 2 == 0, F.lit(" east")).otherwise("")).alias("place")).unionByName(spark.createDataFrame([("nowhere at all",)], "place string"))
+    return places.districts_of(names, known)
+
+
+def row_slice(spark, d):
+    return places.row_slice(_rows(spark, d), 40, 90, "review").select("review", "place")
+
+
 def group_evaluation(spark, d):
     rows = _rows(spark, d)
     n = F.size(ft.sentences(F.col("review_text")))
@@ -239,7 +250,7 @@ def evidence_spans(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans)
+    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans)
 }
 
 W = f"WITH {b.REVIEWS_SQL}"
@@ -340,6 +351,14 @@ ORACLE_SQL = {
         m AS (SELECT review, CASE WHEN n = name THEN 1 ELSE 2 END AS tier, o FROM p JOIN k ON kd = district AND (hood IS NULL OR hood = kn) AND starts_with(n, name)),
         f AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY tier, o) AS r FROM m)
         SELECT p.review AS place, f.tier, f.o AS match FROM p LEFT JOIN f ON p.review = f.review AND f.r = 1""",
+    "district_lookup": f"""{W}, k0 AS (SELECT place || CASE WHEN place IN ('src3', 'src14') THEN ' x' ELSE '' END AS k, district, review AS o FROM reviews WHERE review % 3 <> 0),
+        k AS (SELECT k, arg_min(district, o) AS district, min(o) AS o FROM k0 GROUP BY k),
+        n AS (SELECT DISTINCT place || CASE WHEN review % 2 = 0 THEN ' east' ELSE '' END AS place FROM reviews UNION SELECT 'nowhere at all'),
+        w AS (SELECT place, string_split(place, ' ')[1] AS word FROM n),
+        j AS (SELECT w.place, a.district AS d1, b.district AS d2, (SELECT arg_min(c.district, c.o) FROM k c WHERE contains(c.k, w.word)) AS d3
+              FROM w LEFT JOIN k a ON a.k = w.place LEFT JOIN k b ON b.k = w.word)
+        SELECT place, coalesce(d1, d2, d3) AS district, CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN d3 IS NOT NULL THEN 3 END AS tier FROM j""",
+    "row_slice": f"{W} SELECT review, place FROM reviews ORDER BY review LIMIT 50 OFFSET 40",
     "group_evaluation": rf"""{W}, s AS (SELECT *, {_strip("review_text")} AS t FROM reviews),
         n AS (SELECT *, len(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1)) AS k FROM s)
         SELECT place, district, CAST(count_if(t <> '') AS BIGINT) AS reviews, CAST(sum(CASE WHEN t = '' THEN 0 WHEN k = 0 THEN 1 ELSE k END) AS BIGINT) AS sentences, round(avg(rating), 6) + 0.0 AS rating,
