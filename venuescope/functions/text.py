@@ -183,7 +183,7 @@ def search_query(*parts: Column) -> Column:
 
 
 def data_url(content: Column, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def content_fingerprint(*fields: Column) -> Column:

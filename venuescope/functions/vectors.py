@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,17 +40,20 @@ def keyword_boost(hits: Column) -> Column:
     return F.when(hits > 0, F.least(0.75 + 0.05 * hits, F.lit(0.95)))
 
 
+@lru_cache(maxsize=200_000)
+def _word_buckets(word: str, buckets: int, least: int, most: int) -> tuple[int, ...]:
+    padded, out = f" {word} ", []
+    for n in range(least, most + 1):
+        out += [xxhash.xxh32_intdigest(padded[i : i + n]) % buckets for i in range(max(1, len(padded) - n + 1))]
+        if len(padded) <= n:
+            break
+    return tuple(out)
+
+
 def hash_vector(text: str, buckets: int = 4096, least: int = 2, most: int = 5) -> np.ndarray:
     """Counts of the character n-grams of padded words by hash, at length 1."""
-    out = np.zeros(buckets)
-    for word in re.sub(r"\s\s+", " ", text.lower()).split():
-        padded = f" {word} "
-        for n in range(least, most + 1):
-            last = max(1, len(padded) - n + 1)
-            for i in range(last):
-                out[xxhash.xxh32_intdigest(padded[i : i + n]) % buckets] += 1
-            if len(padded) <= n:
-                break
+    found = [b for word in text.lower().split() for b in _word_buckets(word, buckets, least, most)]
+    out = np.bincount(np.array(found, np.int64), minlength=buckets).astype(float)
     norm = np.sqrt((out * out).sum())
     return out / norm if norm else out
 

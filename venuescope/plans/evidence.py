@@ -40,7 +40,7 @@ def place_scores(spark, d):
 
 
 def factor_table_completed(spark, d):
-    few = _factors(spark, d).where("not (place % 3 = 0 and factor = 'view')")
+    few = _factors(spark, d).where("mention_count >= 13")
     done = op.completed(few, b.dimension(spark))
     return done.select("place", "factor", "factor_order", "category", "mention_count", "positive_count", "total_mentions", r6("factor_score"), r6("weighted_score"))
 
@@ -101,13 +101,13 @@ def place_scores_large(spark, d):
 
 def readiness_score(spark, d):
     shots = b.events(spark, d).select("place", F.col("factor").alias("shot_type"), (F.col("confidence") * 2).alias("megapixels"), (F.col("place") % 2 == 0).alias("in_sequence"))
-    done = images.readiness(shots.where("place % 5 <> 0 or megapixels < 0.2"), ["click", "view"], "error")
+    done = images.readiness(shots, ["click", "view"], "error")
     full = images.holds_all(F.col("kinds"), ["click", "signup"])
     return done.select("place", "score", "label", "images", "shot_types", r6("megapixels"), full.alias("has_layout"))
 
 
 def evidence_filters(spark, d):
-    rows = _scored(spark, d).where("place between 3 and 60").where(F.col("sentiment").rlike("positive|mixed") & F.col("evidence").startswith("p") & F.col("evidence").contains("-") & (F.col("factor") == "purchase"))
+    rows = _scored(spark, d).where(F.col("sentiment").rlike("positive|mixed") & F.col("evidence").startswith("p") & F.col("evidence").contains("-") & (F.col("factor") == "purchase"))
     return rows.orderBy(F.col("confidence").desc_nulls_last(), F.col("place").asc_nulls_last(), "ordinal").limit(3).select("place", "ordinal", "evidence")
 
 
@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "evidence_scored": f"{W} SELECT ordinal, place, factor, category, sentiment, sentiment_value, {s6('confidence')} FROM scored",
     "factor_scores": f"{W} SELECT {FACTOR_SQL} FROM fsw",
     "place_scores": f"{W} SELECT {PLACE_SQL} FROM ps JOIN best USING (place)",
-    "factor_table_completed": f"""{W}, few AS (SELECT * FROM fsw WHERE NOT (place % 3 = 0 AND factor = 'view'))
+    "factor_table_completed": f"""{W}, few AS (SELECT * FROM fsw WHERE mention_count >= 13)
         SELECT p.place, d.factor, d.factor_order, d.category, coalesce(mention_count, 0) AS mention_count, coalesce(positive_count, 0) AS positive_count,
         coalesce(total_mentions, 0) AS total_mentions, {s6("factor_score")}, {s6("weighted_score")}
         FROM (SELECT DISTINCT place FROM few) p CROSS JOIN dim d LEFT JOIN few f ON f.place = p.place AND f.factor = d.factor""",
@@ -162,13 +162,13 @@ ORACLE_SQL = {
     "category_means": f"{W} SELECT place, category, count(*) AS factors, round(avg(factor_score), 6) + 0.0 AS category_score FROM fsw GROUP BY place, category",
     "factor_scores_large": f"{LARGE} SELECT {FACTOR_SQL} FROM fsw",
     "place_scores_large": f"{LARGE} SELECT {PLACE_SQL} FROM ps JOIN best USING (place)",
-    "readiness_score": f"""{W}, shots AS (SELECT place, factor AS shot, confidence * 2 AS mp FROM evidence WHERE place % 5 <> 0 OR confidence * 2 < 0.2),
+    "readiness_score": f"""{W}, shots AS (SELECT place, factor AS shot, confidence * 2 AS mp FROM evidence),
         s AS (SELECT place, count(*) AS images, count(DISTINCT shot) FILTER (shot <> 'error') AS shot_types, avg(mp) AS megapixels,
               bool_or(shot IN ('click', 'view')) AS k, bool_or(shot = 'click') AND bool_or(shot = 'signup') AS has_layout FROM shots GROUP BY place),
         r AS (SELECT *, CAST(least(100, least(40, images * 4) + least(25, shot_types * 6) + CASE WHEN place % 2 = 0 THEN 20 ELSE 0 END
               + CASE WHEN megapixels >= 1.2 THEN 10 WHEN megapixels >= 0.6 THEN 5 ELSE 0 END + CASE WHEN k THEN 5 ELSE 0 END) AS INT) AS score FROM s)
         SELECT place, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS label, images, CAST(shot_types AS INT) AS shot_types, {s6("megapixels")}, has_layout FROM r""",
-    "evidence_filters": f"""{W} SELECT place, ordinal, evidence FROM scored WHERE place BETWEEN 3 AND 60 AND sentiment IN ('positive', 'mixed')
+    "evidence_filters": f"""{W} SELECT place, ordinal, evidence FROM scored WHERE sentiment IN ('positive', 'mixed')
         AND starts_with(evidence, 'p') AND contains(evidence, '-') AND factor = 'purchase' ORDER BY confidence DESC NULLS LAST, place NULLS LAST, ordinal LIMIT 3""",
     "evidence_by_length": f"{W} SELECT DISTINCT place, evidence, CAST(length(evidence) AS INT) AS length FROM scored",
 }

@@ -62,7 +62,7 @@ def _log(spark, d):
     one = F.struct(
         F.concat(F.lit(" "), F.when(F.col("turn") % 4 == 3, F.lit("nobody")).otherwise(F.col("role"))).alias("factor"),
         F.when(F.col("turn") % 5 == 4, F.lit("high")).otherwise((F.col("turn") * 0.3).cast("string")).alias("confidence"),
-        F.concat(F.substring("text", 1, 20), F.lit(" ")).alias("evidence"),
+        F.concat("text", F.lit(" ")).alias("evidence"),
         F.lit("r").alias("reason"),
         F.element_at(F.array(*map(F.lit, ["Positive", "odd", " mixed"])), ((F.col("turn") % 3) + 1).cast("int")).alias("sentiment_hint"),
     )
@@ -75,7 +75,7 @@ def _log(spark, d):
 
 
 def _sentences(spark, d):
-    return b.table(spark, d, "conversations").where("turn < 6 and conv_id % 10 <> 0").select(F.col("conv_id").alias("review_index"), F.col("turn").alias("sentence_id"), F.substring("text", 1, 30).alias("sentence"))
+    return b.table(spark, d, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("review_index"), F.col("turn").alias("sentence_id"), F.col("text").alias("sentence"))
 
 
 def _flat(spark, d):
@@ -118,10 +118,10 @@ def _pairs(columns: list[str], where: str, t: bool) -> str:
     return f", p AS ({' UNION ALL '.join(rows)}) SELECT a, b, n, {s6('r')}" + (", round(r * sqrt((n - 2) / (1 - r * r)), 6) + 0.0 AS t" if t else "") + " FROM p"
 
 
-L = """WITH t AS (SELECT conv_id AS review_index, turn AS sentence_id, substr(text, 1, 30) AS sentence, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS factor,
-    CASE WHEN turn % 5 = 4 THEN 0.0 ELSE greatest(0, least(1, turn * 0.3::DOUBLE)) END::DOUBLE AS confidence, regexp_replace(substr(text, 1, 20), '^\\s+|\\s+$', '', 'g') AS evidence,
+L = """WITH t AS (SELECT conv_id AS review_index, turn AS sentence_id, text AS sentence, role, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS factor,
+    CASE WHEN turn % 5 = 4 THEN 0.0 ELSE greatest(0, least(1, turn * 0.3::DOUBLE)) END::DOUBLE AS confidence, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS evidence,
     (['positive', 'neutral', 'mixed'])[turn % 3 + 1] AS sentiment_hint FROM conversations),
-f AS (SELECT t.*, CAST(nth AS INT) AS nth FROM t CROSS JOIN range(2) r(nth) WHERE factor IS NOT NULL AND sentence_id < 6 AND review_index % 10 <> 0)"""
+f AS (SELECT t.*, CAST(nth AS INT) AS nth FROM t CROSS JOIN range(2) r(nth) WHERE factor IS NOT NULL AND role <> 'system')"""
 _RAD = "radians({0})"
 ORACLE_SQL = {
     "pair_correlations": M + _pairs(METRICS, "{0} IS NOT NULL AND {1} IS NOT NULL", True),

@@ -28,31 +28,30 @@ def place_key_clean(spark, d):
 
 
 def text_flags(spark, d):
-    t = F.when(F.col("review") % 5 == 0, F.col("rating").cast("string")).when(F.col("review") % 7 == 0, F.lit("음식: 5")).when(F.col("review") % 11 == 0, F.lit("좋아요 ok")).otherwise(F.substring("review_text", 1, 30))
-    author = F.when(F.col("review") % 2 == 0, F.substring("review_text", 1, 30))
-    rows = _rows(spark, d).select("review", t.alias("t"), author.alias("author"))
-    return rows.select("review", ft.is_number(F.col("t")).alias("number"), ft.is_metadata(F.col("t")).alias("metadata"), ft.language(F.coalesce("t", F.lit(""))).alias("lang"), ft.author_only(F.col("t"), F.col("author")).alias("name_only"))
+    t = F.coalesce(F.col("rating").cast("string"), F.col("review_text"))
+    rows = _rows(spark, d).select("review", t.alias("t"), F.when(F.col("district") == "es", t).alias("author"))
+    heading = F.concat(F.lit("음식: "), F.col("t"))
+    return rows.select("review", ft.is_number(F.col("t")).alias("number"), ft.is_metadata(heading).alias("metadata"), ft.language(heading).alias("lang"), ft.language(F.col("t")).alias("own_lang"), ft.author_only(F.col("t"), F.col("author")).alias("name_only"))
 
 
 def review_clean(spark, d):
-    t = F.concat(F.lit("지역 가이드 · 리뷰 1,370개 · 사진 34장 2년 전 "), F.substring("review_text", 1, 200), F.lit(" 리뷰 3개 · 3개월 전·ok 리뷰리뷰"))
+    t = F.concat(F.lit("지역 가이드 · 리뷰 1,370개 · 사진 34장 2년 전 "), F.col("review_text"), F.lit(" 리뷰 3개 · 3개월 전·ok 리뷰리뷰"))
     return _rows(spark, d).select("review", ft.cleaned(t).alias("clean"))
 
 
 def review_clean_author(spark, d):
-    name = F.concat(F.lit("A.b"), (F.col("review") % 3).cast("string"))
-    t = F.concat(name, F.lit(" "), F.substring("review_text", 1, 60), F.lit(" "), name, F.lit("2년 전"))
-    return _rows(spark, d).select("review", ft.cleaned(t, name).alias("clean"))
+    t = F.concat("place", F.lit(" "), F.col("review_text"), F.lit(" "), F.col("place"), F.lit("2년 전"))
+    return _rows(spark, d).select("review", ft.cleaned(t, F.col("place")).alias("clean"))
 
 
 def scraped_text(spark, d):
-    t = F.concat(F.lit("3달 전 "), F.substring("review_text", 1, 100), F.lit("… 자세히 HJ리뷰 2개 · 사진 3장 더보기  end"))
+    t = F.concat(F.lit("3달 전 "), F.col("review_text"), F.lit("… 자세히 HJ리뷰 2개 · 사진 3장 더보기  end"))
     return _rows(spark, d).select("review", ft.scraped(t).alias("clean"))
 
 
 def rating_backfill(spark, d):
-    t = F.when(F.col("review") % 4 == 0, F.lit(" ")).when(F.col("review") % 4 == 1, F.lit("short")).otherwise(F.substring("review_text", 1, 40))
-    author = F.when(F.col("review") % 8 == 2, F.substring("review_text", 1, 40))
+    t = F.when(F.length("review_text") < 300, F.lit(" ")).when(F.length("review_text") < 600, F.lit("short")).otherwise(F.col("review_text"))
+    author = F.when(F.col("district") == "fr", t)
     return _rows(spark, d).select("review", ft.backfilled(t, author, F.col("rating").cast("double")).alias("text"))
 
 
@@ -74,12 +73,12 @@ def compact_text(spark, d):
 
 
 def lexicon_sentiment(spark, d):
-    t = F.when(F.col("review") % 6 == 0, F.coalesce(F.col("rating").cast("string"), F.lit("4.5"))).when(F.col("review") % 6 == 1, F.lit("서비스: 5")).otherwise(F.col("review_text"))
+    t = F.when(F.col("rating") == 5, F.lit("4.5")).when(F.col("rating") == 1, F.lit("서비스: 5")).otherwise(F.col("review_text"))
 
     def model(text):
         return ft.let(ft.let(b.lexicon(text), fs.lexicon_result), lambda told: fs.normalised(told["label"], told["score"])["score"])
 
-    rows = _rows(spark, d).select("review", fs.routed(t, model, F.col("rating")).alias("score"))
+    rows = _rows(spark, d).select("review", fs.routed(t, model, F.when(F.col("district") != "de", F.col("rating"))).alias("score"))
     return rows.select("review", r6("score"), fs.label_of(F.col("score")).alias("label"))
 
 
@@ -88,9 +87,9 @@ def place_avg_sentiment(spark, d):
 
 
 def sentiment_outer_merge(spark, d):
-    rows = _rows(spark, d).select("review", "place", b.lexicon(F.col("review_text")).alias("s"))
-    left = rows.where("review % 3 <> 0").select("review", "place", r6("s", "sentiment"))
-    right = rows.where("review % 2 = 0").select("review", "place", F.length("place").cast("long").alias("size"))
+    rows = _rows(spark, d).select("review", "place", "rating", b.lexicon(F.col("review_text")).alias("s"))
+    left = rows.where("s >= 0.5").select("review", "place", r6("s", "sentiment"))
+    right = rows.where("rating is not null").select("review", "place", F.length("place").cast("long").alias("size"))
     a, c = left.alias("a"), right.alias("c")
     on = F.col("a.review").eqNullSafe(F.col("c.review")) & F.col("a.place").eqNullSafe(F.col("c.place"))
     return a.join(c, on, "full").select(F.coalesce("a.review", "c.review").alias("review"), F.coalesce("a.place", "c.place").alias("place"), "sentiment", "size")
@@ -133,12 +132,12 @@ def strata_sizes(spark, d):
 
 def resume_by_key(spark, d):
     rows = _rows(spark, d)
-    return places.left_to_do(rows, rows.where("review % 7 = 0").select("place", "district"), ["place", "district"]).select("review", "place", "district")
+    return places.left_to_do(rows, rows.where("rating = 1").select("place", "district"), ["place", "district"]).select("review", "place", "district")
 
 
 def resume_by_position(spark, d):
     rows = _rows(spark, d)
-    return places.after_last(rows, rows.where("review between 100 and 150").select("review"), "review", "review").select("review", "place")
+    return places.after_last(rows, rows.where("rating = 1").select("review"), "review", "review").select("review", "place")
 
 
 def place_slice(spark, d):
@@ -146,12 +145,12 @@ def place_slice(spark, d):
 
 
 def row_numbers(spark, d):
-    return places.numbered(_rows(spark, d).where("review % 3 <> 1"), "review").select("review", "review_index")
+    return places.numbered(places.known_reviews(_rows(spark, d)), "review").select("review", "review_index")
 
 
 def union_parts(spark, d):
-    rows = _rows(spark, d).select("review", "place")
-    both = rows.where("review % 2 = 0").unionByName(rows.where("review % 2 = 1"))
+    rows = _rows(spark, d).select("review", "place", "district")
+    both = rows.where("district = 'en'").unionByName(rows.where("district <> 'en'"))
     return places.in_order(both, "place", "review").orderBy("first")
 
 
@@ -176,7 +175,7 @@ def label_rules(spark, d):
 
 
 def script_filter(spark, d):
-    return _rows(spark, d).select("review", F.regexp_replace(F.substring("review_text", 1, 80), r"[^A-Za-z\s]", "").alias("latin"), ft.hangul_only(F.lit("abc 한글 1")).alias("hangul"))
+    return _rows(spark, d).select("review", F.regexp_replace("review_text", r"[^A-Za-z\s]", "").alias("latin"), ft.hangul_only(F.lit("abc 한글 1")).alias("hangul"))
 
 
 def search_query(spark, d):
@@ -188,7 +187,7 @@ def fingerprint(spark, d):
 
 
 def data_url(spark, d):
-    return _rows(spark, d).select("review", ft.data_url(F.substring("review_text", 1, 20).cast("binary")).alias("url"))
+    return _rows(spark, d).select("review", ft.data_url(F.col("review_text").cast("binary")).alias("url"))
 
 
 def district_parse(spark, d):
@@ -200,13 +199,13 @@ def district_parse(spark, d):
 
 def tiered_place_match(spark, d):
     points = b.table(spark, d, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 40).cast("string"), F.when(F.col("s_suppkey") % 3 == 0, " east").otherwise("")).alias("k_name"), F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), ((F.col("s_suppkey") % 4) + 1).cast("int")).alias("k_district"), F.concat(F.lit("n"), (F.col("s_suppkey") % 2).cast("string")).alias("k_neighborhood"), F.col("s_suppkey").alias("ordinal"), F.col("s_acctbal").alias("lat"), F.col("s_acctbal").alias("lng"))
-    own = _rows(spark, d).where("review < 200").select(F.col("review").alias("place"), F.col("place").alias("name"), "district", F.when(F.col("review") % 2 == 0, F.concat(F.lit("n"), (F.floor(F.col("review") / 2) % 2).cast("string"))).alias("neighborhood"))
+    own = _rows(spark, d).select(F.col("review").alias("place"), F.col("place").alias("name"), "district", F.when(F.col("review") % 2 == 0, F.concat(F.lit("n"), (F.floor(F.col("review") / 2) % 2).cast("string"))).alias("neighborhood"))
     return places.matched(own, points).select("place", "tier", "match")
 
 
 def district_lookup(spark, d):
     rows = _rows(spark, d)
-    known = rows.where("review % 3 <> 0").select(F.concat("place", F.when(F.col("place").isin("src3", "src14"), " x").otherwise("")).alias("k_place"), "district", F.col("review").alias("ordinal"))
+    known = rows.select(F.concat("place", F.when(F.col("place").isin("src3", "src14"), " x").otherwise("")).alias("k_place"), "district", F.col("review").alias("ordinal"))
     names = rows.select(F.concat("place", F.when(F.col("review") % 2 == 0, F.lit(" east")).otherwise("")).alias("place")).unionByName(spark.createDataFrame([("nowhere at all",)], "place string"))
     return places.districts_of(names, known)
 
@@ -223,9 +222,10 @@ def group_evaluation(spark, d):
 
 def char_ngram_cosine(spark, d):
     """Cosine of two texts' character n-gram counts, exactly: what hashed vectors come near to."""
-    rows = _rows(spark, d).where("review < 120").select("review", F.lower(F.substring("review_text", 1, 60)).alias("t"))
-    spots = F.sequence(F.lit(1), F.length("t") - 2)
-    grams = rows.where("length(t) >= 3").select("review", F.explode(F.transform(spots, lambda i: F.substring(F.col("t"), i, F.lit(3)))).alias("g")).groupBy("review", "g").agg(F.count(F.lit(1)).alias("n"))
+    rows = _rows(spark, d).select("review", F.lower("review_text").alias("t"))
+    grams_of = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(*(F.element_at(c, i + k) for k in range(3))))
+    chars = ft.let(F.split("t", ""), grams_of)
+    grams = rows.where("length(t) >= 3").select("review", F.explode(chars).alias("g")).groupBy("review", "g").agg(F.count(F.lit(1)).alias("n"))
     norms = grams.groupBy("review").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
     a, c = grams.alias("a"), grams.select((F.col("review") - 1).alias("review"), "g", "n").alias("c")
     dots = a.join(c, ["review", "g"]).groupBy("review").agg(F.sum(F.col("a.n") * F.col("c.n")).alias("dot"))
@@ -234,13 +234,13 @@ def char_ngram_cosine(spark, d):
 
 
 def hash_encode(spark, d):
-    v = fv.hash_encoded(F.substring("review_text", 1, 400))
+    v = fv.hash_encoded(F.col("review_text"))
     rows = _rows(spark, d).select("review", v.alias("v"))
     return rows.select("review", F.size(F.filter("v", lambda x: x > 0)).alias("filled"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
 def evidence_spans(spark, d):
-    rows = _rows(spark, d).select("review", F.substring("review_text", 1, 300).alias("review_text"))
+    rows = _rows(spark, d).select("review", "review_text")
     words = F.split("review_text", r"\s+")
     part = lambda i, n: F.array_join(F.slice(words, i, n), " ")
     # One text as it stands, one without its spaces, one that lacks a word.
@@ -266,12 +266,11 @@ t AS (SELECT place, word, tf, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY p
 ORACLE_SQL = {
     "place_key_clean": f"""{W} SELECT review, CASE WHEN district IS NOT NULL AND review % 3 = 0 THEN place || ' ' || district || ' n' || CAST(review % 5 AS VARCHAR) ELSE place END AS place, place AS original
         FROM reviews WHERE place IS NOT NULL AND {_strip("review_text")} <> ''""",
-    "text_flags": rf"""{W}, t AS (SELECT review, CASE WHEN review % 5 = 0 THEN CAST(rating AS VARCHAR) WHEN review % 7 = 0 THEN '음식: 5' WHEN review % 11 = 0 THEN '좋아요 ok' ELSE substr(review_text, 1, 30) END AS t,
-        CASE WHEN review % 2 = 0 THEN substr(review_text, 1, 30) END AS author FROM reviews),
-        s AS (SELECT review, t, {_strip("coalesce(t, '')")} AS own, {_strip("coalesce(author, '')")} AS name FROM t)
+    "text_flags": rf"""{W}, t AS (SELECT review, coalesce(CAST(rating AS VARCHAR), review_text) AS t, CASE WHEN district = 'es' THEN coalesce(CAST(rating AS VARCHAR), review_text) END AS author FROM reviews),
+        s AS (SELECT review, t, '음식: ' || t AS h, {_strip("coalesce(t, '')")} AS own, {_strip("coalesce(author, '')")} AS name FROM t)
         SELECT review, coalesce(regexp_matches({_strip("t")}, '^[0-9]+(\.[0-9]+)?$'), false) AS number,
-        coalesce(regexp_matches({_strip("t")}, '^(서비스.*식사.*유형|식사.*유형|서비스.*매장.*내.*식사|음식:\s*\d+.*서비스:\s*\d+.*분위기:\s*\d+$|(음식|서비스|분위기):\s*\d+$)'), false) AS metadata,
-        CASE WHEN regexp_matches(coalesce(t, ''), '[가-힣]') THEN 'ko' ELSE 'en' END AS lang,
+        coalesce(regexp_matches({_strip("h")}, '^(서비스.*식사.*유형|식사.*유형|서비스.*매장.*내.*식사|음식:\s*\d+.*서비스:\s*\d+.*분위기:\s*\d+$|(음식|서비스|분위기):\s*\d+$)'), false) AS metadata,
+        CASE WHEN regexp_matches(h, '[가-힣]') THEN 'ko' ELSE 'en' END AS lang, CASE WHEN regexp_matches(t, '[가-힣]') THEN 'ko' ELSE 'en' END AS own_lang,
         (name <> '' AND own = name) OR (name = '' AND length(own) <= 10 AND NOT regexp_matches(replace(own, '.', ''), '^\d+$')) AS name_only FROM s""",
     "sentences": rf"""{W}, s AS (SELECT review, {_strip("review_text")} AS t FROM reviews),
         p AS (SELECT review, t, list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1) AS a FROM s WHERE t <> ''),
@@ -281,38 +280,39 @@ ORACLE_SQL = {
         q AS (SELECT review, CASE WHEN len(a) = 0 THEN [t] ELSE a END AS a FROM p),
         e AS (SELECT review, CAST(generate_subscripts(a, 1) - 1 AS INT) AS i, trim(unnest(a)) AS s FROM q)
         SELECT review, i, CASE WHEN length(s) > 80 THEN rtrim(substr(s, 1, 80)) || '...' ELSE s END AS sentence FROM e""",
-    "review_clean": rf"""{W}, a AS (SELECT review, '지역 가이드 · 리뷰 1,370개 · 사진 34장 2년 전 ' || substr(review_text, 1, 200) || ' 리뷰 3개 · 3개월 전·ok 리뷰리뷰' AS t FROM reviews),
+    "review_clean": rf"""{W}, a AS (SELECT review, '지역 가이드 · 리뷰 1,370개 · 사진 34장 2년 전 ' || review_text || ' 리뷰 3개 · 3개월 전·ok 리뷰리뷰' AS t FROM reviews),
         s AS (SELECT review, regexp_replace({_strip("t")}, '지역\s*가이드\s*·?\s*', '', 'g') AS t FROM a),
         c AS (SELECT review, regexp_replace(regexp_replace(t, '·?\s*리뷰\s*\d+[,.]?\d*\s*개\s*·?\s*', '', 'g'), '·?\s*사진\s*\d+[,.]?\d*\s*장\s*·?\s*', '', 'g') AS t FROM s),
         m AS (SELECT review, regexp_replace(regexp_replace(regexp_replace(t, '\s*·\s*', ' ', 'g'), '[리뷰]{{2,}}|[사진]{{2,}}', '', 'g'), '수정일:\s*', '', 'g') AS t FROM c),
         y AS (SELECT review, regexp_replace(regexp_replace(t, '\d+\s*년\s*전', '', 'g'), '\d+\s*개월\s*전', '', 'g') AS t FROM m),
         z AS (SELECT review, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d+\s*주\s*전', '', 'g'), '\d+\s*일\s*전', '', 'g'), '\d+\s*시간\s*전', '', 'g'), '\d+\s*분\s*전', '', 'g') AS t FROM y)
         SELECT review, {_collapse("t")} AS clean FROM z""",
-    "scraped_text": rf"""{W}, a AS (SELECT review, '3달 전 ' || substr(review_text, 1, 100) || '… 자세히 HJ리뷰 2개 · 사진 3장 더보기  end' AS t FROM reviews),
+    "scraped_text": rf"""{W}, a AS (SELECT review, '3달 전 ' || review_text || '… 자세히 HJ리뷰 2개 · 사진 3장 더보기  end' AS t FROM reviews),
         s AS (SELECT review, {_strip("replace(replace(replace(replace(t, '자세히', ''), '공유', ''), '더보기', ''), '…', '')")} AS t FROM a),
         c AS (SELECT review, regexp_replace(regexp_replace(regexp_replace(t, '\S*리뷰\s*\d+\s*개\s*·\s*사진\s*\d+\s*장\s*', '', 'g'), '^\d+\s*(년|달|주|일|시간|분)\s*전\s*', ''), '[\x{{2000}}-\x{{206F}}\x{{2E00}}-\x{{2E7F}}]', '', 'g') AS t FROM s)
         SELECT review, {_collapse("t")} AS clean FROM c""",
-    "rating_backfill": rf"""{W}, a AS (SELECT review, rating, CASE review % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'short' ELSE substr(review_text, 1, 40) END AS t, CASE WHEN review % 8 = 2 THEN substr(review_text, 1, 40) END AS author FROM reviews),
-        s AS (SELECT *, {_strip("t")} AS own, {_strip("coalesce(author, '')")} AS name FROM a)
+    "rating_backfill": rf"""{W}, a AS (SELECT review, rating, CASE WHEN length(review_text) < 300 THEN ' ' WHEN length(review_text) < 600 THEN 'short' ELSE review_text END AS t, district FROM reviews),
+        b AS (SELECT *, CASE WHEN district = 'fr' THEN t END AS author FROM a),
+        s AS (SELECT *, {_strip("t")} AS own, {_strip("coalesce(author, '')")} AS name FROM b)
         SELECT review, CASE WHEN rating IS NOT NULL AND (own = '' OR (name <> '' AND own = name) OR (name = '' AND length(own) <= 10 AND NOT regexp_matches(replace(own, '.', ''), '^\d+$'))) THEN CAST(rating AS VARCHAR) ELSE t END AS text FROM s""",
     "truncate_text": rf"""{W}, s AS (SELECT review, {_strip("review_text")} AS t FROM reviews), h AS (SELECT review, t, substr(t, 1, 2000) AS h FROM s),
         l AS (SELECT *, greatest(CASE WHEN instr(reverse(h), ' ') > 0 THEN 2000 - instr(reverse(h), ' ') ELSE -1 END, CASE WHEN instr(reverse(h), '.') > 0 THEN 2000 - instr(reverse(h), '.') ELSE -1 END,
               CASE WHEN instr(reverse(h), chr(10)) > 0 THEN 2000 - instr(reverse(h), chr(10)) ELSE -1 END) AS cut FROM h),
         o AS (SELECT review, CASE WHEN length(t) <= 2000 THEN t WHEN cut > 1600 THEN substr(h, 1, cut + 1) ELSE h END AS x FROM l) SELECT review, md5(x) AS cut, CAST(length(x) AS INT) AS length FROM o""",
     "compact_text": rf"""{W}, s AS (SELECT review, {_collapse("review_text")} AS t FROM reviews) SELECT review, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substr(t, 1, 119)) || '...' END AS line FROM s""",
-    "lexicon_sentiment": rf"""{W}, a AS (SELECT review, rating, CASE review % 6 WHEN 0 THEN coalesce(CAST(rating AS VARCHAR), '4.5') WHEN 1 THEN '서비스: 5' ELSE review_text END AS t FROM reviews),
-        h AS (SELECT review, rating, t, substr({_strip("t")}, 1, 2000) AS h FROM a),
+    "lexicon_sentiment": rf"""{W}, a AS (SELECT review, CASE WHEN district <> 'de' THEN rating END AS rating, rating = 1 AS heading, CASE rating WHEN 5 THEN '4.5' WHEN 1 THEN '서비스: 5' ELSE review_text END AS t FROM reviews),
+        h AS (SELECT review, rating, heading, t, substr({_strip("t")}, 1, 2000) AS h FROM a),
         l AS (SELECT *, greatest(CASE WHEN instr(reverse(h), ' ') > 0 THEN 2000 - instr(reverse(h), ' ') ELSE -1 END, CASE WHEN instr(reverse(h), '.') > 0 THEN 2000 - instr(reverse(h), '.') ELSE -1 END, CASE WHEN instr(reverse(h), chr(10)) > 0 THEN 2000 - instr(reverse(h), chr(10)) ELSE -1 END) AS cut FROM h),
-        c AS (SELECT review, rating, t, CASE WHEN length({_strip("t")}) <= 2000 THEN h WHEN cut > 1600 THEN substr(h, 1, cut + 1) ELSE h END AS x FROM l),
-        s AS (SELECT review, rating, t, {b.LEXICON_SQL.format(_collapse("x"))} AS s FROM c),
+        c AS (SELECT review, rating, heading, t, CASE WHEN length({_strip("t")}) <= 2000 THEN h WHEN cut > 1600 THEN substr(h, 1, cut + 1) ELSE h END AS x FROM l),
+        s AS (SELECT review, rating, heading, t, {b.LEXICON_SQL.format(_collapse("x"))} AS s FROM c),
         r AS (SELECT review, CASE WHEN regexp_matches({_strip("t")}, '^[0-9]+(\.[0-9]+)?$') THEN CASE WHEN t::DOUBLE >= 4 THEN 0.9 WHEN t::DOUBLE >= 3 THEN 0.5 ELSE 0.1 END::DOUBLE
-            WHEN review % 6 = 1 THEN CASE WHEN rating >= 4 THEN 0.9 WHEN rating >= 3 THEN 0.5 WHEN rating IS NOT NULL THEN 0.1 ELSE 0.5 END::DOUBLE
+            WHEN heading THEN CASE WHEN rating >= 4 THEN 0.9 WHEN rating >= 3 THEN 0.5 WHEN rating IS NOT NULL THEN 0.1 ELSE 0.5 END::DOUBLE
             WHEN s >= 0.6 OR s <= 0.4 THEN s ELSE 0.5 END AS score FROM s)
         SELECT review, {s6("score")}, CASE WHEN score >= 0.6 THEN 'positive' WHEN score <= 0.4 THEN 'negative' ELSE 'neutral' END AS label FROM r""",
     "place_avg_sentiment": f"{W} SELECT place, round(avg({b.LEXICON_SQL.format('review_text')}), 6) + 0.0 AS sentiment, count(*) AS reviews FROM reviews GROUP BY place",
-    "sentiment_outer_merge": f"""{W}, r AS (SELECT review, place, round({b.LEXICON_SQL.format("review_text")}, 6) + 0.0 AS s FROM reviews)
-        SELECT coalesce(a.review, c.review) AS review, coalesce(a.place, c.place) AS place, a.s AS sentiment, c.size FROM (SELECT * FROM r WHERE review % 3 <> 0) a
-        FULL JOIN (SELECT review, place, length(place) AS size FROM r WHERE review % 2 = 0) c ON a.review = c.review AND a.place = c.place""",
+    "sentiment_outer_merge": f"""{W}, r AS (SELECT review, place, rating, round({b.LEXICON_SQL.format("review_text")}, 6) + 0.0 AS s FROM reviews)
+        SELECT coalesce(a.review, c.review) AS review, coalesce(a.place, c.place) AS place, a.s AS sentiment, c.size FROM (SELECT * FROM r WHERE s >= 0.5) a
+        FULL JOIN (SELECT review, place, length(place) AS size FROM r WHERE rating IS NOT NULL) c ON a.review = c.review AND a.place = c.place""",
     "keyword_boost": f"""{W}, h AS ({" UNION ALL ".join(f"SELECT review, '{f}' AS factor, {_hits(w)} AS hits FROM reviews" for f, w in BOOST_WORDS.items())})
         SELECT review, factor, hits, round(least(0.75::DOUBLE + 0.05::DOUBLE * hits, 0.95), 6) + 0.0 AS boost FROM h WHERE hits > 0""",
     "minutes_boost": rf"""{W}, m AS (SELECT review, list_concat(regexp_extract_all(review_text, 'version (\d+)', 1), regexp_extract_all(review_text, '(\d+)-\d{{4}}', 1), regexp_extract_all(review_text, 'BY-NC (\d+)', 1)) AS m FROM reviews)
@@ -326,10 +326,10 @@ ORACLE_SQL = {
         c AS (SELECT review, place, row_number() OVER (PARTITION BY place ORDER BY review) AS n FROM k WHERE n = 1) SELECT review, place FROM c WHERE n <= 30""",
     "stratified_sample": f"{W} SELECT review, place FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY md5('42:' || CAST(review AS VARCHAR)), review) AS n FROM reviews) WHERE n <= 20",
     "strata_sizes": f"{W} SELECT district, least(count(*), 120) AS kept, count(*) < 120 AS short FROM reviews GROUP BY district",
-    "resume_by_key": f"{W} SELECT review, place, district FROM reviews r WHERE NOT EXISTS (SELECT 1 FROM reviews q WHERE q.review % 7 = 0 AND q.place = r.place AND q.district = r.district)",
-    "resume_by_position": f"{W} SELECT review, place FROM reviews WHERE review > (SELECT coalesce(max(review), -1) FROM reviews WHERE review BETWEEN 100 AND 150)",
+    "resume_by_key": f"{W} SELECT review, place, district FROM reviews r WHERE NOT EXISTS (SELECT 1 FROM reviews q WHERE q.rating = 1 AND q.place = r.place AND q.district = r.district)",
+    "resume_by_position": f"{W} SELECT review, place FROM reviews WHERE review > (SELECT coalesce(max(review), -1) FROM reviews WHERE rating = 1)",
     "place_slice": f"{W}, f AS (SELECT place, row_number() OVER (ORDER BY min(review)) AS n FROM reviews GROUP BY place) SELECT review, place FROM reviews SEMI JOIN (SELECT place FROM f WHERE n > 3 AND n <= 8) USING (place)",
-    "row_numbers": f"{W} SELECT review, row_number() OVER (ORDER BY review) - 1 AS review_index FROM reviews WHERE review % 3 <> 1",
+    "row_numbers": f"{W} SELECT review, row_number() OVER (ORDER BY review) - 1 AS review_index FROM reviews WHERE place IS NOT NULL AND {_strip('review_text')} <> ''",
     "union_parts": f"{W} SELECT place, min(review) AS first FROM reviews GROUP BY place",
     "empty_only_places": f"{W}, t AS (SELECT place || '-' || CAST(review // 100 AS VARCHAR) AS place, length(review_text) < 1500 AS blank FROM reviews) SELECT place FROM t GROUP BY place HAVING bool_and(blank)",
     "rating_rules": f"{W} SELECT review, CAST(CASE WHEN rating - review % 3 >= 4 THEN 0.9 WHEN rating - review % 3 >= 3 THEN 0.5 WHEN rating IS NOT NULL THEN 0.1 END AS DOUBLE) AS score FROM reviews",
@@ -340,18 +340,18 @@ ORACLE_SQL = {
         SELECT review, CASE k WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' ELSE ul END AS label, round(CASE k WHEN 'p' THEN s WHEN 'n' THEN 1 - s ELSE us END, 6) + 0.0 AS score,
         CASE label WHEN 'LABEL_1' THEN 'negative' WHEN '5 stars' THEN 'positive' WHEN '2 stars' THEN 'negative' ELSE ul END AS star_label,
         round(CASE label WHEN 'LABEL_1' THEN 0.1 WHEN '5 stars' THEN 0.9 WHEN '2 stars' THEN 0.3 ELSE us END::DOUBLE, 6) + 0.0 AS star_score, flag FROM x""",
-    "script_filter": rf"{W} SELECT review, regexp_replace(substr(review_text, 1, 80), '[^A-Za-z\s]', '', 'g') AS latin, ' 한글 ' AS hangul FROM reviews",
+    "script_filter": rf"{W} SELECT review, regexp_replace(review_text, '[^A-Za-z\s]', '', 'g') AS latin, ' 한글 ' AS hangul FROM reviews",
     "search_query": f"{W} SELECT review, CASE WHEN review % 2 = 0 THEN place || ' ' || district ELSE place END AS query FROM reviews",
     "fingerprint": f"{W} SELECT review, sha1(coalesce(place, '') || chr(10) || coalesce(district, '') || chr(10) || coalesce(CAST(rating AS VARCHAR), '') || chr(10) || review_text || chr(10)) AS sha1 FROM reviews",
-    "data_url": f"{W} SELECT review, 'data:image/jpeg;base64,' || base64(encode(substr(review_text, 1, 20))) AS url FROM reviews",
+    "data_url": f"{W} SELECT review, 'data:image/jpeg;base64,' || base64(encode(review_text)) AS url FROM reviews",
     "district_parse": f"""{W} SELECT review, CASE WHEN review % 4 <> 0 THEN 'Cafe ' || place ELSE 'Cafe' END AS base, CASE WHEN review % 4 <> 0 THEN district END AS district,
         CASE WHEN review % 4 <> 0 AND review % 3 = 0 THEN 'old' END AS neighborhood FROM reviews""",
     "tiered_place_match": f"""{W}, k AS (SELECT 'src' || CAST(s_suppkey % 40 AS VARCHAR) || CASE WHEN s_suppkey % 3 = 0 THEN ' east' ELSE '' END AS n, (['en', 'fr', 'de', 'es'])[s_suppkey % 4 + 1] AS kd, 'n' || CAST(s_suppkey % 2 AS VARCHAR) AS kn, s_suppkey AS o FROM supplier),
-        p AS (SELECT review, place AS name, district, CASE WHEN review % 2 = 0 THEN 'n' || CAST((review // 2) % 2 AS VARCHAR) END AS hood FROM reviews WHERE review < 200),
+        p AS (SELECT review, place AS name, district, CASE WHEN review % 2 = 0 THEN 'n' || CAST((review // 2) % 2 AS VARCHAR) END AS hood FROM reviews),
         m AS (SELECT review, CASE WHEN n = name THEN 1 ELSE 2 END AS tier, o FROM p JOIN k ON kd = district AND (hood IS NULL OR hood = kn) AND starts_with(n, name)),
         f AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY tier, o) AS r FROM m)
         SELECT p.review AS place, f.tier, f.o AS match FROM p LEFT JOIN f ON p.review = f.review AND f.r = 1""",
-    "district_lookup": f"""{W}, k0 AS (SELECT place || CASE WHEN place IN ('src3', 'src14') THEN ' x' ELSE '' END AS k, district, review AS o FROM reviews WHERE review % 3 <> 0),
+    "district_lookup": f"""{W}, k0 AS (SELECT place || CASE WHEN place IN ('src3', 'src14') THEN ' x' ELSE '' END AS k, district, review AS o FROM reviews),
         k AS (SELECT k, arg_min(district, o) AS district, min(o) AS o FROM k0 GROUP BY k),
         n AS (SELECT DISTINCT place || CASE WHEN review % 2 = 0 THEN ' east' ELSE '' END AS place FROM reviews UNION SELECT 'nowhere at all'),
         w AS (SELECT place, string_split(place, ' ')[1] AS word FROM n),
@@ -363,7 +363,7 @@ ORACLE_SQL = {
         n AS (SELECT *, len(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1)) AS k FROM s)
         SELECT place, district, CAST(count_if(t <> '') AS BIGINT) AS reviews, CAST(sum(CASE WHEN t = '' THEN 0 WHEN k = 0 THEN 1 ELSE k END) AS BIGINT) AS sentences, round(avg(rating), 6) + 0.0 AS rating,
         round(avg({b.LEXICON_SQL.format("review_text")}), 6) + 0.0 AS sentiment, md5(string_agg(review_text, chr(10) ORDER BY review)) AS texts FROM n GROUP BY place, district""",
-    "char_ngram_cosine": f"""{W}, t AS (SELECT review, lower(substr(review_text, 1, 60)) AS t FROM reviews WHERE review < 120),
+    "char_ngram_cosine": f"""{W}, t AS (SELECT review, lower(review_text) AS t FROM reviews),
         g AS (SELECT review, substr(t, CAST(i AS INT), 3) AS g, count(*) AS n FROM (SELECT review, t, unnest(range(1, length(t) - 1)) AS i FROM t WHERE length(t) >= 3) GROUP BY ALL),
         l AS (SELECT review, sqrt(sum(n * n)) AS len FROM g GROUP BY review), d AS (SELECT a.review, sum(a.n * c.n) AS dot FROM g a JOIN g c ON c.review = a.review + 1 AND a.g = c.g GROUP BY a.review)
         SELECT d.review, round(dot / (x.len * y.len), 6) + 0.0 AS cosine FROM d JOIN l x ON x.review = d.review JOIN l y ON y.review = d.review + 1""",
