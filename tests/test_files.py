@@ -68,3 +68,15 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     q.awaitTermination()
     row = spark.table("scores").select("mentions", F.round("score", 3).alias("s")).first()
     assert (row.mentions, row.s) == (3, -0.333)
+
+
+def test_results_are_remembered_by_version_and_arguments(spark, tmp_path):
+    made = []
+
+    def numbers(n):
+        made.append(n)
+        return spark.range(n)
+
+    for args, version in (((3,), "1"), ((3,), "1"), ((4,), "1"), ((3,), "2")):
+        assert files.remembered(spark, str(tmp_path), numbers, *args, version=version).count() == args[0]
+    assert made == [3, 4, 3]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,15 @@ def done_reviews(lines: DataFrame) -> DataFrame:
     return answers.select(F.explode("a.reviews.review_index").alias("r")).select(F.col("r").try_cast("long").alias("review_index")).where("review_index is not null").distinct()
 
 
+def remembered(spark: SparkSession, folder: str, make: Callable[..., DataFrame], *args: object, version: str = "1") -> DataFrame:
+    """The table that make(*args) gives, worked out once for each version and arguments and then read."""
+    key = hashlib.sha1(repr((make.__name__, version, args)).encode()).hexdigest()
+    path = f"{folder}/{make.__name__}-{key}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make(*args).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def html_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title, heading, number of links and paragraphs of pages, and coordinates where a page tells them."""
     of = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
