@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again with its schema."""
+def splits(df: DataFrame) -> int:
+    """Tasks that read df: for a table, a measure of its size. (What is still to be shuffled runs for this.)"""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder and read it again with its schema.
+
+    files: at most so many, where shuffled rows are known to be few for the shuffle's partitions."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/venuescope/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +57,19 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives the memory it has used back to the machine at its end: workers outlive tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow for a function from one batch to a dict of columns."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -56,7 +80,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
                 out = fn(b)
                 yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_of, key_of, small_batches, text_of, written
+from .common import arrow_map, id_of, key_of, small_batches, splits, text_of, tidy, written
 
 SLOTS = 4
 KICKS = 200
@@ -60,10 +60,10 @@ class CuckooIndex:
     def insert(self, digest: bytes, value: object) -> list:
         """Add a digest that is not live yet."""
         entry = [digest, value]
-        while (left := self._try(entry)) is not None:
+        left = self._try(entry)
+        while left is not None:  # the entry without a place is the last that was moved
             self._grow()
-            entry_again = left
-            entry = entry_again
+            left = self._try(left)
         self.size += 1
         return entry
 
@@ -161,7 +161,7 @@ def _merged(rows: DataFrame, shards: int, flush: int = 200_000) -> DataFrame:
         if best:
             yield out(best)
 
-    return rows.mapInArrow(run, "shard int, digest binary, n_chars long, key long, n long")
+    return rows.mapInArrow(tidy(run), "shard int, digest binary, n_chars long, key long, n long")
 
 
 def _index_shard(table: pa.Table) -> pa.Table:
@@ -197,7 +197,7 @@ def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, shard
     """Apply batches of digests to a stored index: rows of `deletes` (digest) leave, then those of
     `inserts` (key, n_chars, digest) that are not live come in. A digest deleted and inserted is new."""
     none = F.lit(None)
-    shard = F.udf(lambda d: _shard_of(bytes(d), shards), "int")
+    shard = lambda c: F.pmod(F.conv(F.hex(F.substring(c, 1, 6)), 16, 10).cast("long"), F.lit(shards)).cast("int")
     live = index.select(shard("digest").alias("shard"), "digest", F.lit(None).cast("long").alias("n_chars"), F.col("keep_key").alias("key"), F.col("group_size").alias("n"), F.lit(0).alias("what"))
     gone = deletes.select(shard("digest").alias("shard"), "digest", none.cast("long").alias("n_chars"), none.cast("long").alias("key"), none.cast("long").alias("n"), F.lit(1).alias("what")).distinct()
     come = _merged(inserts, shards).withColumn("what", F.lit(2))
@@ -223,6 +223,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = written(content_digests(docs, id_col, text_col), "digests")
     groups = build_index(digests, shards_for(digests.count())).where("group_size > 1")
     # Both sides of the join are scans, so a digest with very many rows can be split at run time.
-    both = digests.join(written(groups, "groups"), "digest", "left")
+    both = digests.join(written(groups, "groups", splits(digests)), "digest", "left")
     keep = F.coalesce("keep_key", "key")
     return both.select(id_of("key").alias("doc_id"), "n_chars", "digest", id_of(keep).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("key")).alias("kept"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_of, key_of, small_batches, text_of, written
+from .common import arrow_map, id_of, key_of, small_batches, splits, text_of, tidy, written
 
 HASHES = 4
 BITS_EACH = 12
@@ -95,7 +95,7 @@ def _hashes(docs: DataFrame, segments: int, least: int) -> DataFrame:
         if parts:
             yield packed(parts)
 
-    return docs.select(key_of("__id").alias("key"), text_of("__text").alias("text")).mapInArrow(run, "segment int, hashes binary")
+    return docs.select(key_of("__id").alias("key"), text_of("__text").alias("text")).mapInArrow(tidy(run), "segment int, hashes binary")
 
 
 def _segment_filter(most_bits: int):
@@ -161,7 +161,7 @@ def later_lines(docs: DataFrame, least: int = 10, filter_bytes: int = 32 << 20)
     suspects = written(_suspects(docs, given, segments, least), "suspects")
     held = suspects.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
     # The join reads scans on both sides, so that a very common line can be split at run time.
-    later = suspects.join(written(held.select("digest", "first"), "repeated"), "digest").where("key > first")
+    later = suspects.join(written(held.select("digest", "first"), "repeated", splits(suspects)), "digest").where("key > first")
     return later.groupBy("key").agg(F.collect_set("digest").alias("digests"))
 
 
@@ -178,7 +178,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_lines, n_dropped and the text that is left, for every row."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     drops = later_lines(base, least, filter_bytes)
-    joined = base.select(key_of("__id").alias("key"), text_of("__text").alias("text")).join(drops, "key", "left")
+    joined = base.select(key_of("__id").alias("key"), text_of("__text").alias("text")).join(drops, "key", "left").coalesce(splits(docs))
 
     def rebuilt(b: pa.RecordBatch) -> dict:
         out = [_without(t, d, least) for t, d in zip(b.column("text").to_pylist(), b.column("digests").to_pylist(), strict=True)]
@@ -194,7 +194,7 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where nothing is dropped the text stays as it was, null included."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     drops = later_lines(base, least, filter_bytes).select(F.col("key").alias("__key"), F.col("digests").alias("__gone"))
-    joined = docs.join(drops, key_of(id_col) == F.col("__key"), "left").drop("__key")
+    joined = docs.join(drops, key_of(id_col) == F.col("__key"), "left").drop("__key").coalesce(splits(docs))
     at, gone = joined.columns.index(text_col), len(joined.columns) - 1
     names = docs.columns
 
@@ -205,4 +205,4 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)

@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import splits, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKETS = 4096
@@ -150,7 +150,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns stay, whatever their names. Rows alike in id and text are taken alike."""
     taken = mix(docs, id_col, text_col, seed=seed, **how).where("taken > 0").groupBy(F.col("place").alias("__place")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = docs.withColumn("__at", _place(seed, id_col, text_col)).join(taken, F.col("__at") == F.col("__place"))
+    rows = docs.withColumn("__at", _place(seed, id_col, text_col)).join(taken, F.col("__at") == F.col("__place")).coalesce(splits(docs))
     whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.pmod(F.col("__taken"), F.col("__size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("__words", F.explode(copies))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, tidy
 
 SEQUENCE = 2048
 END = 1
@@ -29,7 +29,7 @@ END = 1
 #: are the same to Arrow, Python and the tokenizer, and no text holds a special token. (RE2 syntax.)
 ODD = r"[^\x{0}-\x{1b}\x{20}-\x{24f}]|<[|]"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 class WordCache:
@@ -40,9 +40,8 @@ class WordCache:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        # For single words that are in lower case already: no pattern, no normalising.
-        self.single = Tokenizer.from_file(path)
-        self.single.normalizer = None
+        # The same model for single words that are in lower case already: no pattern, no normalising.
+        self.single = Tokenizer(self.whole.model)
         self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -175,7 +174,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             found = held["cache"].encode(b.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array([np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in found], pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def _packed(room: int):

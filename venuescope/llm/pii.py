@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "mail")
@@ -222,4 +222,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", span
             yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "spans"])
 
     schema = docs.toDF(*names).withColumn("spans", F.lit("")).schema
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, spans_col)
+    return docs.toDF(*names).mapInArrow(tidy(run), schema).toDF(*docs.columns, spans_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, id_of, key_of, parts_for, small_batches, text_of, written
+from .common import NO_ID, arrow_map, id_of, key_of, parts_for, small_batches, splits, text_of, tidy, written
 from .components import components
 
 SEED = 42
@@ -121,16 +121,17 @@ def links(distinct: DataFrame, bits: int = 3, per_part: int = 500_000) -> DataFr
     halves = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
     variants = [half.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << j))) + F.lit((s << 37) | (j << 32)) for s, half in enumerate(halves) for j in range(32)]
     rows = distinct.select(F.explode(F.array(*variants)).alias("variant"), "fp", "first")
-    return rows.repartition(parts_for(distinct, distinct.count() * 64, per_part), "variant").mapInArrow(_links(bits), "a long, b long")
+    return rows.repartition(parts_for(distinct, distinct.count() * 64, per_part), "variant").mapInArrow(tidy(_links(bits)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id (smallest id reachable over links) of every row."""
     all_fps = written(fingerprints(docs, id_col, text_col, width), "fps")
-    distinct = written(all_fps.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    roots = components(links(distinct, bits))
+    files = splits(docs)
+    distinct = written(all_fps.groupBy("fp").agg(F.min("key").alias("first")), "distinct", files)
+    roots = components(links(distinct, bits), files)
     known = distinct.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component"))
-    joined = all_fps.join(written(known, "known"), "fp")
+    joined = all_fps.join(written(known, "known", files), "fp")
     return joined.select(id_of("key").alias("doc_id"), "fp", id_of("component").alias("component_id"))
 
 

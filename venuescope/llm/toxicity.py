@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 12
@@ -206,7 +206,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*names, "score"])
 
     schema = docs.toDF(*names).withColumn("score", F.lit(0.0)).schema
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, score_col)
+    return docs.toDF(*names).mapInArrow(tidy(run), schema).toDF(*docs.columns, score_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
