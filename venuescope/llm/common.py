@@ -83,10 +83,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(tidy(run), schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches that stay small where rows are whole texts."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches that stay small where rows are whole texts: by rows, and by bytes for long ones."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
