@@ -207,3 +207,10 @@ def test_names_and_blanks(spark):
     own = places.with_defaults(df, {"name": "place", "t": "review_text", "zzz": "other"})
     assert own.columns == ["name", "t", "place", "review_text"] and [r.place for r in places.known_reviews(own).collect()] == ["b"]
     assert [r.name for r in places.only_blank(df.dropna(), "name", "t").collect()] == ["a"]
+
+
+def test_image_rows(spark):
+    pixels = bytearray([100, 100, 100] * 200)
+    df = spark.createDataFrame([("a", pixels, 10, 20, 3), ("b", bytearray(200), 10, 20, 1)], "path string, pixels binary, height int, width int, channels int")
+    got = {r.path: r for r in images.image_stats(df).collect()}
+    assert (got["a"].brightness, got["a"].contrast, got["a"].megapixels) == (100.0, 0.0, 200 / 1e6) and got["b"].brightness is None

@@ -287,6 +287,8 @@ ORACLE_SQL = {
         y AS (SELECT review, regexp_replace(regexp_replace(t, '\d+\s*년\s*전', '', 'g'), '\d+\s*개월\s*전', '', 'g') AS t FROM m),
         z AS (SELECT review, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d+\s*주\s*전', '', 'g'), '\d+\s*일\s*전', '', 'g'), '\d+\s*시간\s*전', '', 'g'), '\d+\s*분\s*전', '', 'g') AS t FROM y)
         SELECT review, {_collapse("t")} AS clean FROM z""",
+    # The name in front goes. The date at the end goes first, with the digits that the name before it ends in.
+    "review_clean_author": f"""{W} SELECT review, {_collapse("review_text || ' ' || regexp_replace(place, '[0-9]+$', '')")} AS clean FROM reviews""",
     "scraped_text": rf"""{W}, a AS (SELECT review, '3달 전 ' || review_text || '… 자세히 HJ리뷰 2개 · 사진 3장 더보기  end' AS t FROM reviews),
         s AS (SELECT review, {_strip("replace(replace(replace(replace(t, '자세히', ''), '공유', ''), '더보기', ''), '…', '')")} AS t FROM a),
         c AS (SELECT review, regexp_replace(regexp_replace(regexp_replace(t, '\S*리뷰\s*\d+\s*개\s*·\s*사진\s*\d+\s*장\s*', '', 'g'), '^\d+\s*(년|달|주|일|시간|분)\s*전\s*', ''), '[\x{{2000}}-\x{{206F}}\x{{2E00}}-\x{{2E7F}}]', '', 'g') AS t FROM s)
