@@ -102,9 +102,17 @@ def printed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ",")
 
 
+def with_sketch(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("sketch", sketch(F.col("text")))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(key_of(id_col).alias("key"), text_of(text_col).alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, text, sketch) of every row."""
-    return docs.select(key_of(id_col).alias("key"), text_of(text_col).alias("text")).withColumn("sketch", sketch(F.col("text")))
+    return with_sketch(keyed(docs, id_col, text_col))
 
 
 def _heads(docs: DataFrame) -> DataFrame:
@@ -119,12 +127,13 @@ def _heads(docs: DataFrame) -> DataFrame:
     return heads.withColumn("before", F.lag("range").over(inside)).join(tops, "over").select("first", F.coalesce("before", "carry").alias("before"))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (key, text, ...) with next_<column> of the next row by key, after the last that of the first."""
-    own = rows.withColumn("range", F.shiftright("key", RANGE_BITS)).withColumn("guest", F.lit(0))
+def with_next(rows: DataFrame, columns: list[str], extend: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """extend(rows) for rows (key, text), with next_<column> of the next row by key; after the last that of
+    the first. The few rows that are needed twice are found before they are extended."""
     # Written first: its size is known then, and texts are not shuffled to find a few of them.
     heads = written(_heads(rows.select("key")), "heads")
-    guests = rows.join(heads, F.col("key") == F.col("first")).withColumn("guest", F.lit(1)).withColumnRenamed("before", "range").drop("first")
+    own = extend(rows).withColumn("range", F.shiftright("key", RANGE_BITS)).withColumn("guest", F.lit(0))
+    guests = extend(rows.join(heads, F.col("key") == F.col("first"))).withColumn("guest", F.lit(1)).withColumnRenamed("before", "range").drop("first")
     order = Window.partitionBy("range").orderBy("guest", "key", "text")
     both = own.unionByName(guests)
     return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("guest = 0").drop("guest", "range")
@@ -132,7 +141,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, text, sketch, next_sketch, edited (the second half replaced by the next text's start), edited_sketch."""
-    paired = with_next(fingerprints(docs, id_col, text_col), ["text", "sketch"])
+    paired = with_next(keyed(docs, id_col, text_col), ["text", "sketch"], with_sketch)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
