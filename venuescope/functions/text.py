@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENDS = r"^\s+|\s+$"
+#: What `\s` matches.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, ENDS, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
