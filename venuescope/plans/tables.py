@@ -50,7 +50,7 @@ def nearest_station(spark, d):
     own = b.table(spark, d, "supplier").select("s_suppkey", (37.4 + 0.003 * F.col("s_suppkey")).alias("lat"), (126.8 + 0.00001 * F.col("s_acctbal")).alias("lng"))
     points = own.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("point"), "lat", "lng")
     stations = own.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("station"), F.when(F.col("s_suppkey") % 2 == 0, "subway").otherwise("bus").alias("kind"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("s_suppkey").alias("ordinal"))
-    return places.nearest(points, stations, 3000.0, 0.04).select("point", "station", "kind", "minutes", r6("metres"))
+    return places.nearest(points, stations, 3000.0, 0.04).select("point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres"))
 
 
 FACTORS = ["assistant", "system", "user"]
@@ -135,7 +135,7 @@ ORACLE_SQL = {
         j AS (SELECT p.k AS point, q.k AS station, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lng - p.lng) / 2), 2) AS a FROM s p, s q WHERE p.k % 3 <> 0 AND q.k % 3 = 0),
         m AS (SELECT point, station, 2 * 6371000.0::DOUBLE * atan2(sqrt(a), sqrt(1 - a)) AS metres FROM j), w AS (SELECT *, round(metres * 1.4::DOUBLE / 67.0::DOUBLE, 1) AS minutes FROM m WHERE metres <= 3000),
         b AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY minutes, station) AS n FROM w)
-        SELECT s.k AS point, b.station, CASE WHEN b.station IS NULL THEN NULL WHEN b.station % 2 = 0 THEN 'subway' ELSE 'bus' END AS kind, b.minutes, round(b.metres, 6) + 0.0 AS metres
+        SELECT s.k AS point, CAST(b.station AS DOUBLE) AS station, CASE WHEN b.station IS NULL THEN NULL WHEN b.station % 2 = 0 THEN 'subway' ELSE 'bus' END AS kind, b.minutes, round(b.metres, 6) + 0.0 AS metres
         FROM s LEFT JOIN b ON b.point = s.k AND b.n = 1 WHERE s.k % 3 <> 0""",
     "llm_flatten": L + f" SELECT review_index, sentence_id, nth, factor, {s6('confidence')}, evidence, sentiment_hint, sentence FROM f",
     "llm_review_pivot": L

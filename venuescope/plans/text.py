@@ -89,7 +89,7 @@ def place_avg_sentiment(spark, d):
 def sentiment_outer_merge(spark, d):
     rows = _rows(spark, d).select("review", "place", "rating", b.lexicon(F.col("review_text")).alias("s"))
     left = rows.where("s >= 0.5").select("review", "place", r6("s", "sentiment"))
-    right = rows.where("rating is not null").select("review", "place", F.length("place").cast("long").alias("size"))
+    right = rows.where("rating is not null").select("review", "place", F.length("place").cast("double").alias("size"))
     a, c = left.alias("a"), right.alias("c")
     on = F.col("a.review").eqNullSafe(F.col("c.review")) & F.col("a.place").eqNullSafe(F.col("c.place"))
     return a.join(c, on, "full").select(F.coalesce("a.review", "c.review").alias("review"), F.coalesce("a.place", "c.place").alias("place"), "sentiment", "size")
@@ -200,14 +200,14 @@ def district_parse(spark, d):
 def tiered_place_match(spark, d):
     points = b.table(spark, d, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 40).cast("string"), F.when(F.col("s_suppkey") % 3 == 0, " east").otherwise("")).alias("k_name"), F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), ((F.col("s_suppkey") % 4) + 1).cast("int")).alias("k_district"), F.concat(F.lit("n"), (F.col("s_suppkey") % 2).cast("string")).alias("k_neighborhood"), F.col("s_suppkey").alias("ordinal"), F.col("s_acctbal").alias("lat"), F.col("s_acctbal").alias("lng"))
     own = _rows(spark, d).select(F.col("review").alias("place"), F.col("place").alias("name"), "district", F.when(F.col("review") % 2 == 0, F.concat(F.lit("n"), (F.floor(F.col("review") / 2) % 2).cast("string"))).alias("neighborhood"))
-    return places.matched(own, points).select("place", "tier", "match")
+    return places.matched(own, points).select("place", F.col("tier").cast("double").alias("tier"), F.col("match").cast("double").alias("match"))
 
 
 def district_lookup(spark, d):
     rows = _rows(spark, d)
     known = rows.select(F.concat("place", F.when(F.col("place").isin("src3", "src14"), " x").otherwise("")).alias("k_place"), "district", F.col("review").alias("ordinal"))
     names = rows.select(F.concat("place", F.when(F.col("review") % 2 == 0, F.lit(" east")).otherwise("")).alias("place")).unionByName(spark.createDataFrame([("nowhere at all",)], "place string"))
-    return places.districts_of(names, known)
+    return places.districts_of(names, known).withColumn("tier", F.col("tier").cast("double"))
 
 
 def row_slice(spark, d):
@@ -314,7 +314,7 @@ ORACLE_SQL = {
     "place_avg_sentiment": f"{W} SELECT place, round(avg({b.LEXICON_SQL.format('review_text')}), 6) + 0.0 AS sentiment, count(*) AS reviews FROM reviews GROUP BY place",
     "sentiment_outer_merge": f"""{W}, r AS (SELECT review, place, rating, round({b.LEXICON_SQL.format("review_text")}, 6) + 0.0 AS s FROM reviews)
         SELECT coalesce(a.review, c.review) AS review, coalesce(a.place, c.place) AS place, a.s AS sentiment, c.size FROM (SELECT * FROM r WHERE s >= 0.5) a
-        FULL JOIN (SELECT review, place, length(place) AS size FROM r WHERE rating IS NOT NULL) c ON a.review = c.review AND a.place = c.place""",
+        FULL JOIN (SELECT review, place, CAST(length(place) AS DOUBLE) AS size FROM r WHERE rating IS NOT NULL) c ON a.review = c.review AND a.place = c.place""",
     "keyword_boost": f"""{W}, h AS ({" UNION ALL ".join(f"SELECT review, '{f}' AS factor, {_hits(w)} AS hits FROM reviews" for f, w in BOOST_WORDS.items())})
         SELECT review, factor, hits, round(least(0.75::DOUBLE + 0.05::DOUBLE * hits, 0.95), 6) + 0.0 AS boost FROM h WHERE hits > 0""",
     "minutes_boost": rf"""{W}, m AS (SELECT review, list_concat(regexp_extract_all(review_text, 'version (\d+)', 1), regexp_extract_all(review_text, '(\d+)-\d{{4}}', 1), regexp_extract_all(review_text, 'BY-NC (\d+)', 1)) AS m FROM reviews)
@@ -352,14 +352,14 @@ ORACLE_SQL = {
         p AS (SELECT review, place AS name, district, CASE WHEN review % 2 = 0 THEN 'n' || CAST((review // 2) % 2 AS VARCHAR) END AS hood FROM reviews),
         m AS (SELECT review, CASE WHEN n = name THEN 1 ELSE 2 END AS tier, o FROM p JOIN k ON kd = district AND (hood IS NULL OR hood = kn) AND starts_with(n, name)),
         f AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY tier, o) AS r FROM m)
-        SELECT p.review AS place, f.tier, f.o AS match FROM p LEFT JOIN f ON p.review = f.review AND f.r = 1""",
+        SELECT p.review AS place, CAST(f.tier AS DOUBLE) AS tier, CAST(f.o AS DOUBLE) AS match FROM p LEFT JOIN f ON p.review = f.review AND f.r = 1""",
     "district_lookup": f"""{W}, k0 AS (SELECT place || CASE WHEN place IN ('src3', 'src14') THEN ' x' ELSE '' END AS k, district, review AS o FROM reviews),
         k AS (SELECT k, arg_min(district, o) AS district, min(o) AS o FROM k0 GROUP BY k),
         n AS (SELECT DISTINCT place || CASE WHEN review % 2 = 0 THEN ' east' ELSE '' END AS place FROM reviews UNION SELECT 'nowhere at all'),
         w AS (SELECT place, string_split(place, ' ')[1] AS word FROM n),
         j AS (SELECT w.place, a.district AS d1, b.district AS d2, (SELECT arg_min(c.district, c.o) FROM k c WHERE contains(c.k, w.word)) AS d3
               FROM w LEFT JOIN k a ON a.k = w.place LEFT JOIN k b ON b.k = w.word)
-        SELECT place, coalesce(d1, d2, d3) AS district, CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN d3 IS NOT NULL THEN 3 END AS tier FROM j""",
+        SELECT place, coalesce(d1, d2, d3) AS district, CAST(CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN d3 IS NOT NULL THEN 3 END AS DOUBLE) AS tier FROM j""",
     "row_slice": f"{W} SELECT review, place FROM reviews ORDER BY review LIMIT 50 OFFSET 40",
     "group_evaluation": rf"""{W}, s AS (SELECT *, {_strip("review_text")} AS t FROM reviews),
         n AS (SELECT *, len(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1)) AS k FROM s)
