@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuescope.llm import line_dedup, mixing, packing, simhash, toxicity
+from venuescope.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from venuescope.llm.common import written
 
 #: Toxicity is not a result that SQL can give, so the stages are tested one by one instead.
@@ -31,8 +31,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash links stays, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of texts alike in 0.8 of their five-word shingles stays, the one with the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
