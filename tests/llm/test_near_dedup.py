@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from venuescope.llm import near_dedup
+from venuescope.llm import near_dedup, simhash
 
 
 def roots(sets):
@@ -64,3 +65,11 @@ def test_odd_rows(odd, nothing):
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in near_dedup.drop_near_duplicates(odd).collect())
     assert ids == [-5, -1, 1, 3, 4, 4, 5, 6, 8, 9]
     assert near_dedup.drop_near_duplicates(nothing).count() == 0
+
+
+@pytest.mark.parametrize("drop", [near_dedup.drop_near_duplicates, simhash.drop_near_duplicates])
+def test_no_text_leaves_with_another_of_its_id(spark, drop):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(300)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, a), (7, d), (7, d), (9, d)]
+    kept = drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "b"), (0, "c"), (1, "a"), (7, "d"), (7, "d")]

@@ -57,6 +57,30 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def told_of(text_col: str) -> Column:
+    """Tells texts apart: rows of one id and one text are the same row, repeated."""
+    return F.xxhash64(text_of(text_col))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, one of each of groups (told, root): the one with the smallest id.
+
+    Repeats of that row stay too, if it has an id. Of a repeated id, only rows in other rows' groups go;
+    rows without an id sort last and are rows of their own."""
+    rows = docs.select(key_of(id_col).alias("key"), told_of(text_col).alias("told")).distinct()
+    rows = written(written(rows, "rows", splits(docs)).join(written(groups, "groups", splits(docs)), "told"), "grouped", splits(docs))
+    first = written(rows.groupBy("root").agg(F.min(F.struct("key", "told")).alias("first")), "firsts", splits(docs))
+    gone = rows.join(first, "root").where("struct(key, told) <> first").select(F.col("key").alias("__key"), F.col("told").alias("__told"))
+    gone = written(gone, "gone", splits(docs))
+    marked = docs.withColumn("__key", key_of(id_col)).withColumn("__told", told_of(text_col))
+
+    def left(rows: DataFrame) -> DataFrame:
+        return rows.join(gone, ["__key", "__told"], "left_anti")
+
+    named, unnamed = left(marked.where(F.col(id_col).isNotNull())), left(marked.where(F.col(id_col).isNull()))
+    return named.unionByName(unnamed.dropDuplicates(["__told"])).select(*docs.columns)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, which gives the memory it has used back to the machine at its end: workers outlive tasks."""
 

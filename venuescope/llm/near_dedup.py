@@ -6,7 +6,7 @@ all pairs are candidates; in a large one a spanning forest of verified links is
 that rows do not grow with the square of a group. Equal sets are merged before that.
 
 Nulls: a null text is an empty one; texts without words are alike. A text of fewer than five words is one
-shingle. A null id sorts last. An empty table gives an empty result. Other columns are not read.
+shingle. A null id sorts last; rows without one are rows of their own. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, key_of, parts_for, small_batches, splits, text_of, tidy, written
+from .common import arrow_map, one_of_each, parts_for, small_batches, splits, text_of, tidy, told_of, written
 from .components import components
 
 WORDS = 5
@@ -82,8 +82,8 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, told, node, bands) of every row: hash of its text, hash of its shingle set, its bands."""
+def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(told, node, bands) of every row: hash of its text, hash of its shingle set, its bands."""
     small_batches(docs.sparkSession)
 
     def made(b: pa.RecordBatch) -> dict:
@@ -91,10 +91,10 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
         flat = np.concatenate([bands(s) for s in sets]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        return {"key": b.column("key"), "told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "bands": lists}
+        return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "bands": lists}
 
-    rows = docs.select(key_of(id_col).alias("key"), text_of(text_col).alias("text")).withColumn("told", F.xxhash64("text"))
-    return arrow_map(rows, made, "key long, told long, node long, bands array<long>")
+    rows = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told"))
+    return arrow_map(rows, made, "told long, node long, bands array<long>")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part
     large = found.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     wanted = written(distinct.select("node", "told").join(wanted, "node"), "wanted", splits(docs))
-    texts = docs.select(text_of(text_col).alias("text")).withColumn("told", F.xxhash64("text")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
 
     def made(b: pa.RecordBatch) -> dict:
         return {"node": b.column("node"), "own": pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
@@ -150,21 +150,18 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part
     return written(checked.unionByName(grown), "near", splits(docs))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, told, root) of every row: rows of one root are near each other, or joined by rows that are."""
-    rows = written(signed(docs, id_col, text_col), "signed")
+def near_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(told, root) of every text: texts of one root are near each other, or joined by texts that are."""
+    rows = written(signed(docs, text_col).dropDuplicates(["told"]), "signed", splits(docs))
     files = splits(docs)
     distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("bands").alias("bands")), "distinct", files)
     roots = written(components(links(docs, distinct, text_col), files), "roots", files)
     known = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return rows.select("key", "told", "node").join(written(known, "known", files), "node").select("key", "told", "root")
+    return rows.select("told", "node").join(written(known, "known", files), "node").select("told", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the documents that stay, one of each group: the one with the smallest id.
 
-    Further rows of an id that stays stay too. Rows without an id count as one document, the last."""
-    groups = written(near_groups(docs, id_col, text_col), "groups")
-    first = written(groups.groupBy("root").agg(F.min("key").alias("least")), "firsts", splits(docs))
-    gone = groups.join(first, "root").where("key <> least").select(F.col("key").alias("__gone")).distinct()
-    return docs.join(gone, key_of(id_col) == F.col("__gone"), "left_anti")
+    What goes is told by row, not by id: see `one_of_each`."""
+    return one_of_each(docs, near_groups(docs, text_col), id_col, text_col)
