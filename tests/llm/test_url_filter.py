@@ -43,3 +43,13 @@ def test_models_block_unseen_junk(spark):
     pages = spark.createDataFrame(good + junk + [(999, "https://xcasinowin.example.com/fr/3")], "page_id long, url string")
     rows = {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()}
     assert all(rows[i] == "allow" for i, _ in good) and all(rows[i] == "block" for i, _ in junk)
+
+
+def test_models_count_every_url(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(url_filter, "train", lambda examples, real=url_filter.train: seen.append(real(examples)) or seen[0])
+    urls = [(i, f"https://casino.example.com/fr/{i}") for i in range(100, 900)] + [(i, f"https://www.travel{i}.example.org/fr/") for i in range(10)]
+    rows = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    # All 800 pages have one shape: its strings are not seen once.
+    assert {"casi", "asin", "sino"} <= {r.gram for r in seen[0].collect()}
+    assert rows[100].verdict == "block" and rows[0].verdict == "allow"

@@ -7,7 +7,8 @@ one. A URL's score is the mean over its characters of the log ratio of both mode
 longest context that was counted. The cut is calibrated on the examples' own scores.
 
 The model has at most one row per string of up to four characters of a 41-letter alphabet (digits count
-as one letter); strings seen once are pruned.
+as one letter); strings seen once in all rows are pruned. URLs alike in that alphabet are counted together,
+as often as they occur.
 
 Nulls: a null URL, or one without "://", has an empty host and path and is allowed. A null page id stays
 null. Repeated rows are judged alike. Without rejected examples everything that no rule blocks is
@@ -62,12 +63,12 @@ def _grams(order: int) -> Column:
 def train(examples: DataFrame, least: int = 2) -> DataFrame:
     """(gram, ratio): log ratio, rejected over accepted, of a gram's last character after its others.
 
-    examples: letters and rejected (boolean)."""
+    examples: letters, rejected (boolean) and weight, the number of rows alike."""
     exploded = None
     for k in range(1, ORDER + 1):
-        part = examples.select("rejected", F.lit(k).alias("k"), F.explode(_grams(k)).alias("gram"))
+        part = examples.select("rejected", "weight", F.lit(k).alias("k"), F.explode(_grams(k)).alias("gram"))
         exploded = part if exploded is None else exploded.unionByName(part)
-    counts = exploded.groupBy("k", "gram").agg(F.sum((~F.col("rejected")).cast("long")).alias("a"), F.sum(F.col("rejected").cast("long")).alias("r"))
+    counts = exploded.groupBy("k", "gram").agg(F.sum(F.when(~F.col("rejected"), F.col("weight")).otherwise(0)).alias("a"), F.sum(F.when(F.col("rejected"), F.col("weight")).otherwise(0)).alias("r"))
     counts = written(counts, "grams")
     model, shorter = None, None
     for k in range(1, ORDER + 1):
@@ -107,7 +108,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
     seeded = F.col("host").rlike(rf"(^|[.-])({'|'.join(seeds)})([.-]|$)")
     rows = written(rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("rejected", seeded), "urls")
-    examples = rows.where("rule is null and host <> ''").select("letters", "rejected").distinct()
+    examples = rows.where("rule is null and host <> ''").groupBy("letters", "rejected").agg(F.count(F.lit(1)).alias("weight"))
     known = written(scored(rows, train(examples)), "scored")
     high, low = F.percentile_approx(F.when(~F.col("rejected"), F.col("score")), 0.999, 10000), F.percentile_approx(F.when(F.col("rejected"), F.col("score")), 0.01, 10000)
     told = known.where("rule is null and host <> ''").agg(high.alias("high"), low.alias("low")).first()
