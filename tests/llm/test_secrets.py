@@ -40,3 +40,10 @@ def test_ownership_parts_examples_from_live_keys(spark):
     by = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert [(s.start, s.value) for s in by[9].added] == [(5, key)] and by[9].n_live == 1 and by[9].n_copied == 1
     assert by[0].added == [] and by[0].n_copied == 1
+
+
+def test_repositories_of_a_value_are_told(spark):
+    key = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
+    docs = spark.createDataFrame([(i, f"use {key} here", "one") for i in range(30)] + [(99, "nothing", "one")], "doc_id long, text string, source string")
+    by = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert by[0].n_live == 1 and by[0].n_repositories == 30 and by[99].n_repositories == 0

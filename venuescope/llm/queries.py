@@ -94,6 +94,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.printed(F.array_sort(F.concat("base", "added"))).alias("spans"),
         "n_live",
         "n_copied",
+        "n_repositories",
     )
 
 

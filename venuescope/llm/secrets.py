@@ -69,7 +69,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, most_owners: int = 2) -> DataFrame:
-    """doc_id, base (spans), added (live-looking tokens), n_live, n_copied (values by ownership).
+    """doc_id, base (spans), added (live-looking tokens), n_live, n_copied (values by ownership),
+    n_repositories (the most repositories that hold one of its values; it is told, owners alone decide).
 
     repository_col: by default every document is a repository of its own."""
     text = text_of(text_col)
@@ -86,9 +87,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.sort_array(F.collect_list(F.when(F.col("live") & (F.col("span.kind") == token), F.col("span")))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_copied"),
+        F.max("n_repositories").alias("n_repositories"),
     )
     none = F.array().cast(SPAN)
-    return rows.join(told, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return rows.join(told, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("n_repositories", F.lit(0)).alias("n_repositories"))
 
 
 def printed(found: Column) -> Column:
