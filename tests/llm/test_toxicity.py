@@ -53,3 +53,11 @@ def test_odd_rows(spark, odd, nothing):
 def test_few_labels_and_one_class():
     model = toxicity.train(["bad words"], [])
     assert model.score("anything") == model.score("") == 2 / 3
+
+
+def test_all_windows_of_ordinary_training_texts_are_learned():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    ordinary = [" ".join(word() for _ in range(120)) for _ in range(20)]
+    model = toxicity.train([" ".join(word() for _ in range(30)) for _ in range(20)], ordinary)
+    assert all(w.encode() in model.ordinary for t in ordinary[::2] for w in t.split())

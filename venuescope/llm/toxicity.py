@@ -166,7 +166,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         return Model(prior=prior)
     (tox_a, tox_b), (ord_a, ord_b) = ((x[::2], x[1::2]) for x in sides)
     marked = _passages(tox_a, ord_a)
-    plain = _trained([w for words in ord_a for w in _windows(words)[::8]], DICT_BYTES)
+    plain = _trained([w for words in ord_a for w in _windows(words)], DICT_BYTES)
     model = Model(plain, _trained(marked, DICT_BYTES) + plain if marked else b"", prior=prior)
     if model.toxic:
         model.evidence = _evidence(*(np.concatenate([model.distances(w) for w in x if w] or [np.zeros(0, int)]) for x in (tox_b, ord_b)))
