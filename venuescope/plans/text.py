@@ -245,7 +245,14 @@ def evidence_spans(spark, d):
     part = lambda i, n: F.array_join(F.slice(words, i, n), " ")
     # One text as it stands, one without its spaces, one that lacks a word.
     evidence = F.array(part(2, 3), F.replace(part(6, 2), F.lit(" "), F.lit("")), F.concat_ws(" ", part(10, 3), part(14, 2)))
-    return spans.evidence_spans(rows.where(F.size(words) > 16).select("review", "review_text", evidence.alias("evidence")))
+    # The same of shorter texts, as far as their words go.
+    n = F.size(words)
+    short = F.array(
+        part(1, F.greatest(F.lit(1), F.floor(n / 4).cast("int"))),
+        F.when(n >= 4, F.replace(part(F.floor(n / 2).cast("int") + 1, 2), F.lit(" "), F.lit(""))),
+        F.when(n >= 8, F.concat_ws(" ", part(F.greatest(F.lit(1), n - 4), 3), part(n, 1))),
+    )
+    return spans.evidence_spans(rows.select("review", "review_text", F.when(n > 16, evidence).otherwise(short).alias("evidence")))
 
 
 QUERIES = {
