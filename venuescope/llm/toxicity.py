@@ -1,18 +1,25 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-From a bounded sample of labelled texts, two dictionaries are trained: one on ordinary text, one on the
-passages of toxic text that set it apart. A text is cut into windows of a few words; each window is
-compressed with either dictionary. The bytes that the toxic dictionary saves on a window are its
-compression distance; a document's distances, over all its windows, are calibrated to a probability on
-labelled texts that no dictionary has seen. Neither label, language, source nor id enters a score.
-
-The toxic dictionary holds the trained toxic passages and after them the ordinary dictionary, at the same
-distances, so that a window without anything toxic costs the same with either.
+From a bounded sample of labelled texts zstandard trains two dictionaries, one on windows of ordinary text
+and one on windows of toxic text. A text is cut into windows of a few words, all of which are compressed
+with either dictionary. The bytes that the toxic dictionary saves on a window are its compression distance;
+each distance's share among windows of toxic and of ordinary texts, and a document's distances over all its
+windows, are calibrated on labelled texts that no dictionary has seen. Neither label, language, source nor
+id enters a score.
+
+Most windows of a toxic text are ordinary. So the toxic dictionary is trained in rounds, always on whole
+windows: two halves of the toxic texts each train one, first on the `ODDEST` share of windows that ordinary
+text helps least to compress, and of the other half's windows those stay that this dictionary saves most on
+(the `SHARE` share at most, `SAVED` bytes at least). What stays of both halves trains the last dictionary.
+Ordinary text trains one dictionary for each slice of its windows, as the trainer alone does not fill a large one.
+
+A window is compressed after the toxic dictionary with the ordinary one behind it, and after the ordinary one
+at the same distances, so that a window without anything toxic costs the same either way.
 
 Nulls: a null text is an empty one; it has no window and gets the score of one without distances. A null
-label is no label. A null id has no label and is not held out. With labels of one class only, or none,
-every score is that class's smoothed share. An empty table gives an empty result. Other columns are not
-read; `drop_toxic` keeps them, whatever their names.
+label is no label. A null id has no label and is not held out. Rows that share a labelled id are one sample,
+the first of their texts. With labels of one class only, or none, every score is that class's smoothed share.
+An empty table gives an empty result. Other columns are not read; `drop_toxic` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +36,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, tidy
+from .common import small_batches, text_of, tidy, written
 
 WORD = re.compile(r"[^\W\d_]+")
-WINDOW = 12
+WINDOW = 6
 #: Distances beyond these count as these.
-LEAST, MOST = -2, 10
-DICT_BYTES = 128 << 10
-#: Labelled texts of each class that training looks at, at most.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 4000
+LEAST, MOST = -2, 12
+#: Bytes of the toxic dictionary by round, of one slice of the ordinary one, and how many slices there are at most.
+TOXIC_BYTES, SLICE_BYTES, SLICES = (32 << 10, 16 << 10, 8 << 10), 64 << 10, 8
+#: Which windows of toxic texts train a round; see above.
+ODDEST, SHARE, SAVED = 0.3, 0.1, 3
+#: Labelled texts of each class that training looks at, at most, and their bytes together.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2000, 4000, 48 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -58,8 +68,19 @@ def _evidence(toxic: np.ndarray, ordinary: np.ndarray) -> list[float]:
     return np.log(shares[0] / shares[1]).tolist()
 
 
+def _length_with(content: bytes):
+    """Compressed length of a window after this content."""
+    how = zstandard.ZstdCompressionParameters(window_log=21, hash_log=19, chain_log=19, search_log=8, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=how)
+    compress = zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress
+    return lambda window: len(compress(window))
+
+
 @dataclass
 class Model:
+    """ordinary and toxic: trained dictionaries; evidence by distance; weights of the features."""
+
     ordinary: bytes = b""
     toxic: bytes = b""
     evidence: list[float] = field(default_factory=list)
@@ -69,24 +90,16 @@ class Model:
     def __post_init__(self) -> None:
         self._pair = None
 
-    def _compressors(self) -> list:
-        if self._pair is None:
-            how = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=8, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
-            self._pair = []
-            for content in (self.ordinary, self.toxic):
-                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(compression_params=how)
-                self._pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress)
-        return self._pair
-
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_pair": None}
 
     def distances(self, words: list[str]) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window."""
-        plain, toxic = self._compressors()
+        if self._pair is None:
+            self._pair = _length_with(self.ordinary), _length_with(self.toxic + self.ordinary)
+        plain, toxic = self._pair
         windows = _windows(words)
-        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in windows), np.int64, len(windows))
+        return np.fromiter((plain(w) - toxic(w) for w in windows), np.int64, len(windows))
 
     def features(self, text: str) -> np.ndarray:
         """What the windows' distances say: the sum and the mean of their evidence, and the largest three."""
@@ -118,60 +131,74 @@ def _apart(texts: list[list[str]]) -> list[int]:
     return out
 
 
-def _stems(words: list[str]) -> set[str]:
-    return {w[:k] for w in words for k in (4, 5, 6, 7)} | {w for w in words if len(w) >= 4}
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains. Where samples are too few for the trainer, they are the dictionary."""
+    if sum(map(len, samples)) <= 2 * size:
+        return b"".join(dict.fromkeys(samples))[:size]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
-def _passages(toxic: list[list[str]], ordinary: list[list[str]], surprise: float = 6.0, ratio: float = 5.0) -> list[bytes]:
-    """For each toxic text, its words that begin as words do far more often there than in ordinary text:
-    by `surprise` standard deviations of the count that ordinary text lets expect, and `ratio` times it."""
-    a, b = Counter(), Counter()
-    for words in toxic:
-        a.update(_stems(words))
-    for words in ordinary:
-        b.update(_stems(words))
-    expected = {s: len(toxic) * (b[s] + 0.5) / (len(ordinary) + 1) for s in a}
-    marks = {s for s, n in a.items() if n > ratio * expected[s] and (n - expected[s]) / (expected[s] + 0.5) ** 0.5 > surprise}
-    found = [[w for w in words if any(w[:k] in marks for k in (4, 5, 6, 7)) or w in marks] for words in toxic]
-    return [f" {' '.join(x)} ".encode() for x in found if x]
+def ordinary_dictionary(windows: list[bytes]) -> bytes:
+    """One trained dictionary for each slice of the windows; as many slices as windows fill three times."""
+    slices = max(1, min(SLICES, sum(map(len, windows)) // (3 * SLICE_BYTES)))
+    return b"".join(_trained(windows[i::slices], SLICE_BYTES, 50) for i in range(slices))
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary that zstandard trains; small samples are their own dictionary."""
-    whole = b"".join(dict.fromkeys(samples))
-    if len(whole) <= size:
-        return whole
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return whole[:size]
+def _at_least(windows: list[bytes], values: np.ndarray, quantile: float, least: float) -> list[bytes]:
+    """Windows whose value is at least `least` and at least this quantile of all."""
+    if not len(values):
+        return []
+    cut = max(least, float(np.quantile(values, quantile)))
+    return [w for w, v in zip(windows, values, strict=True) if v >= cut]
+
 
+def toxic_dictionary(texts: list[list[str]], ordinary: bytes) -> bytes:
+    """Trained on whole windows of toxic texts, by halves that choose windows for each other."""
+    halves = [[w for words in texts[i::2] for w in _windows(words)] for i in (0, 1)]
+    plain = _length_with(ordinary)
+    before = [[plain(w) for w in half] for half in halves]
+    per_byte = [np.array([n / len(w) for w, n in zip(half, own, strict=True)]) for half, own in zip(halves, before, strict=True)]
+    chosen = [_at_least(half, told, 1 - ODDEST, 0) for half, told in zip(halves, per_byte, strict=True)]
+    for size in TOXIC_BYTES[:-1]:
+        others = [_length_with(_trained(c, size, 16) + ordinary) for c in reversed(chosen)]
+        saved = [np.array([n - other(w) for w, n in zip(half, own, strict=True)]) for half, own, other in zip(halves, before, others, strict=True)]
+        kept = [_at_least(half, d, 1 - SHARE, SAVED) for half, d in zip(halves, saved, strict=True)]
+        chosen = [k or c for k, c in zip(kept, chosen, strict=True)]
+    return _trained(chosen[0] + chosen[1], TOXIC_BYTES[-1], 16)
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> list[float]:
-    """Logistic regression by Newton steps."""
+
+def _fit(x: np.ndarray, y: np.ndarray, heft: np.ndarray, ridge: float = 0.05, steps: int = 40) -> list[float]:
+    """Logistic regression by Newton steps, each row counted `heft` times."""
     x = np.c_[np.ones(len(x)), x]
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (p - y) + penalty @ w)
+        w -= np.linalg.solve((x.T * (heft * p * (1 - p))) @ x + penalty, x.T @ (heft * (p - y)) + penalty @ w)
     return w.tolist()
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from the even texts of each class, calibration on the odd ones."""
-    prior = (len(toxic) + 1) / (len(toxic) + len(ordinary) + 2)
+def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int] | None = None, every: int = 4) -> Model:
+    """Calibration on every fourth text of each class, dictionaries from the others.
+
+    counts: how many toxic and ordinary texts the samples stand for; by default for themselves."""
+    counts = counts or (len(toxic), len(ordinary))
+    prior = (counts[0] + 1) / (sum(counts) + 2)
     sides = [[words_of(t) for t in x] for x in (toxic, ordinary)]
     sides = [[x[i] for i in _apart(x)] for x in sides]
-    if min(map(len, sides)) < 4:
+    if min(map(len, sides)) < every:
         return Model(prior=prior)
-    (tox_a, tox_b), (ord_a, ord_b) = ((x[::2], x[1::2]) for x in sides)
-    marked = _passages(tox_a, ord_a)
-    plain = _trained([w for words in ord_a for w in _windows(words)], DICT_BYTES)
-    model = Model(plain, _trained(marked, DICT_BYTES) + plain if marked else b"", prior=prior)
-    if model.toxic:
-        model.evidence = _evidence(*(np.concatenate([model.distances(w) for w in x if w] or [np.zeros(0, int)]) for x in (tox_b, ord_b)))
-    texts = [(" ".join(w), 1) for w in tox_b] + [(" ".join(w), 0) for w in ord_b]
-    model.weights = _fit(np.array([model.features(t) for t, _ in texts]), np.array([y for _, y in texts], float))
+    apart = [x[every - 1 :: every] for x in sides]
+    seen = [[w for i, w in enumerate(x) if i % every != every - 1] for x in sides]
+    plain = ordinary_dictionary([w for words in seen[1] for w in _windows(words)])
+    model = Model(plain, toxic_dictionary(seen[0], plain), prior=prior)
+    model.evidence = _evidence(*(np.concatenate([model.distances(w) for w in x if w] or [np.zeros(0, int)]) for x in apart))
+    texts = [(" ".join(w), 1 - i) for i, x in enumerate(apart) for w in x]
+    y = np.array([y for _, y in texts], float)
+    share = np.array([counts[1] / len(apart[1]), counts[0] / len(apart[0])])[y.astype(int)]
+    model.weights = _fit(np.array([model.features(t) for t, _ in texts]), y, share * len(y) / share.sum())
     return model
 
 
@@ -180,16 +207,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_toxic: int = SAMPLE_TOXIC, sample_ordinary: int = SAMPLE_ORDINARY) -> Model:
-    """Train on at most so many labelled texts of each class, first by a hash of the id; never held-out ones."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_toxic: int = SAMPLE_TOXIC, sample_ordinary: int = SAMPLE_ORDINARY, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on at most so many labelled texts of each class, first by a hash of the id; never held-out ones.
+
+    sample_bytes: texts are taken in that order, each class up to half of it; what does not fit is left out."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")).where(~held_out("__id") & F.col("__y").isin(0, 1)).groupBy("__id").agg(F.max("__y").alias("__y"))
+    counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     ids = [r for y, n in ((1, sample_toxic), (0, sample_ordinary)) for r in known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n).collect()]
     sample = spark.createDataFrame(ids, "__id long, __y int")
-    # The sample's size is bounded by the two parameters.
-    rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__doc", "__y", "__text").collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0]))
-    return train([r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0])
+    # The sample's size is bounded by the two parameters; what it joins stays out of the driver until it is measured.
+    found = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    found = written(found.groupBy("__doc", "__y").agg(F.min("__text").alias("__text")), "sample", 8)
+    place = lambda i: (xxhash.xxh64_intdigest(str(i)), i)
+    taken, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for i, y, n in sorted(map(tuple, found.select("__doc", "__y", F.octet_length("__text")).collect()), key=lambda r: place(r[0])):
+        if n <= room[y]:
+            room[y] -= n
+            taken.append((i,))
+    chosen = F.broadcast(spark.createDataFrame(taken, "__doc long"))
+    rows = sorted(map(tuple, found.join(chosen, "__doc").select("__doc", "__y", "__text").collect()), key=lambda r: place(r[0]))
+    return train([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], (counts.get(1, 0), counts.get(0, 0)))
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
