@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -49,7 +50,43 @@ def test_stage_against_brute_force(spark, sf):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     want = sorted(set(roots([shingled(t) for t in texts])))
     assert len(want) < len(texts)
-    assert sorted(r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, df.withColumn("n_chars", df.doc_id), sf).collect()) == want
+    kept = {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, df.withColumn("n_chars", df.doc_id), sf).collect()}
+    # Most links here are just above 0.8, where a fingerprint may miss one in 200.
+    assert set(want) <= kept and len(kept) - len(want) <= 2
+
+
+def test_recall_on_whole_tables(spark, sf):
+    """Groups of sf0.01 by brute force: none of the pairs from 0.8 up is lost."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == sorted(set(roots([shingled(t) for t in texts])))
+
+
+def test_variants_find_what_differs_by_a_bit(monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
+    rng = np.random.default_rng(1)
+    sets = [near_dedup.shingles(t) for t in planted()]
+    prints = [near_dedup.fingerprint(s) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    segments = np.array([p[0] for p in prints])
+    close = (np.bitwise_count(segments[i] ^ segments[j]) <= 1).any(axis=1)
+    close &= np.bitwise_count(np.array([p[1] for p in prints])[i] ^ np.array([p[1] for p in prints])[j]) <= near_dedup.CHECK
+    rows = []
+    for node, (own, check) in enumerate(prints):
+        for at, value in enumerate(own.tolist()):
+            low, high = value & 4095, value >> 12
+            rows += [((2 * at) << 12 | high, low, node, check), ((2 * at + 1) << 12 | low, high, node, check)]
+    rows = [rows[x] for x in rng.permutation(len(rows))]
+    batch = pa.RecordBatch.from_pydict({"half": pa.array([r[0] for r in rows], pa.int32()), "rest": pa.array([r[1] for r in rows], pa.int32()), "node": pa.array([r[2] for r in rows], pa.int64()), "check": pa.array(np.array([r[3] for r in rows]).view(np.int64))})
+    pairs, buckets = set(), {}
+    for out in near_dedup._variants(iter([batch])):
+        for large, a, b in zip(*(out.column(c).to_pylist() for c in ("large", "a", "b")), strict=True):
+            if large:
+                buckets.setdefault(a, set()).add(b)
+            else:
+                pairs.add((a, b))
+    together = {(a, b) for own in buckets.values() for a in own for b in own if a < b}
+    assert set(zip(i[close].tolist(), j[close].tolist(), strict=True)) <= pairs | together and buckets
 
 
 def test_forest_joins_what_all_pairs_join():

@@ -1,7 +1,12 @@
-"""Near duplicates by five-word shingles: texts whose shingle sets have a Jaccard similarity of 0.8 or more.
-
-Candidates share one of 32 bands of five MinHash values each: a pair at 0.8 is missed with a probability of
-0.000003, one above it with less. Every candidate is verified on the whole shingle sets. In a small bucket
+"""SimHash near duplicates at a similarity: five-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+Three bits of 64 are too few for this similarity, so the deletion-variant signatures of `simhash` are made
+on a longer fingerprint: majority bits in 48 segments of 24 bits. Sets alike in 0.8 of their shingles differ
+in about 15 of 100 bits; a pair is a candidate if some segment differs in at most one bit, that is if both
+agree in a one-wildcard variant of it. A pair at 0.8 is missed with a probability of 0.005, one at 0.85 of
+0.0002, one at 0.9 of less than a millionth (independent bits). Rows are dealt by the half of a segment that
+has no wildcard; the variants of the other half are joined in the task that holds them. Candidates must
+agree in 46 of 64 further bits and are then verified on the whole shingle sets. In a small bucket
 all pairs are candidates; in a large one a spanning forest of verified links is made where its sets are, so
 that rows do not grow with the square of a group. Equal sets are merged before that.
 
@@ -24,11 +29,14 @@ from .common import arrow_map, one_of_each, parts_for, small_batches, splits, te
 from .components import components
 
 WORDS = 5
-BANDS, ROWS = 32, 5
+SEGMENTS, BITS = 48, 24
+HALF = BITS // 2
 SEED = 42
 #: In buckets of more sets than this, links are found by a forest and not from all pairs.
 LARGE = 16
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+#: Of the 64 check bits so many may differ: three standard deviations more than a pair at 0.8 has.
+CHECK = 18
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SEGMENTS * BITS // 64 + 1), dtype=np.uint64)
 _ADD, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
 
@@ -42,17 +50,18 @@ def shingles(text: str, width: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One value for each band of a shingle set's MinHash values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 1 << 11):
-        mixed = (own[None, at : at + (1 << 11)] ^ _ADD) * _TIMES
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
-    value = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        value = (value ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-    return value
+def fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """The segments of a shingle set's fingerprint, and 64 bits more to check candidates by."""
+    ones = np.zeros(64 * len(_ADD), np.int64)
+    for at in range(0, len(own), 1 << 10):
+        mixed = (own[at : at + (1 << 10), None] ^ _ADD) * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int32)
+    bits = ones * 2 > len(own)
+    packed = np.packbits(bits[: SEGMENTS * BITS].reshape(SEGMENTS, BITS), axis=1).astype(np.int32)
+    return packed[:, 0] << 16 | packed[:, 1] << 8 | packed[:, 2], np.packbits(bits[SEGMENTS * BITS :]).view(np.uint64)[0]
 
 
 def near(a: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -83,39 +92,64 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(told, node, bands) of every row: hash of its text, hash of its shingle set, its bands."""
+    """(told, node, segments, check) of every row: hash of its text, hash of its shingle set, its fingerprint."""
     small_batches(docs.sparkSession)
 
     def made(b: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-        flat = np.concatenate([bands(s) for s in sets]).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "bands": lists}
+        prints = [fingerprint(s) for s in sets]
+        flat = np.concatenate([p[0] for p in prints])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEGMENTS), pa.int32()), pa.array(flat))
+        return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "segments": lists, "check": pa.array(np.array([p[1] for p in prints]).view(np.int64))}
 
     rows = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told"))
-    return arrow_map(rows, made, "told long, node long, bands array<long>")
+    return arrow_map(rows, made, "told long, node long, segments array<int>, check long")
+
 
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From whole halves (half, rest, node, check): candidate pairs (a, b), and (bucket, b) of large buckets.
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From whole buckets (bucket, node): pairs (a, b) of small ones, and (bucket, b) of large ones."""
-    parts = [[b.column(c).to_numpy() for c in ("bucket", "node")] for b in batches if b.num_rows]
+    rest is the half that has a wildcard. A bucket is one segment value and all values a wildcard away."""
+    parts = [[b.column(c).to_numpy() for c in ("half", "rest", "node", "check")] for b in batches if b.num_rows]
     if not parts:
         return
-    bucket, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(bucket, kind="stable")
-    bucket, node = bucket[order], node[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    lengths = np.diff(np.r_[starts, len(bucket)])
-    pairs = [np.empty((2, 0), np.int64)]
+    half, rest, node, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key = half.astype(np.int64) << HALF | rest
+    order = np.argsort(key, kind="stable")
+    key, node, check = key[order], node[order], check[order].view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lengths, values = np.diff(np.r_[starts, len(key)]), key[starts]
+    pairs, large = [np.empty((2, 0), np.int64)], [np.empty((2, 0), np.int64)]
+
+    def product(i: np.ndarray, j: np.ndarray) -> None:
+        close = np.bitwise_count(check[i] ^ check[j]) <= CHECK
+        pairs.append(np.stack([node[i[close]], node[j[close]]]))
+
+    # Equal segments: both halves of a segment meet them, one is enough.
+    first = (values >> (2 * HALF)) & 1 == 0
     for n in range(2, LARGE + 1):
-        at = starts[lengths == n]
+        at = starts[(lengths == n) & first]
         i, j = np.triu_indices(n, 1)
-        if len(at):
-            pairs.append(np.stack([node[(at[:, None] + i).ravel()], node[(at[:, None] + j).ravel()]]))
+        product((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
+    members = lambda v: node[starts[v] : starts[v] + lengths[v]]
+    for v in np.flatnonzero(lengths > LARGE):
+        large.append(np.stack([np.full(lengths[v], values[v]), members(v)]))
+    for bit in range(HALF):
+        low = np.flatnonzero((values >> bit) & 1 == 0)
+        at = np.searchsorted(values, values[low] | (1 << bit)).clip(max=len(values) - 1)
+        met = values[at] == values[low] | (1 << bit)
+        x, y = low[met], at[met]
+        one = (lengths[x] == 1) & (lengths[y] == 1)
+        product(starts[x[one]], starts[y[one]])
+        for v, w in zip(x[~one], y[~one], strict=True):
+            if max(lengths[v], lengths[w]) <= LARGE:
+                product(np.repeat(starts[v] + np.arange(lengths[v]), lengths[w]), np.tile(starts[w] + np.arange(lengths[w]), lengths[v]))
+            else:
+                v, w = (v, w) if lengths[v] >= lengths[w] else (w, v)
+                large.append(np.stack([np.full(lengths[w], values[v]), members(w)]))
     small = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-    large = np.repeat(lengths > LARGE, lengths)
-    for which, a, b in ((False, *small), (True, bucket[large], node[large])):
+    for which, a, b in ((False, *small), (True, *np.concatenate(large, axis=1))):
         for at in range(0, len(a), 1 << 16):
             own = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(len(a[own]), which)), "a": pa.array(a[own]), "b": pa.array(b[own])})
@@ -129,10 +163,14 @@ def _forest_of(table: pa.Table) -> pa.Table:
 
 
 def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part: int = 500_000) -> DataFrame:
-    """Links (a, b) that join the near ones among distinct sets (node, told, bands); told: one text of each."""
-    rows = distinct.select(F.explode("bands").alias("bucket"), "node")
-    rows = rows.repartition(parts_for(distinct, distinct.count() * BANDS, per_part), "bucket")
-    found = written(rows.mapInArrow(tidy(_buckets), "large boolean, a long, b long"), "candidates", splits(docs))
+    """Links (a, b) that join the near ones among distinct sets (node, told, segments, check); told: one text of each."""
+    rows = distinct.select(F.posexplode("segments").alias("i", "value"), "node", "check")
+    low, high = F.col("value").bitwiseAND((1 << HALF) - 1), F.shiftright("value", HALF)
+    name = lambda h: F.shiftleft(F.col("i") * 2 + h, HALF)
+    sides = F.array(F.struct((name(0) + high).alias("half"), low.alias("rest")), F.struct((name(1) + low).alias("half"), high.alias("rest")))
+    rows = rows.select(F.inline(sides), "node", "check")
+    rows = rows.repartition(parts_for(distinct, distinct.count() * SEGMENTS * 2, per_part), "half")
+    found = written(rows.mapInArrow(tidy(_variants), "large boolean, a long, b long"), "candidates", splits(docs))
     pairs = written(found.where("not large").select("a", "b").distinct(), "pairs", splits(docs))
     large = found.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
@@ -154,7 +192,7 @@ def near_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(told, root) of every text: texts of one root are near each other, or joined by texts that are."""
     rows = written(signed(docs, text_col).dropDuplicates(["told"]), "signed", splits(docs))
     files = splits(docs)
-    distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("bands").alias("bands")), "distinct", files)
+    distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("segments").alias("segments"), F.first("check").alias("check")), "distinct", files)
     roots = written(components(links(docs, distinct, text_col), files), "roots", files)
     known = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("told", "node").join(written(known, "known", files), "node").select("told", "root")
