@@ -67,6 +67,23 @@ def test_words_are_tokenised_as_whole_texts_are(plain):
         assert [x.tolist() for x in cache.encode(pa.array(ODD_TEXTS))] == [plain(t)[:-1].tolist() for t in ODD_TEXTS]
 
 
+def test_every_code_point_of_the_short_path(plain):
+    import pyarrow as pa
+
+    cache = packing.WordCache(PATH)
+    for shape in ("{}", "a{}b", "Xy{} z"):
+        texts = [shape.format(chr(c)) for c in range(0x260)]
+        assert [x.tolist() for x in cache.encode(pa.array(texts))] == [plain(t)[:-1].tolist() for t in texts]
+
+
+def test_repeats_and_long_rows_make_no_large_group(spark):
+    docs = spark.createDataFrame([(1, "same words here again " * 40)] * 400 + [(2, "a b c d e f " * 20_000)], "doc_id long, text string")
+    groups = {}
+    for p in packing.pack(docs, per_group=8192).collect():
+        groups[p.sequence_id >> 32] = groups.get(p.sequence_id >> 32, 0) + p.length
+    assert len(groups) > 15 and max(groups.values()) < 4 * sum(groups.values()) / len(groups)
+
+
 def test_odd_rows(odd, nothing):
     pieces = packing.pack(odd).collect()
     by = {}

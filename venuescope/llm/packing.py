@@ -1,9 +1,14 @@
 """Packing token sequences: first-fit decreasing with a tournament tree, in randomised groups.
 
 A document's ids end with an end id; a document longer than a sequence is cut at multiples of the
-sequence length. Documents are dealt at random (by a seeded hash) to groups of about `per_group`, and
-each group packs its pieces on its own: the longest first, each into the first sequence with room. A
-tournament tree over the room left in the sequences finds that one in logarithmic time.
+sequence length, before anything is shuffled. Pieces are dealt at random (by a seeded hash of document,
+place, ids and a salt) to groups of about `per_group` ids, and each group packs its pieces on its own: the
+longest first, each into the first sequence with room. A tournament tree over the room left in the
+sequences finds that one in logarithmic time. Groups are dealt by pieces, of at most a sequence each, so
+neither a very long document nor a row repeated many times makes a large group.
+
+The number of groups comes from an estimate of all ids: code units of the texts over 3. Where that is
+out by a factor, groups are larger or smaller by it and the packing stays right.
 
 Nulls: a null text is an empty one, whose only id is the end id; a null id stays null. Repeated rows are
 packed once each. An empty table gives an empty result. Other columns are not read.
@@ -26,8 +31,9 @@ from .common import small_batches, text_of, tidy
 SEQUENCE = 2048
 END = 1
 #: Texts with other characters than these are tokenised whole. Within these, lower case and white space
-#: are the same to Arrow, Python and the tokenizer, and no text holds a special token. (RE2 syntax.)
-ODD = r"[^\x{0}-\x{1b}\x{20}-\x{24f}]|<[|]"
+#: are the same to Arrow, Python and the tokenizer, and no text holds a special token. U+0130 is the one
+#: letter among them whose lower case is two code points. (RE2 syntax.)
+ODD = r"[^\x{0}-\x{1b}\x{20}-\x{12f}\x{131}-\x{24f}]|<[|]"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 CACHE_WORDS = 400_000
 
@@ -162,8 +168,9 @@ def first_fit_decreasing(sizes: list[int], room: int = SEQUENCE) -> list[tuple[i
     return out
 
 
-def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, ids): every document's ids as little-endian unsigned 32-bit numbers, the end id included."""
+def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, room: int = SEQUENCE) -> DataFrame:
+    """Pieces (doc_id, start, doc_tokens, ids) of every document: its ids as little-endian unsigned 32-bit
+    numbers, the end id included, cut at multiples of `room`."""
     small_batches(docs.sparkSession, 2000)
     held: dict = {}
 
@@ -171,24 +178,33 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             if "cache" not in held:
                 held["cache"] = WordCache(path)
-            found = held["cache"].encode(b.column("text"))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array([np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in found], pa.binary())})
+            docs, starts, totals, pieces = [], [], [], []
+            for doc, own in zip(b.column("doc_id").to_pylist(), held["cache"].encode(b.column("text")), strict=True):
+                own = np.append(own, np.uint32(end)).astype("<u4")
+                for start in range(0, len(own), room):
+                    docs.append(doc)
+                    starts.append(start)
+                    totals.append(len(own))
+                    pieces.append(own[start : start + room].tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "doc_tokens": pa.array(totals, pa.int64()), "ids": pa.array(pieces, pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, start long, doc_tokens long, ids binary")
 
 
 def _packed(room: int):
     def pack(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        pieces = [(doc, start, min(room, len(ids) // 4 - start), len(ids) // 4, ids) for doc, ids in rows for start in range(0, len(ids) // 4, room)]
-        places = first_fit_decreasing([p[2] for p in pieces], room)
-        group = table.column("group")[0].as_py() if pieces else 0
+        columns = {c: table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")}
+        order = sorted(range(table.num_rows), key=lambda i: (columns["doc_id"][i] is None, columns["doc_id"][i] or 0, columns["start"][i], columns["ids"][i]))
+        doc, start, total, ids = ([columns[c][i] for i in order] for c in ("doc_id", "start", "doc_tokens", "ids"))
+        lengths = [len(x) // 4 for x in ids]
+        places = first_fit_decreasing(lengths, room)
+        group = table.column("group")[0].as_py() if ids else 0
         return pa.table({
-            "doc_id": pa.array([p[0] for p in pieces], pa.int64()),
-            "start": pa.array([p[1] for p in pieces], pa.int64()),
-            "length": pa.array([p[2] for p in pieces], pa.int64()),
-            "doc_tokens": pa.array([p[3] for p in pieces], pa.int64()),
-            "ids": pa.array([p[4][4 * p[1] : 4 * (p[1] + p[2])] for p in pieces], pa.binary()),
+            "doc_id": pa.array(doc, pa.int64()),
+            "start": pa.array(start, pa.int64()),
+            "length": pa.array(lengths, pa.int64()),
+            "doc_tokens": pa.array(total, pa.int64()),
+            "ids": pa.array(ids, pa.binary()),
             "sequence_id": pa.array([(group << 32) + s for s, _ in places], pa.int64()),
             "offset": pa.array([o for _, o in places], pa.int64()),
         })
@@ -196,15 +212,18 @@ def _packed(room: int):
     return pack
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", room: int = SEQUENCE, per_group: int = 1024, seed: int = 9) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", room: int = SEQUENCE, per_group: int = 1 << 19, seed: int = 9) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (binary), sequence_id, offset.
 
-    path: a tokenizer file; by default the public word_bpe_49k.json."""
+    path: a tokenizer file; by default the public word_bpe_49k.json. per_group: ids of a group, about."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    groups = max(1, -(-docs.count() // per_group))
-    made = tokens(docs, path, id_col, text_col)
-    dealt = made.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32("ids")), F.lit(groups)))
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)) / 3 + 1)).first()[0] or 0
+    groups = max(1, round(size / per_group))
+    made = tokens(docs, path, id_col, text_col, room=room)
+    # The salt is a row's place in its partition: repeats of a row are dealt apart, and a task that runs again deals alike.
+    salt = F.monotonically_increasing_id()
+    dealt = made.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), salt), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(_packed(room), "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
