@@ -42,8 +42,39 @@ def test_ownership_parts_examples_from_live_keys(spark):
     assert by[0].added == [] and by[0].n_copied == 1
 
 
-def test_repositories_of_a_value_are_told(spark):
-    key = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
-    docs = spark.createDataFrame([(i, f"use {key} here", "one") for i in range(30)] + [(99, "nothing", "one")], "doc_id long, text string, source string")
-    by = {r.doc_id: r for r in secrets.scan(docs).collect()}
-    assert by[0].n_live == 1 and by[0].n_repositories == 30 and by[99].n_repositories == 0
+def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
+    key, own = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    docs = [(i, f"use {key} here {i}", "one") for i in range(30)] + [(50 + i, f"mine {own}", "one") for i in range(30)] + [(99, "nothing", "one")]
+    by = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert (by[0].n_live, by[0].n_copied, by[0].n_repositories, by[0].added) == (0, 1, 30, []) and by[99].n_repositories == 0
+    # Copies of one text are one repository.
+    assert by[50].n_live == 1 and by[50].n_repositories == 1 and len(by[50].added) == 1
+
+
+def added(rows, owners=2, repositories=10):
+    """Live tokens apart from base spans, by brute force; rows: (id, text, source)."""
+    spans, holders, texts = {}, {}, {}
+    for i, text, source in rows:
+        own = [(s, e, (ASSIGN.match(text[s:e])[2] if k == 0 else text[s:e])) for s, k, e in base(text)]
+        more = [(m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text)]
+        more = [m for m in more if re.search("[0-9]", m[2]) and re.search("[A-Z]", m[2]) and re.search("[a-z]", m[2]) and not any(b[0] < m[1] and m[0] < b[1] for b in own)]
+        spans[i] = more
+        for _, _, v in own + more:
+            holders.setdefault(v, set()).add(source)
+            texts.setdefault(v, set()).add(text)
+    return {i: [(s, e) for s, e, v in own if len(holders[v]) <= owners and len(texts[v]) <= repositories] for i, own in spans.items()}
+
+
+def test_added_spans_against_brute_force(spark, sf, rows_of):
+    sf = sf.replace("0.001", "0.01")
+    want = added([(i, t or "", s) for i, t, s in rows_of(sf, "documents", "doc_id", "text", "source")])
+    got = {r.doc_id: [(x.start, x.stop) for x in r.added] for r in secrets.scan(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == want
+
+
+def test_very_many_matches_in_one_text(spark):
+    runs = 20_000
+    text = "".join(f"é{i:024x} token=abc{i:07d} Zz{i:020d}A " for i in range(runs))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    (row,) = secrets.scan(docs).collect()
+    assert [(s.start, s.kind, s.stop) for s in row.base] == base(text) and len(row.added) == runs
