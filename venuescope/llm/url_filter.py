@@ -1,14 +1,20 @@
 """URL filters: rules first, else a character language-model ratio, in DataFrame functions only.
 
-Two variable-order Markov models, one of accepted and one of rejected URLs, are counted from the URLs
-that no rule judges: those whose host holds a seed term are rejected examples, the rest accepted ones. A
-character's probability after its context is smoothed by the next shorter context's, down to a uniform
-one. A URL's score is the mean over its characters of the log ratio of both models, each taken at the
-longest context that was counted. The cut is calibrated on the examples' own scores.
-
-The model has at most one row per string of up to four characters of a 41-letter alphabet (digits count
-as one letter); strings seen once in all rows are pruned. URLs alike in that alphabet are counted together,
-as often as they occur.
+Two variable-order Markov models, one of accepted and one of rejected URLs, are counted from labelled
+examples. A character's probability after its context is smoothed by the next shorter context's, down to a
+uniform one. A URL's score is the mean over its characters of the log ratio of both models, each taken at the
+longest context that was counted.
+
+Labels are an input. Without a label column, URLs whose host holds a seed term are rejected examples and the
+others accepted ones; URLs that a rule judges are none, as rules go by domain and language and say nothing of
+what junk looks like. The cut is calibrated on hosts apart: a model of three quarters of the hosts, dealt by
+a hash, scores the other quarter, each host of which counts once, however many pages it has. With that cut
+the model of all examples judges. A held-out accepted host is never above the cut, but for one in a thousand.
+
+A model has at most one row per string of four characters of a 41-letter alphabet (digits count as one
+letter), under three million; shorter strings are summed from these, and those seen once in all rows are
+pruned. URLs alike in that alphabet are counted together, as often as they occur. For scoring, every string
+of four gets its one ratio first, so that characters meet a single table of proven size.
 
 Nulls: a null URL, or one without "://", has an empty host and path and is allowed. A null page id stays
 null. Repeated rows are judged alike. Without rejected examples everything that no rule blocks is
@@ -28,6 +34,10 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra")
 ORDER = 4
 HEFT = 2.0
+#: One host in so many is held out to calibrate the cut.
+FOLDS = 4
+#: Strings of four letters of the alphabet: the most rows that a model, and so a broadcast, can have.
+MOST_GRAMS = 41**ORDER
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,31 +64,29 @@ def letters(rest: Column) -> Column:
     return F.concat(F.lit("^^^"), F.regexp_replace(F.regexp_replace(small, "[0-9]", "0"), r"[^a-z0./:?=&_\-#%+,~^]", "~"))
 
 
-def _grams(order: int) -> Column:
-    """Structs (gram) of one order, one for every character after the start mark."""
+def _grams() -> Column:
+    """Strings of four characters, one for every character after the start mark."""
     spots = F.sequence(F.lit(ORDER), F.length("letters"))
-    return F.when(F.length("letters") >= ORDER, F.transform(spots, lambda i: F.substring(F.col("letters"), i - (order - 1), F.lit(order)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length("letters") >= ORDER, F.transform(spots, lambda i: F.substring(F.col("letters"), i - (ORDER - 1), F.lit(ORDER)))).otherwise(F.array().cast("array<string>"))
 
 
 def train(examples: DataFrame, least: int = 2) -> DataFrame:
     """(gram, ratio): log ratio, rejected over accepted, of a gram's last character after its others.
 
     examples: letters, rejected (boolean) and weight, the number of rows alike."""
-    exploded = None
-    for k in range(1, ORDER + 1):
-        part = examples.select("rejected", "weight", F.lit(k).alias("k"), F.explode(_grams(k)).alias("gram"))
-        exploded = part if exploded is None else exploded.unionByName(part)
-    counts = exploded.groupBy("k", "gram").agg(F.sum(F.when(~F.col("rejected"), F.col("weight")).otherwise(0)).alias("a"), F.sum(F.when(F.col("rejected"), F.col("weight")).otherwise(0)).alias("r"))
+    one = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0))
+    counts = examples.select("rejected", "weight", F.explode(_grams()).alias("gram")).groupBy("gram").agg(one(~F.col("rejected")).alias("a"), one(F.col("rejected")).alias("r"))
     counts = written(counts, "grams")
     model, shorter = None, None
     for k in range(1, ORDER + 1):
-        own = counts.where(F.col("k") == k).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        # Every character ends one string of four, so its shorter strings are their ends.
+        own = counts.groupBy(F.substring("gram", ORDER + 1 - k, k).alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")).withColumn("context", F.substring("gram", 1, k - 1))
         sums = own.groupBy("context").agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
         joined = own.join(sums, "context")
         if shorter is None:
             base = joined.withColumn("qa", F.lit(1 / 41)).withColumn("qr", F.lit(1 / 41))
         else:
-            base = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter.select(F.col("gram").alias("suffix"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "suffix")
+            base = joined.withColumn("suffix", F.substring("gram", 2, k)).join(shorter.select(F.col("gram").alias("suffix"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "suffix")
         own = base.select("gram", "a", "r", ((F.col("a") + HEFT * F.col("qa")) / (F.col("na") + HEFT)).alias("pa"), ((F.col("r") + HEFT * F.col("qr")) / (F.col("nr") + HEFT)).alias("pr"))
         shorter = written(own, f"order{k}")
         part = shorter.where(F.col("a") + F.col("r") >= least).select("gram", (F.log("pr") - F.log("pa")).alias("ratio"))
@@ -89,29 +97,47 @@ def train(examples: DataFrame, least: int = 2) -> DataFrame:
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
     """urls (row, letters, ...) with `score`, the mean log ratio over the characters; null for none."""
     keys = [c for c in urls.columns if c != "letters"]
-    spots = F.explode_outer(F.when(F.length("letters") >= ORDER, F.sequence(F.lit(ORDER), F.length("letters"))))
-    at = urls.select(*keys, "letters", spots.alias("i"))
-    for k in range(1, ORDER + 1):
-        at = at.withColumn(f"g{k}", F.substring(F.col("letters"), F.col("i") - (k - 1), F.lit(k)))
-    at = at.drop("letters", "i")
-    for k in range(1, ORDER + 1):
-        own = model.where(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        at = at.join(own, f"g{k}", "left")
-    best = F.coalesce(*(F.col(f"r{k}") for k in range(ORDER, 0, -1)), F.when(F.col("g1").isNotNull(), F.lit(0.0)))
-    return at.groupBy(*keys).agg(F.avg(best).alias("score"))
-
-
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds: tuple = SEEDS) -> DataFrame:
-    """page_id, host, path, rule, score, verdict of every row."""
+    at = urls.select(*keys, F.explode_outer(_grams()).alias("gram"))
+    told = at.where("gram is not null").select("gram").distinct()
+    for k in range(ORDER, 0, -1):
+        own = model.where(F.length("gram") == k).select(F.col("gram").alias("own"), F.col("ratio").alias(f"r{k}"))
+        told = told.withColumn("own", F.substring("gram", ORDER + 1 - k, k)).join(own, "own", "left").drop("own")
+    told = written(told.select("gram", F.coalesce(*(f"r{k}" for k in range(ORDER, 0, -1)), F.lit(0.0)).alias("ratio")), "ratios")
+    told = F.broadcast(told) if told.count() <= MOST_GRAMS else told
+    return at.join(told, "gram", "left").groupBy(*keys).agg(F.avg("ratio").alias("score"))
+
+
+def calibrated(examples: DataFrame) -> float:
+    """The cut above which a URL is rejected, from examples (host, letters, rejected, weight).
+
+    Hosts apart are scored by a model of the others. Where their accepted and rejected hosts part, the cut
+    is in the middle, else it is the accepted hosts' highest score, but for one in a thousand."""
+    apart = F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == 0
+    sides = examples.withColumn("apart", apart).groupBy("rejected").agg(F.sum(F.col("apart").cast("int")).alias("held"), F.sum((~F.col("apart")).cast("int")).alias("seen")).collect()
+    by = {r.rejected: r for r in sides}
+    if True not in by or False not in by:
+        return float("inf")
+    # Too few hosts to hold some back: all of them are seen and score.
+    split = by[False].held > 0 and by[False].seen > 0 and by[True].seen > 0
+    model = train(examples.where(~apart) if split else examples)
+    known = scored(examples.where(apart) if split else examples, model).groupBy("host", "rejected").agg(F.max("score").alias("top"), F.min("score").alias("bottom"))
+    high, low = F.percentile_approx(F.when(~F.col("rejected"), F.col("top")), 0.999, 10000), F.percentile_approx(F.when(F.col("rejected"), F.col("bottom")), 0.001, 10000)
+    told = known.agg(high.alias("high"), low.alias("low")).first()
+    return (told.high + told.low) / 2 if told.low is not None and told.low > told.high else told.high
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds: tuple = SEEDS, rejected_col: str | None = None) -> DataFrame:
+    """page_id, host, path, rule, score, verdict of every row.
+
+    rejected_col: a boolean label, null where a URL is no example; by default the hosts with a seed term are rejected."""
     host, path, rest = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), letters(rest).alias("letters"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), letters(rest).alias("letters"), (F.col(rejected_col) if rejected_col else F.lit(None).cast("boolean")).alias("told"))
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
-    seeded = F.col("host").rlike(rf"(^|[.-])({'|'.join(seeds)})([.-]|$)")
-    rows = written(rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("rejected", seeded), "urls")
-    examples = rows.where("rule is null and host <> ''").groupBy("letters", "rejected").agg(F.count(F.lit(1)).alias("weight"))
-    known = written(scored(rows, train(examples)), "scored")
-    high, low = F.percentile_approx(F.when(~F.col("rejected"), F.col("score")), 0.999, 10000), F.percentile_approx(F.when(F.col("rejected"), F.col("score")), 0.01, 10000)
-    told = known.where("rule is null and host <> ''").agg(high.alias("high"), low.alias("low")).first()
-    cut = float("inf") if told.low is None else told.low if told.high is None else (told.high + told.low) / 2 if told.low > told.high else told.high
+    seeded = F.col("host").rlike(rf"(^|[.-])({'|'.join(seeds)})([.-]|$)") if seeds else F.lit(False)
+    rows = written(rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("rejected", F.col("told") if rejected_col else seeded).drop("told"), "urls")
+    examples = rows.where("rule is null and host <> '' and rejected is not null").groupBy("host", "letters", "rejected").agg(F.count(F.lit(1)).alias("weight"))
+    examples = written(examples, "examples")
+    cut = calibrated(examples)
+    known = scored(rows, train(examples))
     own = F.when(F.coalesce("score", F.lit(float("-inf"))) > F.lit(cut), "block").otherwise("allow")
     return known.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", own).alias("verdict"))
