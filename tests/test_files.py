@@ -44,6 +44,34 @@ def test_sinks(spark, tmp_path):
     assert any(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in (tmp_path / "bom").glob("part*"))
 
 
+ODD_VALUES = [("A", 'He said "hi, there", ok', "1"), ("B", 'ends "quoted"', "2"), ("C", "two\nlines, and\r\nthree", "3"), ("D", "back\\slash \\", " 4 "), ("E", "", "5"), ("F", None, "6"), ("G", '"', ",")]
+
+
+def test_what_is_written_reads_back(spark, tmp_path):
+    df = spark.createDataFrame(ODD_VALUES, "place string, text string, n string")
+    path = files.write_csv(df.coalesce(1), str(tmp_path / "odd"))
+    assert [tuple(r) for r in files.read_csv(spark, path).collect()] == ODD_VALUES
+    assert files.broken_rows(spark, path).count() == 0
+
+
+def test_both_quoting_styles_and_broken_rows(spark, csv):
+    doubled = csv("a.csv", 'place,text,n\nA,"He said ""hi, there"", ok",1\nB,"ends ""quoted""",2\nC,x,3,too,many\nD,short\n', "utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, doubled).collect()] == [("A", 'He said "hi, there", ok', "1"), ("B", 'ends "quoted"', "2"), ("D", "short", None)]
+    assert [r.line for r in files.broken_rows(spark, doubled).collect()] == ["C,x,3,too,many"]
+    slashed = csv("b.csv", 'place,text\nA,"He said \\"hi, there\\", ok"\n', "utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, slashed, escape="\\").collect()] == [("A", 'He said "hi, there", ok')]
+
+
+def test_encoding_is_told_by_all_bytes_of_every_file(spark, tmp_path):
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    filler = "x" * 100 + ",y\n"
+    (folder / "late.csv").write_bytes(("a,b\n" + filler * 12_000 + "카페,좋다\n").encode("cp949"))
+    (folder / "plain é.csv").write_bytes("a,b\n역,멀다\n".encode())
+    rows = files.read_csv(spark, str(folder)).where("length(a) < 50").collect()
+    assert sorted(tuple(r) for r in rows) == [("역", "멀다"), ("카페", "좋다")]
+
+
 def test_log(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     log.write_text(json.dumps({"reviews": [{"review_index": 4}, {"review_index": "x"}]}) + "\n\n{broken\n" + json.dumps({"reviews": [{"review_index": "9"}]}) + "\n")
@@ -80,3 +108,6 @@ def test_results_are_remembered_by_version_and_arguments(spark, tmp_path):
     for args, version in (((3,), "1"), ((3,), "1"), ((4,), "1"), ((3,), "2")):
         assert files.remembered(spark, str(tmp_path), numbers, *args, version=version).count() == args[0]
     assert made == [3, 4, 3]
+    for now in (0.0, 59.0, 60.0, 61.0):
+        files.remembered(spark, str(tmp_path), numbers, 5, seconds=60, now=lambda now=now: now)
+    assert made == [3, 4, 3, 5, 5]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterable
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-SNIFF_BYTES = 1 << 20
+#: The column that holds a broken row's line while files are read.
+BROKEN = "__broken"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -26,35 +30,70 @@ def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
-def sniffed(spark: SparkSession, path: str) -> str:
-    """UTF-8 where the start of a file decodes as such, else the Korean code page."""
-    # binaryFile reads the whole file; a prefix through a stream is enough here.
+def _files(spark: SparkSession, path: str) -> list[str]:
     fs, own = _filesystem(spark, path)
-    if fs.getFileStatus(own).isDirectory():
-        own = next(s.getPath() for s in fs.listStatus(own) if not s.getPath().getName().startswith(("_", ".")))
-    stream = fs.open(own)
-    try:
-        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFF_BYTES)))
-    finally:
-        stream.close()
-    for cut in range(4):  # the prefix may end inside a character
-        try:
-            head[: len(head) - cut].decode("utf-8-sig")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "x-windows-949"
-
-
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header: quoted texts may hold line ends, malformed rows are dropped.
-
-    All columns are strings; the encoding is found by looking, unless given."""
-    encoding = encoding or sniffed(spark, path)
+    if not fs.getFileStatus(own).isDirectory():
+        return [path]
+    return [s.getPath().toString() for s in fs.listStatus(own) if not s.getPath().getName().startswith(("_", "."))]
+
+
+def encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """The encoding of every file of a path: UTF-8 where all its bytes are valid, else the Korean code page.
+
+    All bytes are looked at, by the executors and by line; only the files' names come back."""
+    files = _files(spark, path)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    lines = spark.read.text(files).select(name.alias("file"), F.is_valid_utf8("value").alias("valid"))
+    other = {r.file for r in lines.where("not valid").select("file").distinct().collect()}
+    # Names come back escaped as in addresses.
+    return {f: "x-windows-949" if quote(f.rsplit("/", 1)[-1]) in other or f.rsplit("/", 1)[-1] in other else "UTF-8" for f in files}
+
+
+def _csv(spark: SparkSession, encoding: str, escape: str) -> DataFrameReader:
     if encoding != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", "\\").option("mode", "DROPMALFORMED").option("encoding", encoding).csv(path)
-    return df.select(*columns) if columns else df
+    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", escape).option("encoding", encoding).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("emptyValue", "")
+
+
+def _parsed(spark: SparkSession, path: str, encoding: str | None, escape: str) -> DataFrame:
+    """All rows of the files with `_broken`, the line of a row whose fields are not as many as the header's."""
+    by: dict[str, list[str]] = {}
+    for f, e in (encodings(spark, path) if encoding is None else dict.fromkeys([path], encoding)).items():
+        by.setdefault(e, []).append(f)
+    out = None
+    for e, files in sorted(by.items()):
+        reader = _csv(spark, e, escape)
+        names = reader.csv(files).columns
+        schema = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
+        part = reader.schema(schema).option("columnNameOfCorruptRecord", BROKEN).option("enforceSchema", True).csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _too_long(rows: DataFrame, escape: str) -> Column:
+    """Whether a broken row has more fields than there are columns."""
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    again = F.from_csv(BROKEN, ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": escape, "nullValue": "\x00", "emptyValue": ""})
+    return F.col(BROKEN).isNotNull() & again[names[-1]].isNotNull()
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, escape: str = '"') -> DataFrame:
+    """CSV files with a header, all columns strings: quoted texts may hold line ends, delimiters and quotes.
+
+    Quotes inside quotes are doubled; `escape="\\\\"` reads files that write them after a backslash. A row with
+    too few fields ends in nulls; one with too many is left out, see `broken_rows`. The encoding of each
+    file is found by looking at all of it, unless given."""
+    rows = _parsed(spark, path, encoding, escape)
+    kept = rows.where(~_too_long(rows, escape)).drop(BROKEN)
+    return kept.select(*columns) if columns else kept
+
+
+def broken_rows(spark: SparkSession, path: str, encoding: str | None = None, escape: str = '"') -> DataFrame:
+    """The rows that `read_csv` leaves out, as they stand in the file (line)."""
+    rows = _parsed(spark, path, encoding, escape)
+    # The reader does not give broken lines alone: a condition that always holds reads the columns too.
+    read = F.length(F.concat_ws("", *(c for c in rows.columns if c != BROKEN))) >= 0
+    return rows.where(read & _too_long(rows, escape)).select(F.col(BROKEN).alias("line"))
 
 
 def read_parts(spark: SparkSession, paths: list[str], order: tuple[str, ...] = ("review_index", "place")) -> DataFrame:
@@ -80,7 +119,9 @@ def write_csv(df: DataFrame, path: str, suffix: str = "", bom: bool = False) ->
     target = f"{path}{suffix}"
     if bom:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
+    # Without these two, the writer trims texts.
+    plain = df.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    plain.option("header", True).option("escape", '"').csv(target)
     return target
 
 
@@ -100,9 +141,13 @@ def done_reviews(lines: DataFrame) -> DataFrame:
     return answers.select(F.explode("a.reviews.review_index").alias("r")).select(F.col("r").try_cast("long").alias("review_index")).where("review_index is not null").distinct()
 
 
-def remembered(spark: SparkSession, folder: str, make: Callable[..., DataFrame], *args: object, version: str = "1") -> DataFrame:
-    """The table that make(*args) gives, worked out once for each version and arguments and then read."""
-    key = hashlib.sha1(repr((make.__name__, version, args)).encode()).hexdigest()
+def remembered(spark: SparkSession, folder: str, make: Callable[..., DataFrame], *args: object, version: str = "1", seconds: float | None = None, now: Callable[[], float] = time.time) -> DataFrame:
+    """The table that make(*args) gives, worked out once for each version and arguments and then read.
+
+    seconds: how long a table lasts; time is cut into spans of that length, each with a table of its own, so
+    that one that is being read is never replaced."""
+    span = int(now() // seconds) if seconds else None
+    key = hashlib.sha1(repr((make.__name__, version, args, span)).encode()).hexdigest()
     path = f"{folder}/{make.__name__}-{key}"
     if not exists(spark, f"{path}/_SUCCESS"):
         make(*args).write.mode("overwrite").parquet(path)
