@@ -214,3 +214,57 @@ def test_image_rows(spark):
     df = spark.createDataFrame([("a", pixels, 10, 20, 3), ("b", bytearray(200), 10, 20, 1)], "path string, pixels binary, height int, width int, channels int")
     got = {r.path: r for r in images.image_stats(df).collect()}
     assert (got["a"].brightness, got["a"].contrast, got["a"].megapixels) == (100.0, 0.0, 200 / 1e6) and got["b"].brightness is None
+
+
+def test_labelling_is_asked_again(spark):
+    waits, calls = [], []
+
+    def service(texts):
+        calls.append(list(texts))
+        if texts == ["bad"] or len(calls) < 3:
+            raise TimeoutError
+        return [t.upper() for t in texts]
+
+    assert mapping.asked(service, ["a", "b"], 5, 1.0, 60.0, waits.append) == ["A", "B"] and waits == [1.0, 2.0]
+    waits.clear()
+    assert mapping.asked(service, ["bad"], 8, 1.0, 60.0, waits.append) == [None] and waits == [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 60.0]
+    assert mapping.asked(lambda t: [], ["a"], 1, 1.0, 60.0, waits.append) == [None]
+
+
+def test_p_values():
+    # Two-sided points of Student's t from printed tables.
+    for t, n, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (1.96, 100_000, 0.05), (0.0, 5, 1.0), (3.169, 10, 0.01), (0.7, 10, 0.4998)):
+        assert abs(stats.t_tail(t, n) - p) < 2e-4
+
+
+def test_first_model_that_loads():
+    def missing():
+        raise ImportError
+
+    assert vectors.first_that_loads([missing, lambda: len])("abc") == 3
+    assert abs(sum(vectors.first_that_loads([missing])(["some text"])[0] ** 2) - 1) < 1e-9
+
+
+def test_names_with_pattern_marks(spark):
+    df = spark.createDataFrame([("a\\E.b 좋다 a\\E.b 3년 전", "a\\E.b")], "t string, a string")
+    assert df.select(text.cleaned(F.col("t"), F.col("a"))).first()[0] == "좋다 a\\E.b"
+
+
+def test_numbers_of_sparse_ordinals(spark):
+    import random
+
+    rng = random.Random(1)
+    ids = list({rng.randrange(-(1 << 62), 1 << 62) for _ in range(500)})
+    rows = places.numbered(spark.createDataFrame([(i,) for i in ids], "o long"), "o", ranges=16).collect()
+    assert {r.o: r.review_index for r in rows} == {i: n for n, i in enumerate(sorted(ids))}
+    assert places.numbered(spark.createDataFrame([], "o long"), "o").count() == 0
+
+
+def test_quantiles_of_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", 0.5)] * 300 + [("b", 0.9)] * 20 + [("c", 2.0), ("d", None)]
+    got = {r.g: r.cut for r in similarity.group_quantile(spark.createDataFrame(rows, "g string, v double"), "g", "v", 0.9, 8).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert all(abs(got[g] - np.quantile([v for k, v in rows if k == g], 0.9)) < 1e-9 for g in got)

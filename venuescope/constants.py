@@ -38,15 +38,20 @@ POSITIVE_WORDS = ["좋", "만족", "추천", "깔끔", "예쁘", "편안", "친
 NEGATIVE_WORDS = ["별로", "아쉽", "불편", "시끄", "답답", "부족", "더럽", "지저분", "비싸", "좁", "최악", "불친절", "불만", "오래 기다", "애매", "우울", "정신없"]
 
 # Words that keyword analysis leaves out.
-STOP_WORDS = """카페 너무 진짜 정말 많이 가서 먹고 있는 하는 그리고 그래서 좋아요 있어요 같아요 맛있어요 분위기 생각 느낌 방문 곳 것 수
-있습니다 있었 있고 있는데 있어서 있어 있음 좋습니다 좋았 좋고 좋은 좋아 좋다 좋음 맛있습니다 맛있었 맛있고 맛있는 맛있어
-이거 그거 저거 이것 그것 저것 그런데 하지만 그러나 이런 그런 저런 이렇게 그렇게 저렇게 때문 위해 통해 대해 관련 따라
-자리 자리가 자리도 자리를 자리에 매장 매장이 매장도 매장을 매장에 사람 사람이 사람들 사람도 커피 커피도 커피를 커피가 커피는
-음료 음료도 음료를 디저트 디저트도 다양한 다양 다른 매우 아주 정말로 있다""".split()
+STOP_WORDS = [
+    "카페", "너무", "진짜", "정말", "많이", "가서", "먹고", "있는", "하는", "그리고", "그래서", "좋아요", "있어요", "같아요", "맛있어요", "분위기",
+    "생각", "느낌", "방문", "곳", "것", "수", "있습니다", "있었", "있고", "있는데", "있어서", "있어", "있음", "좋습니다", "좋았", "좋고", "좋은",
+    "좋아", "좋다", "좋음", "맛있습니다", "맛있었", "맛있고", "맛있는", "맛있어", "이거", "그거", "저거", "이것", "그것", "저것", "그런데", "하지만",
+    "그러나", "이런", "그런", "저런", "이렇게", "그렇게", "저렇게", "때문", "위해", "통해", "대해", "관련", "따라", "자리", "자리가", "자리도",
+    "자리를", "자리에", "매장", "매장이", "매장도", "매장을", "매장에", "사람", "사람이", "사람들", "사람도", "커피", "커피도", "커피를", "커피가",
+    "커피는", "음료", "음료도", "음료를", "디저트", "디저트도", "다양한", "다양", "다른", "매우", "아주", "정말로", "있다",
+]
 
 # The districts that place names may hold.
-DISTRICTS = """종로구 중구 용산구 성동구 광진구 동대문구 중랑구 성북구 강북구 도봉구 노원구 은평구 서대문구 마포구 양천구 강서구
-구로구 금천구 영등포구 동작구 관악구 서초구 강남구 송파구 강동구""".split()
+DISTRICTS = [
+    "종로구", "중구", "용산구", "성동구", "광진구", "동대문구", "중랑구", "성북구", "강북구", "도봉구", "노원구", "은평구", "서대문구", "마포구", "양천구",
+    "강서구", "구로구", "금천구", "영등포구", "동작구", "관악구", "서초구", "강남구", "송파구", "강동구",
+]
 
 # Thresholds.
 SIMILARITY, DEVIATION, NEUTRAL = 0.4, 0.05, 0.5

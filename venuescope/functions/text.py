@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import FACTOR_KEYWORDS
+
 #: What `\s` matches.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -97,34 +99,38 @@ def _drop(text: Column, *patterns: str) -> Column:
     return text
 
 
+# What pages show around reviews. Counters may sit inside each other, hence three rounds.
+GUIDE_MARKS = [r"지역\s*가이드\s*·?\s*"]
+COUNTERS = [*[r"·?\s*리뷰\s*\d+[,.]?\d*\s*개\s*·?\s*"] * 3, *[r"·?\s*사진\s*\d+[,.]?\d*\s*장\s*·?\s*"] * 3]
+LEFTOVERS = [r"[리뷰]{2,}", r"[사진]{2,}", r"[\uE000-\uF8FF]", r"수정일:\s*"]
+RELATIVE_DATES = [r"\d+\s*년\s*전", r"\d+\s*개월\s*전", r"\d+\s*주\s*전", r"\d+\s*일\s*전", r"\d+\s*시간\s*전", r"\d+\s*분\s*전"]
+NAME_DATE = r"\s*\d+\s*(?:년|개월|주|일|시간|분)\s*전"
+AFTER_NAME = r"(?=\s|지역|리뷰|사진|·)"
+BUTTONS = ["자세히", "공유", "더보기", "…"]
+SCRAPED_MARKS = [r"\S*리뷰\s*\d+\s*개\s*·\s*사진\s*\d+\s*장\s*", r"^\d+\s*(?:년|달|주|일|시간|분)\s*전\s*", r"[\u2000-\u206F\u2E00-\u2E7F]"]
+
+
 def cleaned(text: Column, author: Column | None = None) -> Column:
     """A review without what the page shows around it: names, counters, guide marks, relative dates."""
     out = strip(F.coalesce(text, F.lit("")))
     name = strip(F.coalesce(author, F.lit(""))) if author is not None else None
-    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E")) if name is not None else None
+    quoted = F.regexp_replace(name, r"([^\p{L}\p{N}\s])", r"\\$1") if name is not None else None
     if quoted is not None:
-        out = F.when(name != "", F.regexp_replace(out, F.concat(F.lit("(?iu)^"), quoted, F.lit(r"(?=\s|지역|리뷰|사진|·)")), F.lit(""))).otherwise(out)
-    out = _drop(out, r"지역\s*가이드\s*·?\s*")
-    # The counters and their units, which may sit inside each other; hence three rounds.
-    for word, unit in (("리뷰", "개"), ("사진", "장")):
-        counter = rf"{word}\s*\d+[,.]?\d*\s*{unit}"
-        for _ in range(3):
-            out = _drop(out, rf"·?\s*{counter}\s*·?\s*")
+        out = F.when(name != "", F.regexp_replace(out, F.concat(F.lit("(?iu)^"), quoted, F.lit(AFTER_NAME)), F.lit(""))).otherwise(out)
+    out = _drop(out, *GUIDE_MARKS, *COUNTERS)
     out = F.regexp_replace(out, r"\s*·\s*", " ")
-    out = _drop(out, r"[리뷰]{2,}", r"[사진]{2,}", r"[\uE000-\uF8FF]", r"수정일:\s*")
-    out = _drop(out, *(rf"\d+\s*{unit}\s*전" for unit in ("년", "개월", "주", "일", "시간", "분")))
+    out = _drop(out, *LEFTOVERS, *RELATIVE_DATES)
     if quoted is not None:
-        out = F.when(name != "", F.regexp_replace(out, F.concat(F.lit("(?iu)"), quoted, F.lit(r"\s*\d+\s*(?:년|개월|주|일|시간|분)\s*전")), F.lit(""))).otherwise(out)
+        out = F.when(name != "", F.regexp_replace(out, F.concat(F.lit("(?iu)"), quoted, F.lit(NAME_DATE)), F.lit(""))).otherwise(out)
     return collapse(out)
 
 
 def scraped(text: Column) -> Column:
     """Scraped text without buttons, counters, a leading relative date and typographic marks."""
     out = strip(F.coalesce(text, F.lit("")))
-    for word in ("자세히", "공유", "더보기", "…"):
+    for word in BUTTONS:
         out = strip(F.replace(out, F.lit(word), F.lit("")))
-    out = _drop(out, r"\S*리뷰\s*\d+\s*개\s*·\s*사진\s*\d+\s*장\s*", r"^\d+\s*(?:년|달|주|일|시간|분)\s*전\s*", r"[\u2000-\u206F\u2E00-\u2E7F]")
-    return collapse(out)
+    return collapse(_drop(out, *SCRAPED_MARKS))
 
 
 def backfilled(text: Column, author: Column, rating: Column) -> Column:
@@ -152,11 +158,25 @@ def keyword_hits(text: Column, words: list[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in words), F.lit(0))
 
 
+# Phrases that tell walking minutes.
+WALKING_PHRASES = [
+    r"도보\s*(?:로\s*)?(\d+)\s*분",
+    r"(\d+)\s*분\s*도보",
+    r"(\d+)\s*분\s*거리",
+    r"(?:지하철역|역|버스정류장|정류장)(?:에서|까지)\s*(\d+)\s*분",
+    r"(\d+)\s*분\s*(?:이면|만에|걸림|걸려)\s*(?:갈\s*수|도착|가능)",
+]
+
+
+def factor_hits(text: Column) -> Column:
+    """Structs (factor, hits) of the factors whose keywords a text holds, in factor order."""
+    found = F.array(*(F.struct(F.lit(f).alias("factor"), keyword_hits(text, words).alias("hits")) for f, words in FACTOR_KEYWORDS.items()))
+    return F.filter(found, lambda x: x["hits"] > 0)
+
+
 def walking_score(text: Column) -> Column:
     """The best score of the walking minutes that a text tells; null without any."""
-    # The phrases.
-    phrases = [r"도보\s*(?:로\s*)?(\d+)\s*분", r"(\d+)\s*분\s*도보", r"(\d+)\s*분\s*거리", r"(?:지하철역|역|버스정류장|정류장)(?:에서|까지)\s*(\d+)\s*분", r"(\d+)\s*분\s*(?:이면|만에|걸림|걸려)\s*(?:갈\s*수|도착|가능)"]
-    return best_minutes(text, phrases)
+    return best_minutes(text, WALKING_PHRASES)
 
 
 def best_minutes(text: Column, phrases: list[str]) -> Column:

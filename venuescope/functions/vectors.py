@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..constants import BLEND_CUT, BLEND_SENTIMENT, BLEND_SIMILARITY
+from ..constants import BLEND_CUT, BLEND_SENTIMENT, BLEND_SIMILARITY, KEYWORD_COPIES, MINUTES_COPIES
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -30,7 +30,7 @@ def blended(similarity: Column, sentiment: Column) -> Column:
     return F.when(own > BLEND_CUT, BLEND_SIMILARITY * own + BLEND_SENTIMENT * sentiment)
 
 
-def boosted(total: Column, n: Column, keyword: Column, minutes: Column, keyword_copies: int = 3, minutes_copies: int = 5) -> Column:
+def boosted(total: Column, n: Column, keyword: Column, minutes: Column, keyword_copies: int = KEYWORD_COPIES, minutes_copies: int = MINUTES_COPIES) -> Column:
     """A mean in which boosts count as so many further values; null without any value."""
     k, m = F.when(keyword.isNotNull(), keyword_copies).otherwise(0), F.when(minutes.isNotNull(), minutes_copies).otherwise(0)
     return F.try_divide(F.coalesce(total, F.lit(0.0)) + k * F.coalesce(keyword, F.lit(0.0)) + m * F.coalesce(minutes, F.lit(0.0)), F.coalesce(n, F.lit(0)) + k + m)
@@ -44,7 +44,7 @@ def keyword_boost(hits: Column) -> Column:
 def _word_buckets(word: str, buckets: int, least: int, most: int) -> tuple[int, ...]:
     padded, out = f" {word} ", []
     for n in range(least, most + 1):
-        out += [xxhash.xxh32_intdigest(padded[i : i + n]) % buckets for i in range(max(1, len(padded) - n + 1))]
+        out += [int.from_bytes(hashlib.md5(padded[i : i + n].encode()).digest()[8:], "big") % buckets for i in range(max(1, len(padded) - n + 1))]
         if len(padded) <= n:
             break
     return tuple(out)
@@ -63,3 +63,25 @@ def hash_encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Vectors for text where no sentence model is at hand."""
     for batch in batches:
         yield pd.Series([hash_vector(t or "").astype(np.float32) for t in batch])
+
+
+def encoder(candidates: list[Callable[[], Callable[[list[str]], np.ndarray]]]):
+    """An Arrow function from text to vector by the first of the candidates that loads, once per task; by
+    hashing where none does. A candidate loads a model: texts to rows of numbers."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = first_that_loads(candidates)
+        for batch in batches:
+            yield pd.Series([np.asarray(v, np.float32) for v in model(batch.fillna("").tolist())])
+
+    return encode
+
+
+def first_that_loads(candidates: list[Callable]) -> Callable[[list[str]], list]:
+    for load in candidates:
+        try:
+            return load()
+        except (ImportError, OSError, RuntimeError, ValueError):  # a model that is not there
+            continue
+    return lambda texts: [hash_vector(t) for t in texts]

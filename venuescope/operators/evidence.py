@@ -5,13 +5,15 @@ Evidence has place, factor, hint, confidence, evidence and an ordinal that gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import EXAMPLES
+from ..constants import EXAMPLES, FACTOR_CATEGORIES, FACTOR_ENGLISH, FACTOR_ORDER
 from ..functions.sentiment import hint_key, hint_value
 from ..functions.text import strip
 
+#: Factors that are inlined into plans, at most.
+MOST_FACTORS = 1000
 REQUIRED = ("place", "factor", "hint", "confidence", "evidence", "ordinal")
 
 
@@ -22,13 +24,31 @@ def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df
 
 
+def dimension_rows(factors: DataFrame) -> list:
+    """The rows (factor, factor_order, category) of the dimension, whose size is checked before it is inlined."""
+    rows = factors.select("factor", "factor_order", "category").limit(MOST_FACTORS + 1).collect()
+    if len(rows) > MOST_FACTORS:
+        raise ValueError(f"more than {MOST_FACTORS} factors are no dimension")
+    return rows
+
+
+def factor_dimension(spark: SparkSession) -> DataFrame:
+    """The ten factors: factor, factor_order, category, english."""
+    category = {f: c for c, own in FACTOR_CATEGORIES.items() for f in own}
+    rows = [(f, i, category[f], FACTOR_ENGLISH[i]) for i, f in enumerate(FACTOR_ORDER)]
+    return spark.createDataFrame(rows, "factor string, factor_order int, category string, english string")
+
+
 def scored(evidence: DataFrame, factors: DataFrame) -> DataFrame:
     """Evidence of known factors with sentiment (key and value), confidence as a number, and category.
 
-    The dimension has a row per factor, tens at most."""
+    The dimension has a row per factor, tens at most; see `dimension_rows`."""
     require(evidence, REQUIRED)
     own = evidence.withColumn("factor", strip(F.col("factor")))
-    known = own.join(F.broadcast(factors.select("factor", "factor_order", "category")), "factor")
+    listed = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("name", "factor_order", "category"), r, strict=True))) for r in dimension_rows(factors)))
+    # Inlined: a lookup among tens of factors takes no join.
+    known = own.withColumn("__f", F.try_element_at(F.filter(listed, lambda f: f["name"] == F.col("factor")), F.lit(1))).where("__f is not null")
+    known = known.select("*", "__f.factor_order", "__f.category").drop("__f")
     sentiment = hint_key(F.col("hint"))
     return known.withColumn("confidence", F.nanvl(F.col("confidence").try_cast("double"), F.lit(None).cast("double"))).withColumn("sentiment", sentiment).withColumn("sentiment_value", hint_value(sentiment))
 
@@ -75,7 +95,7 @@ def completed(by_factor: DataFrame, factors: DataFrame) -> DataFrame:
     """A row for every place and factor; counts are 0 and scores null where a factor is not mentioned."""
     places = by_factor.select("place").distinct()
     # The dimension has a row per factor: every place gets that many rows.
-    grid = places.withColumn("f", F.explode(F.array(*(F.struct(F.lit(r.factor).alias("factor"), F.lit(r.factor_order).alias("factor_order"), F.lit(r.category).alias("category")) for r in factors.collect())))).select("place", "f.*")
+    grid = places.withColumn("f", F.explode(F.array(*(F.struct(F.lit(r.factor).alias("factor"), F.lit(r.factor_order).alias("factor_order"), F.lit(r.category).alias("category")) for r in dimension_rows(factors))))).select("place", "f.*")
     counts = ("mention_count", "positive_count", "neutral_count", "mixed_count", "negative_count", "total_mentions")
     joined = grid.join(by_factor.drop("factor_order", "category"), ["place", "factor"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

@@ -7,31 +7,47 @@ from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
 from ..functions.text import tokens
+from ..sources.kept import written
 
 
-def tfidf(rows: DataFrame, group: str, text: str, stop_words: list[str] = STOP_WORDS, features: int = 1000) -> DataFrame:
-    """Per group and word: tf, df, tfidf (smoothed, at length 1 within the group).
+#: What a counted row is: a word as the vocabulary has it, a word as written, or a row of the group.
+TOKEN, WRITTEN, ROW = 0, 1, 2
 
-    The vocabulary is the `features` words with the highest counts, ties by word."""
-    words = rows.select(F.col(group), F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop_words))
-    tf = words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("tf"))
+
+def counted(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, kind, word, n): both kinds of words and the rows, counted in one pass over the texts and kept."""
+    spaced = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    word = lambda kind: lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word"))
+    told = F.concat(F.transform(tokens(F.col(text)), word(TOKEN)), F.transform(spaced, word(WRITTEN)), F.array(word(ROW)(F.lit(""))))
+    return written(rows.select(group, F.inline(told)).groupBy(group, "kind", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def _weighed(counts: DataFrame, group: str, stop_words: list[str], features: int) -> DataFrame:
+    tf = counts.where((F.col("kind") == TOKEN) & ~F.col("word").isin(stop_words)).select(group, "word", F.col("n").alias("tf"))
     totals = tf.groupBy("word").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     # At most `features` rows: the bound on what is broadcast.
     chosen = totals.orderBy(F.desc("total"), "word").limit(features)
-    groups = rows.select(F.countDistinct(group).alias("n"))
+    groups = counts.where(F.col("kind") == ROW).where(F.col(group).isNotNull()).agg(F.count(F.lit(1)).alias("groups"))
     own = tf.join(F.broadcast(chosen.select("word", "df")), "word").join(F.broadcast(groups))
-    raw = own.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = own.withColumn("raw", F.col("tf") * (F.log((1 + F.col("groups")) / (1 + F.col("df"))) + 1))
+    # At most `features` rows of each group.
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(group)))
     return raw.select(group, "word", "tf", "df", (F.col("raw") / length).alias("tfidf"))
 
 
+def tfidf(rows: DataFrame, group: str, text: str, stop_words: list[str] = STOP_WORDS, features: int = 1000) -> DataFrame:
+    """Per group and word: tf, df, tfidf (smoothed, at length 1 within the group).
+
+    The vocabulary is the `features` words with the highest counts, ties by word."""
+    return _weighed(counted(rows, group, text), group, stop_words, features)
+
+
 def hybrid(rows: DataFrame, group: str, text: str, stop_words: list[str] = STOP_WORDS, features: int = 1000, top: int = 15) -> DataFrame:
     """The best words of each group by tfidf * (1 + 2 * share), the share among all words as written."""
-    spaced = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    plain = rows.select(F.col(group), F.explode(spaced).alias("word"))
-    counts = plain.groupBy(group, "word").agg(F.count(F.lit(1)).alias("count"))
-    shares = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(group)))
-    own = tfidf(rows, group, text, stop_words, features).join(shares.select(group, "word", "share"), [group, "word"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    scored = own.withColumn("hybrid", F.col("tfidf") * (1 + 2 * F.col("share")))
+    counts = counted(rows, group, text)
+    plain = counts.where(F.col("kind") == WRITTEN)
+    sums = plain.groupBy(group).agg(F.sum("n").alias("all"))
+    own = _weighed(counts, group, stop_words, features).join(plain.select(group, "word", "n"), [group, "word"], "left").join(sums, group, "left")
+    scored = own.withColumn("share", F.coalesce(F.col("n") / F.col("all"), F.lit(0.0))).withColumn("hybrid", F.col("tfidf") * (1 + 2 * F.col("share")))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("hybrid", 9)), "word")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("n", "all")

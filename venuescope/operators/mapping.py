@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,13 +67,30 @@ def image_answer(parsed: DataFrame, factors: list[str]) -> DataFrame:
     return told.select("place", "factor", value("score", 0.5).alias("image_score"), value("confidence", 0.3).alias("confidence"), unclear.alias("insufficient"))
 
 
-def labelled(reviews: DataFrame, label: Callable[[list[str]], list[str]], text: str = "review_text", batch: int = 8) -> DataFrame:
-    """reviews and `answer`, the JSON that a labelling service gives for each, asked in batches."""
+def asked(label: Callable[[list[str]], list[str]], texts: list[str], attempts: int, wait: float, most: float, sleep: Callable[[float], None]) -> list[str | None]:
+    """The answers of a service that may fail: asked again after a wait that doubles, up to `most` seconds.
+
+    Nulls after the last attempt, or where there are not as many answers as texts: those are left to do."""
+    for n in range(attempts):
+        try:
+            found = label(texts)
+            if len(found) == len(texts):
+                return list(found)
+        except Exception:  # noqa: BLE001 - whatever a service raises
+            pass
+        if n + 1 < attempts:
+            sleep(min(most, wait * 2**n))
+    return [None] * len(texts)
+
+
+def labelled(reviews: DataFrame, label: Callable[[list[str]], list[str]], text: str = "review_text", batch: int = 8, attempts: int = 5, wait: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """reviews and `answer`, the JSON that a labelling service gives for each, asked in batches; null where it
+    failed at every attempt, so that one failure does not cost a task's other answers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame[text].fillna("").tolist()
-            answers = [x for i in range(0, len(texts), batch) for x in label(texts[i : i + batch])]
+            answers = [x for i in range(0, len(texts), batch) for x in asked(label, texts[i : i + batch], attempts, wait, most, sleep)]
             yield frame.assign(answer=answers)
 
     return reviews.mapInPandas(run, reviews.withColumn("answer", F.lit("")).schema)

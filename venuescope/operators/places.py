@@ -18,11 +18,15 @@ def with_defaults(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumns({new: F.col(old) for old, new in names.items() if old in rows.columns and new not in rows.columns})
 
 
-def numbered(rows: DataFrame, ordinal: str, name: str = "review_index") -> DataFrame:
-    """Positions from 0 by an ordinal, without one task that holds all rows: ranges first, then within each."""
-    dealt = rows.withColumn("__range", F.floor(F.col(ordinal) / 4096))
+def numbered(rows: DataFrame, ordinal: str, name: str = "review_index", ranges: int = 1 << 16) -> DataFrame:
+    """Positions from 0 by an ordinal, without one task that holds all rows: ranges first, then within each.
+
+    The ordinals from least to largest are cut into at most so many ranges, dense or not; only those are
+    ordered in one task."""
+    ends = rows.agg(F.min(ordinal).cast("long").alias("low"), F.max(ordinal).cast("long").alias("high")).first()
+    width = 1 if ends.low is None else max(1, -(-(ends.high - ends.low + 1) // ranges))
+    dealt = rows.withColumn("__range", F.expr(f"`{ordinal}` div {width}L"))
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    # A row per 4096 ordinals is all that is ordered in one task.
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(ordinal))
     return dealt.join(starts, "__range").withColumn(name, (F.col("__start") + within - 1).cast("long")).drop("__range", "__start")
@@ -115,16 +119,19 @@ def districts_of(names: DataFrame, known: DataFrame) -> DataFrame:
     """The district of every name (place): of the same place, else of the place that is its first word, else
     of the first known place that starts with or holds that word.
 
-    known: k_place, district, ordinal. The first two steps are equi-joins; the last takes only names that
-    both left over, against the known places, which are a dimension."""
+    known: k_place, district, ordinal. All steps are equi-joins. The last, for words that the others left
+    over, joins on a word's first characters, three or as many as it has: a place that holds the word holds these."""
     word = F.element_at(F.split("place", " "), 1)
     firsts = known.where("district is not null").groupBy("k_place").agg(F.min(F.struct("ordinal", "district")).alias("d"))
     firsts = firsts.select("k_place", F.col("d.ordinal").alias("ordinal"), F.col("d.district").alias("district"))
     exact = firsts.select(F.col("k_place").alias("place"), F.col("district").alias("d1"))
     begun = firsts.select(F.col("k_place").alias("word"), F.col("district").alias("d2"))
     told = names.select("place").distinct().withColumn("word", word).join(exact, "place", "left").join(begun, "word", "left")
-    rest = told.where("d1 is null and d2 is null").select("place", "word")
-    found = rest.join(firsts, F.col("k_place").contains(F.col("word"))).groupBy("place").agg(F.min(F.struct("ordinal", "district")).alias("d"))
-    out = told.join(found, "place", "left")
-    tier = F.when(F.col("d1").isNotNull(), 1).when(F.col("d2").isNotNull(), 2).when(F.col("d").isNotNull(), 3)
+    rest = told.where("d1 is null and d2 is null").select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
+    spots = F.sequence(F.lit(1), F.greatest(F.length("k_place"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(*(F.substring(F.col("k_place"), i, F.lit(n)) for n in (1, 2, 3))))))
+    held = firsts.withColumn("gram", F.explode(grams))
+    found = rest.join(held, "gram").where(F.col("k_place").contains(F.col("word"))).groupBy("word").agg(F.min(F.struct("ordinal", "district")).alias("d"))
+    out = told.join(found, "word", "left")
+    tier = F.when(F.col("d1").isNotNull(), 1).when(F.col("d2").isNotNull(), 2).when(F.col("d").isNotNull() & F.col("d1").isNull(), 3)
     return out.select("place", F.coalesce("d1", "d2", "d.district").alias("district"), tier.alias("tier"))

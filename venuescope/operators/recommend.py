@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import NEUTRAL
+from ..constants import NEUTRAL, PRESETS
 
 
 def by_preference(by_factor: DataFrame, places: DataFrame, wanted: list[str], least: int = 1, most: int = 20) -> DataFrame:
@@ -21,6 +21,13 @@ def by_preference(by_factor: DataFrame, places: DataFrame, wanted: list[str], le
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def by_preset(by_factor: DataFrame, places: DataFrame, preset: str, least: int = 1, most: int = 20) -> DataFrame:
+    """`by_preference` for a preset's factors."""
+    if preset not in PRESETS:
+        raise ValueError(f"no preset {preset!r}; there are {', '.join(PRESETS)}")
+    return by_preference(by_factor, places, PRESETS[preset], least, most)
+
+
 def evidence_for(rows: DataFrame, by_factor: DataFrame, factors: int = 3, most: int = 8) -> DataFrame:
     """Per place, evidence of its best factors: the best sentiment first, then by factor and order."""
     best = Window.partitionBy("place").orderBy(F.desc(F.round("factor_score", 9)), F.desc("mention_count"), "factor_order")

@@ -5,16 +5,22 @@ embedding, a row per factor."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEVIATION, LEGACY_MERGES, LEGACY_RENAMES, NEUTRAL, SIMILARITY
 from ..functions.vectors import cosine
 
 
+#: Anchors that are inlined into plans, at most.
+MOST_ANCHORS = 1000
+
+
 def similarities(sentences: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every sentence with every factor. Anchors are a dimension of some ten rows, collected and inlined."""
-    rows = anchors.select("factor", "factor_order", "embedding").collect()
+    rows = anchors.select("factor", "factor_order", "embedding").limit(MOST_ANCHORS + 1).collect()
+    if len(rows) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors are no dimension")
     listed = F.array(*(F.struct(F.lit(r.factor).alias("factor"), F.lit(r.factor_order).alias("factor_order"), F.array(*map(F.lit, r.embedding)).alias("v")) for r in rows))
     wide = sentences.withColumn("anchor", F.explode(listed))
     return wide.withColumn("similarity", cosine(F.col("embedding"), F.col("anchor.v"))).select("place", "review", "sentence", "sentiment", F.col("anchor.factor").alias("factor"), F.col("anchor.factor_order").alias("factor_order"), "similarity")
@@ -42,7 +48,11 @@ def weights(scores: DataFrame) -> DataFrame:
 
 def mu_sigma(weighted: DataFrame) -> DataFrame:
     """Per place: the weighted mean, and the population deviation over all factors, neutral ones too."""
-    return weighted.groupBy("place").agg(F.sum(F.col("weight") * F.col("fsi")).alias("mu"), F.stddev_pop("fsi").alias("sigma"))
+    return weighted.groupBy("place").agg(*_moments())
+
+
+def _moments() -> list[Column]:
+    return [F.sum(F.col("weight") * F.col("fsi")).alias("mu"), F.stddev_pop("fsi").alias("sigma")]
 
 
 def deviants(weighted: DataFrame, cut: float = DEVIATION, slack: float = 1e-9) -> DataFrame:
@@ -61,9 +71,9 @@ def summary(mu, sigma, strong, weak):
 
 
 def wide(weighted: DataFrame, names: list[str]) -> DataFrame:
-    """One row a place: fsi, n and weight of every factor, by column, and mu and sigma."""
-    pivoted = weighted.groupBy("place").pivot("factor", names).agg(F.first("fsi").alias("fsi"), F.first("n").alias("n"), F.first("weight").alias("weight"))
-    return pivoted.join(mu_sigma(weighted), "place")
+    """One row a place: fsi, n and weight of every factor, by column, and mu and sigma; one aggregation."""
+    own = [F.max(F.when(F.col("factor") == f, F.col(c))).alias(f"{f}_{c}") for f in names for c in ("fsi", "n", "weight")]
+    return weighted.groupBy("place").agg(*own, *_moments())
 
 
 def current_factors(scores: DataFrame, renames: dict = LEGACY_RENAMES, merges: dict = LEGACY_MERGES) -> DataFrame:
@@ -80,10 +90,32 @@ def top_reviews(by_review: DataFrame, most: int = 10) -> DataFrame:
     return by_review.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def group_quantile(rows: DataFrame, group: str, column: str, share: float, buckets: int = 4096) -> DataFrame:
+    """(group, cut): the exact quantile of each group, linear between two values, as no task holds a group:
+    a histogram finds the buckets of the two values, in which equal values are counted first.
+
+    Groups are a dimension, such as the factors."""
+    known = rows.where(F.col(column).isNotNull()).select(group, F.col(column).alias("v"))
+    ends = known.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    spot = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    dealt = known.join(F.broadcast(ends), group).withColumn("bucket", spot)
+    order = Window.partitionBy(group).orderBy("bucket")
+    sums = dealt.groupBy(group, "bucket", "n").agg(F.count(F.lit(1)).alias("own")).withColumn("before", F.sum("own").over(order) - F.col("own"))
+    at = F.lit(share) * (F.col("n") - 1)
+    held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("own"))
+    wanted = sums.where(held(F.floor(at)) | held(F.ceil(at))).select(group, "bucket", "before")
+    values = dealt.join(F.broadcast(wanted), [group, "bucket"]).groupBy(group, "bucket", "n", "before", "v").agg(F.count(F.lit(1)).alias("own"))
+    placed = values.withColumn("before", F.col("before") + F.sum("own").over(Window.partitionBy(group, "bucket").orderBy("v")) - F.col("own"))
+    value = lambda k: F.max(F.when(held(k), F.col("v")))
+    pair = placed.groupBy(group, "n").agg(value(F.floor(at)).alias("a"), value(F.ceil(at)).alias("b"))
+    return pair.select(group, (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("cut"))
+
+
 def top_share(scores: DataFrame, share: float = 0.9, column: str = "fsi") -> DataFrame:
     """Rows of each factor at or above its quantile; ties stay."""
-    cuts = scores.groupBy("factor").agg(F.percentile(column, F.lit(share)).alias("cut"))
-    return scores.join(cuts, "factor").where(F.round(F.col(column), 9) >= F.round("cut", 9))
+    cuts = group_quantile(scores, "factor", column, share)
+    # A row per factor.
+    return scores.join(F.broadcast(cuts), "factor").where(F.round(F.col(column), 9) >= F.round("cut", 9))
 
 
 def compared(text_scores: DataFrame, image_scores: DataFrame) -> DataFrame:
@@ -94,8 +126,12 @@ def compared(text_scores: DataFrame, image_scores: DataFrame) -> DataFrame:
 
 
 def audited(scores: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scores after corrections (factor, delta), kept within 0.2 and 1, and the log of what changed."""
-    joined = scores.join(corrections.select("factor", F.col("delta").try_cast("double").alias("delta")).where("delta is not null"), "factor", "left")
+    """Scores after corrections (factor, delta, reason), kept within 0.2 and 1, and the log of what changed,
+    with two digits as the log is read by people."""
+    reason = F.col("reason") if "reason" in corrections.columns else F.lit("")
+    known = corrections.select("factor", F.col("delta").try_cast("double").alias("delta"), F.coalesce(reason, F.lit("")).alias("reason")).where("delta is not null")
+    joined = scores.join(known, "factor", "left")
     new = F.when(F.col("delta").isNull(), F.col("fsi")).otherwise(F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.col("fsi") + F.col("delta"))))
     told = joined.withColumn("adjusted", new)
-    return told.select("place", "factor", F.col("adjusted").alias("fsi")), told.where("delta is not null").select("place", "factor", F.col("fsi").alias("original"), "adjusted", "delta")
+    log = told.where("delta is not null").select("place", "factor", F.round("fsi", 2).alias("original"), F.round("adjusted", 2).alias("adjusted"), F.round("delta", 2).alias("delta"), "reason")
+    return told.select("place", "factor", F.col("adjusted").alias("fsi")), log

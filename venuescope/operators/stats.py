@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def correlations(rows: DataFrame, columns: list[str], missing: float | None = None, least: int = 10, complete: str = "pairwise") -> DataFrame:
@@ -24,6 +27,31 @@ def correlations(rows: DataFrame, columns: list[str], missing: float | None = No
     return out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
+def t_tail(t: float, freedom: float) -> float:
+    """Two-sided probability of a larger t: the regularised incomplete beta function by its continued fraction."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # From the last term back: 1 + d1/(1 + d2/(1 + ...)).
+    value = 1.0
+    for n in range(400, 0, -1):
+        m = n // 2
+        term = m * (b - m) * x / ((a + n - 1) * (a + n)) if n % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + n - 1) * (a + n))
+        value = 1 + term / value
+    share = front / value
+    return 1 - share if turned else share
+
+
+@F.pandas_udf(DoubleType())
+def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a correlation's t over n rows; a row per pair of columns, not of the data."""
+    return pd.Series([None if pd.isna(x) or k <= 2 else 0.0 if math.isinf(x) else t_tail(x, k - 2) for x, k in zip(t, n, strict=True)], dtype="float64")
+
+
 def trend(rows: DataFrame, y: str, x: str) -> DataFrame:
     return rows.agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.regr_count(F.col(y), F.col(x)).alias("n"))
 
