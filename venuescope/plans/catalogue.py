@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence, tables, text, vectors
+from . import evidence, korean, tables, text, vectors
 
-PLANS = (evidence, text, vectors, tables)
+PLANS = (evidence, text, vectors, tables, korean)
 QUERIES = {name: f for p in PLANS for name, f in p.QUERIES.items()}
 ORACLE_SQL = {name: s for p in PLANS for name, s in p.ORACLE_SQL.items()}

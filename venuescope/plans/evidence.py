@@ -156,10 +156,10 @@ ORACLE_SQL = {
     "recommend_evidence": f"""{W}, t AS (SELECT place, factor FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY round(factor_score, 9) DESC, mention_count DESC, factor_order) AS n FROM fsw) WHERE n <= 3),
         r AS (SELECT s.*, row_number() OVER (PARTITION BY place ORDER BY sentiment_value DESC, factor, ordinal) AS rank FROM scored s SEMI JOIN t USING (place, factor))
         SELECT place, factor, ordinal, CAST(rank AS INT) AS rank, sentiment_value FROM r WHERE rank <= 8""",
-    "label_distribution": f"{W} SELECT sentiment, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM scored), 6) + 0.0 AS percent FROM scored GROUP BY sentiment",
+    "label_distribution": f"{W} SELECT sentiment, count(*) AS n, round((count(*) * 100.0::DOUBLE / (SELECT count(*) FROM scored)) + 1e-10::DOUBLE, 6) + 0.0 AS percent FROM scored GROUP BY sentiment",
     "summary_counts": f"{W} SELECT count(DISTINCT review) AS reviews, count(DISTINCT place) AS places, count(*) AS evidence FROM scored",
     "value_counts": f"{W} SELECT factor, count(*) AS n FROM scored GROUP BY factor",
-    "category_means": f"{W} SELECT place, category, count(*) AS factors, round(avg(factor_score), 6) + 0.0 AS category_score FROM fsw GROUP BY place, category",
+    "category_means": f"{W} SELECT place, category, count(*) AS factors, round((avg(factor_score)) + 1e-10::DOUBLE, 6) + 0.0 AS category_score FROM fsw GROUP BY place, category",
     "factor_scores_large": f"{LARGE} SELECT {FACTOR_SQL} FROM fsw",
     "place_scores_large": f"{LARGE} SELECT {PLACE_SQL} FROM ps JOIN best USING (place)",
     "readiness_score": f"""{W}, shots AS (SELECT place, factor AS shot, confidence * 2 AS mp FROM evidence),

@@ -115,7 +115,7 @@ C = "WITH m0 AS (SELECT floor(l_quantity / 5) / 10 AS a, floor(l_discount * 100)
 
 def _pairs(columns: list[str], where: str, t: bool) -> str:
     rows = [f"SELECT '{x}' AS a, '{y}' AS b, count(*) AS n, CASE WHEN count(*) > 10 THEN corr({x}, {y}) END AS r FROM m WHERE {where.format(x, y)}" for i, x in enumerate(columns) for y in columns[i + 1 :]]
-    return f", p AS ({' UNION ALL '.join(rows)}) SELECT a, b, n, {s6('r')}" + (", round(r * sqrt((n - 2) / (1 - r * r)), 6) + 0.0 AS t" if t else "") + " FROM p"
+    return f", p AS ({' UNION ALL '.join(rows)}) SELECT a, b, n, {s6('r')}" + (", round((r * sqrt((n - 2) / (1 - r * r))) + 1e-10::DOUBLE, 6) + 0.0 AS t" if t else "") + " FROM p"
 
 
 L = """WITH t AS (SELECT conv_id AS review_index, turn AS sentence_id, text AS sentence, role, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS factor,
@@ -127,21 +127,21 @@ ORACLE_SQL = {
     "pair_correlations": M + _pairs(METRICS, "{0} IS NOT NULL AND {1} IS NOT NULL", True),
     "told_correlations": C + _pairs(["a", "b", "c"], "{0} IS NOT NULL AND {1} IS NOT NULL", False),
     "complete_correlations": C + _pairs(["a", "b", "c"], "a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL", False),
-    "trend_line": M + " SELECT round(regr_slope(price, quantity), 6) + 0.0 AS slope, round(regr_intercept(price, quantity), 6) + 0.0 AS intercept, CAST(regr_count(price, quantity) AS BIGINT) AS n FROM m",
+    "trend_line": M + " SELECT round((regr_slope(price, quantity)) + 1e-10::DOUBLE, 6) + 0.0 AS slope, round((regr_intercept(price, quantity)) + 1e-10::DOUBLE, 6) + 0.0 AS intercept, CAST(regr_count(price, quantity) AS BIGINT) AS n FROM m",
     "quantile_bins": M + """, q AS (SELECT quantile_cont(quantity, 0.25) AS low, quantile_cont(quantity, 0.75) AS high FROM m)
-        SELECT CASE WHEN quantity <= low THEN 'low' WHEN quantity <= high THEN 'middle' ELSE 'high' END AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean FROM m, q GROUP BY 1""",
-    "describe": M + " " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS count, round(avg({c}), 6) + 0.0 AS mean, round(stddev_samp({c}), 6) + 0.0 AS std, round(min({c}), 6) + 0.0 AS min, round(quantile_cont({c}, 0.25), 6) + 0.0 AS q25, round(quantile_cont({c}, 0.5), 6) + 0.0 AS q50, round(quantile_cont({c}, 0.75), 6) + 0.0 AS q75, round(max({c}), 6) + 0.0 AS max FROM m" for c in METRICS),
+        SELECT CASE WHEN quantity <= low THEN 'low' WHEN quantity <= high THEN 'middle' ELSE 'high' END AS bin, count(*) AS n, round((avg(price)) + 1e-10::DOUBLE, 6) + 0.0 AS mean FROM m, q GROUP BY 1""",
+    "describe": M + " " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS count, round((avg({c})) + 1e-10::DOUBLE, 6) + 0.0 AS mean, round((stddev_samp({c})) + 1e-10::DOUBLE, 6) + 0.0 AS std, round((min({c})) + 1e-10::DOUBLE, 6) + 0.0 AS min, round((quantile_cont({c}, 0.25)) + 1e-10::DOUBLE, 6) + 0.0 AS q25, round((quantile_cont({c}, 0.5)) + 1e-10::DOUBLE, 6) + 0.0 AS q50, round((quantile_cont({c}, 0.75)) + 1e-10::DOUBLE, 6) + 0.0 AS q75, round((max({c})) + 1e-10::DOUBLE, 6) + 0.0 AS max FROM m" for c in METRICS),
     "nearest_station": """WITH s AS (SELECT s_suppkey AS k, 37.4::DOUBLE + 0.003::DOUBLE * s_suppkey AS lat, 126.8::DOUBLE + 0.00001::DOUBLE * s_acctbal AS lng FROM supplier),
         j AS (SELECT p.k AS point, q.k AS station, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lng - p.lng) / 2), 2) AS a FROM s p, s q WHERE p.k % 3 <> 0 AND q.k % 3 = 0),
         m AS (SELECT point, station, 2 * 6371000.0::DOUBLE * atan2(sqrt(a), sqrt(1 - a)) AS metres FROM j), w AS (SELECT *, round(metres * 1.4::DOUBLE / 67.0::DOUBLE, 1) AS minutes FROM m WHERE metres <= 3000),
         b AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY minutes, station) AS n FROM w)
-        SELECT s.k AS point, CAST(b.station AS DOUBLE) AS station, CASE WHEN b.station IS NULL THEN NULL WHEN b.station % 2 = 0 THEN 'subway' ELSE 'bus' END AS kind, b.minutes, round(b.metres, 6) + 0.0 AS metres
+        SELECT s.k AS point, CAST(b.station AS DOUBLE) AS station, CASE WHEN b.station IS NULL THEN NULL WHEN b.station % 2 = 0 THEN 'subway' ELSE 'bus' END AS kind, b.minutes, round((b.metres) + 1e-10::DOUBLE, 6) + 0.0 AS metres
         FROM s LEFT JOIN b ON b.point = s.k AND b.n = 1 WHERE s.k % 3 <> 0""",
     "llm_flatten": L + f" SELECT review_index, sentence_id, nth, factor, {s6('confidence')}, evidence, sentiment_hint, sentence FROM f",
     "llm_review_pivot": L
     + ", e AS (SELECT review_index, factor, evidence, min(sentence_id * 10 + nth) AS o FROM f GROUP BY ALL), x AS (SELECT review_index, factor, string_agg(evidence, ' | ' ORDER BY o) AS t FROM e GROUP BY ALL), c AS (SELECT DISTINCT conv_id AS review_index FROM conversations) SELECT c.review_index, "
     + ", ".join(
-        f"EXISTS (SELECT 1 FROM f WHERE f.review_index = c.review_index AND factor = '{n}') AS {n}_mapped, (SELECT count(*) FROM f WHERE f.review_index = c.review_index AND factor = '{n}') AS {n}_sentence_count, coalesce((SELECT first(t) FROM x WHERE x.review_index = c.review_index AND factor = '{n}'), '') AS {n}_evidence, round(coalesce((SELECT max(confidence) FROM f WHERE f.review_index = c.review_index AND factor = '{n}'), 0.0), 6) + 0.0 AS {n}_max_confidence"
+        f"EXISTS (SELECT 1 FROM f WHERE f.review_index = c.review_index AND factor = '{n}') AS {n}_mapped, (SELECT count(*) FROM f WHERE f.review_index = c.review_index AND factor = '{n}') AS {n}_sentence_count, coalesce((SELECT first(t) FROM x WHERE x.review_index = c.review_index AND factor = '{n}'), '') AS {n}_evidence, round((coalesce((SELECT max(confidence) FROM f WHERE f.review_index = c.review_index AND factor = '{n}'), 0.0)) + 1e-10::DOUBLE, 6) + 0.0 AS {n}_max_confidence"
         for n in FACTORS
     )
     + " FROM c",

@@ -239,6 +239,21 @@ def hash_encode(spark, d):
     return rows.select("review", F.size(F.filter("v", lambda x: x > 0)).alias("filled"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
+def _own_words(spark, d):
+    """Reviews with three of their own words as evidence."""
+    rows = _rows(spark, d).select("review", "review_text")
+    return rows.withColumn("evidence", F.array(ft.strip(F.array_join(F.slice(F.split("review_text", r"\s+"), 2, 3), " "))))
+
+
+def evidence_spans_exact(spark, d):
+    return spans.evidence_spans(_own_words(spark, d)).where("tier = 'exact'")
+
+
+def highlighted_text(spark, d):
+    rows = _own_words(spark, d).where(F.contains("review_text", F.element_at("evidence", 1)))
+    return spans.highlighted(rows).select("review", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
 def evidence_spans(spark, d):
     rows = _rows(spark, d).select("review", "review_text")
     words = F.split("review_text", r"\s+")
@@ -257,7 +272,7 @@ def evidence_spans(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans)
+    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans, evidence_spans_exact, highlighted_text)
 }
 
 W = f"WITH {b.REVIEWS_SQL}"
@@ -270,6 +285,8 @@ k AS (SELECT * FROM w WHERE word NOT IN ('the', 'and', 'les', 'der', 'que', 'of'
 c AS (SELECT word, count(*) AS df FROM tf GROUP BY word ORDER BY sum(tf) DESC, word LIMIT 1000),
 r AS (SELECT place, word, tf, df, tf * (ln((1 + (SELECT count(DISTINCT place) FROM reviews)) / (1 + df)) + 1) AS raw FROM tf JOIN c USING (word)),
 t AS (SELECT place, word, tf, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY place)) AS tfidf FROM r)"""
+OWN_WORDS_SQL = rf"""{W}, own AS (SELECT review, review_text AS t, {STRIP.format("array_to_string(list_slice(string_split_regex(review_text, '@S+'), 2, 4), ' ')").replace('@S', chr(92) + 's')} AS e FROM reviews)"""
+HTML_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 ORACLE_SQL = {
     "place_key_clean": f"""{W} SELECT review, CASE WHEN district IS NOT NULL AND review % 3 = 0 THEN place || ' ' || district || ' n' || CAST(review % 5 AS VARCHAR) ELSE place END AS place, place AS original
         FROM reviews WHERE place IS NOT NULL AND {_strip("review_text")} <> ''""",
@@ -318,12 +335,12 @@ ORACLE_SQL = {
             WHEN heading THEN CASE WHEN rating >= 4 THEN 0.9 WHEN rating >= 3 THEN 0.5 WHEN rating IS NOT NULL THEN 0.1 ELSE 0.5 END::DOUBLE
             WHEN s >= 0.6 OR s <= 0.4 THEN s ELSE 0.5 END AS score FROM s)
         SELECT review, {s6("score")}, CASE WHEN score >= 0.6 THEN 'positive' WHEN score <= 0.4 THEN 'negative' ELSE 'neutral' END AS label FROM r""",
-    "place_avg_sentiment": f"{W} SELECT place, round(avg({b.LEXICON_SQL.format('review_text')}), 6) + 0.0 AS sentiment, count(*) AS reviews FROM reviews GROUP BY place",
-    "sentiment_outer_merge": f"""{W}, r AS (SELECT review, place, rating, round({b.LEXICON_SQL.format("review_text")}, 6) + 0.0 AS s FROM reviews)
+    "place_avg_sentiment": f"{W} SELECT place, round((avg({b.LEXICON_SQL.format('review_text')})) + 1e-10::DOUBLE, 6) + 0.0 AS sentiment, count(*) AS reviews FROM reviews GROUP BY place",
+    "sentiment_outer_merge": f"""{W}, r AS (SELECT review, place, rating, round(({b.LEXICON_SQL.format("review_text")}) + 1e-10::DOUBLE, 6) + 0.0 AS s FROM reviews)
         SELECT coalesce(a.review, c.review) AS review, coalesce(a.place, c.place) AS place, a.s AS sentiment, c.size FROM (SELECT * FROM r WHERE s >= 0.5) a
         FULL JOIN (SELECT review, place, CAST(length(place) AS DOUBLE) AS size FROM r WHERE rating IS NOT NULL) c ON a.review = c.review AND a.place = c.place""",
     "keyword_boost": f"""{W}, h AS ({" UNION ALL ".join(f"SELECT review, '{f}' AS factor, {_hits(w)} AS hits FROM reviews" for f, w in BOOST_WORDS.items())})
-        SELECT review, factor, hits, round(least(0.75::DOUBLE + 0.05::DOUBLE * hits, 0.95), 6) + 0.0 AS boost FROM h WHERE hits > 0""",
+        SELECT review, factor, hits, round((least(0.75::DOUBLE + 0.05::DOUBLE * hits, 0.95)) + 1e-10::DOUBLE, 6) + 0.0 AS boost FROM h WHERE hits > 0""",
     "minutes_boost": rf"""{W}, m AS (SELECT review, list_concat(regexp_extract_all(review_text, 'version (\d+)', 1), regexp_extract_all(review_text, '(\d+)-\d{{4}}', 1), regexp_extract_all(review_text, 'BY-NC (\d+)', 1)) AS m FROM reviews)
         SELECT review, CAST(list_max(list_transform(m, lambda x: CASE WHEN x::INT <= 5 THEN 0.95 WHEN x::INT <= 10 THEN 0.9 WHEN x::INT <= 15 THEN 0.85 ELSE 0.8 END)) AS DOUBLE) AS boost FROM m WHERE len(m) > 0""",
     "tfidf_keywords": f"{W}{TF_SQL} SELECT place, word, tf, df, {s6('tfidf')} FROM t",
@@ -346,9 +363,9 @@ ORACLE_SQL = {
         lower(trim((['true', ' Yes ', '0', 'T', 'no', '1'])[review % 6 + 1])) IN ('true', '1', 'yes', 'y', 't') AS flag FROM reviews),
         m AS (SELECT review, flag, s, CASE WHEN label IN ('POSITIVE', 'LABEL_1', '긍정') THEN 'p' WHEN label IN ('negative', 'label_0') THEN 'n' ELSE 'u' END AS k, label FROM l),
         x AS (SELECT *, CASE WHEN s >= 0.6 THEN 'positive' WHEN s <= 0.4 THEN 'negative' ELSE 'neutral' END AS ul, CASE WHEN s >= 0.6 THEN s WHEN s <= 0.4 THEN 1 - s ELSE 0.5 END AS us FROM m)
-        SELECT review, CASE k WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' ELSE ul END AS label, round(CASE k WHEN 'p' THEN s WHEN 'n' THEN 1 - s ELSE us END, 6) + 0.0 AS score,
+        SELECT review, CASE k WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' ELSE ul END AS label, round((CASE k WHEN 'p' THEN s WHEN 'n' THEN 1 - s ELSE us END) + 1e-10::DOUBLE, 6) + 0.0 AS score,
         CASE label WHEN 'LABEL_1' THEN 'negative' WHEN '5 stars' THEN 'positive' WHEN '2 stars' THEN 'negative' ELSE ul END AS star_label,
-        round(CASE label WHEN 'LABEL_1' THEN 0.1 WHEN '5 stars' THEN 0.9 WHEN '2 stars' THEN 0.3 ELSE us END::DOUBLE, 6) + 0.0 AS star_score, flag FROM x""",
+        round((CASE label WHEN 'LABEL_1' THEN 0.1 WHEN '5 stars' THEN 0.9 WHEN '2 stars' THEN 0.3 ELSE us END::DOUBLE) + 1e-10::DOUBLE, 6) + 0.0 AS star_score, flag FROM x""",
     "script_filter": rf"{W} SELECT review, regexp_replace(review_text, '[^A-Za-z\s]', '', 'g') AS latin, ' 한글 ' AS hangul FROM reviews",
     "search_query": f"{W} SELECT review, CASE WHEN review % 2 = 0 THEN place || ' ' || district ELSE place END AS query FROM reviews",
     "fingerprint": f"{W} SELECT review, sha1(coalesce(place, '') || chr(10) || coalesce(district, '') || chr(10) || coalesce(CAST(rating AS VARCHAR), '') || chr(10) || review_text || chr(10)) AS sha1 FROM reviews",
@@ -367,13 +384,21 @@ ORACLE_SQL = {
         j AS (SELECT w.place, a.district AS d1, b.district AS d2, (SELECT arg_min(c.district, c.o) FROM k c WHERE contains(c.k, w.word)) AS d3
               FROM w LEFT JOIN k a ON a.k = w.place LEFT JOIN k b ON b.k = w.word)
         SELECT place, coalesce(d1, d2, d3) AS district, CAST(CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN d3 IS NOT NULL THEN 3 END AS DOUBLE) AS tier FROM j""",
+    # A word's grams of two to five characters, with a blank at either end; a bucket is the last twelve bits of a gram's MD5.
+    "hash_encode": rf"""{W}, w AS (SELECT review, ' ' || unnest(list_filter(string_split_regex(lower(review_text), '\s+'), lambda x: x <> '')) || ' ' AS w FROM reviews),
+        n AS (SELECT review, w, CAST(unnest([2, 3, 4, 5]) AS INT) AS n FROM w), i AS (SELECT review, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM n WHERE n <= length(w)),
+        g AS (SELECT review, count(DISTINCT substr(md5(substr(w, CAST(i AS INT), n)), 30, 3)) AS filled FROM i GROUP BY review)
+        SELECT r.review, CAST(coalesce(filled, 0) AS INT) AS filled, CASE WHEN filled > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM reviews r LEFT JOIN g USING (review)""",
+    "evidence_spans_exact": f"""{OWN_WORDS_SQL} SELECT review, CAST(strpos(t, e) - 1 AS INT) AS start, CAST(strpos(t, e) - 1 + length(e) AS INT) AS stop, 'exact' AS tier FROM own WHERE e <> '' AND contains(t, e)""",
+    "highlighted_text": f"""{OWN_WORDS_SQL} SELECT review, md5(CASE WHEN e = '' THEN {HTML_SQL.format("t")} ELSE {HTML_SQL.format("substr(t, 1, CAST(strpos(t, e) AS INT) - 1)")} || '<mark>' || {HTML_SQL.format("e")} || '</mark>'
+        || {HTML_SQL.format("substr(t, CAST(strpos(t, e) AS INT) + CAST(length(e) AS INT))")} END) AS html FROM own WHERE contains(t, e)""",
     "row_slice": f"{W} SELECT review, place FROM reviews ORDER BY review LIMIT 50 OFFSET 40",
     "group_evaluation": rf"""{W}, s AS (SELECT *, {_strip("review_text")} AS t FROM reviews),
         n AS (SELECT *, len(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1)) AS k FROM s)
-        SELECT place, district, CAST(count_if(t <> '') AS BIGINT) AS reviews, CAST(sum(CASE WHEN t = '' THEN 0 WHEN k = 0 THEN 1 ELSE k END) AS BIGINT) AS sentences, round(avg(rating), 6) + 0.0 AS rating,
-        round(avg({b.LEXICON_SQL.format("review_text")}), 6) + 0.0 AS sentiment, md5(string_agg(review_text, chr(10) ORDER BY review)) AS texts FROM n GROUP BY place, district""",
+        SELECT place, district, CAST(count_if(t <> '') AS BIGINT) AS reviews, CAST(sum(CASE WHEN t = '' THEN 0 WHEN k = 0 THEN 1 ELSE k END) AS BIGINT) AS sentences, round((avg(rating)) + 1e-10::DOUBLE, 6) + 0.0 AS rating,
+        round((avg({b.LEXICON_SQL.format("review_text")})) + 1e-10::DOUBLE, 6) + 0.0 AS sentiment, md5(string_agg(review_text, chr(10) ORDER BY review)) AS texts FROM n GROUP BY place, district""",
     "char_ngram_cosine": f"""{W}, t AS (SELECT review, lower(review_text) AS t FROM reviews),
         g AS (SELECT review, substr(t, CAST(i AS INT), 3) AS g, count(*) AS n FROM (SELECT review, t, unnest(range(1, length(t) - 1)) AS i FROM t WHERE length(t) >= 3) GROUP BY ALL),
         l AS (SELECT review, sqrt(sum(n * n)) AS len FROM g GROUP BY review), d AS (SELECT a.review, sum(a.n * c.n) AS dot FROM g a JOIN g c ON c.review = a.review + 1 AND a.g = c.g GROUP BY a.review)
-        SELECT d.review, round(dot / (x.len * y.len), 6) + 0.0 AS cosine FROM d JOIN l x ON x.review = d.review JOIN l y ON y.review = d.review + 1""",
+        SELECT d.review, round((dot / (x.len * y.len)) + 1e-10::DOUBLE, 6) + 0.0 AS cosine FROM d JOIN l x ON x.review = d.review JOIN l y ON y.review = d.review + 1""",
 }

@@ -97,8 +97,8 @@ def score_audit(spark, d):
 
 
 def score_audit_log(spark, d):
-    fixes = spark.createDataFrame([("f0", "0.3"), ("f4", "-0.4"), ("f9", "oops"), ("zz", "0.1")], "factor string, delta string")
-    return op.audited(_weighted(spark, d), fixes)[1].select("place", "factor", r6("original"), r6("adjusted"), r6("delta"))
+    fixes = spark.createDataFrame([("f0", "0.3", "quiet"), ("f4", "-0.4", None), ("f9", "oops", "x"), ("zz", "0.1", "y")], "factor string, delta string, reason string")
+    return op.audited(_weighted(spark, d), fixes)[1].select("place", "factor", "original", "adjusted", "delta", "reason")
 
 
 def blended_scores(spark, d):
@@ -137,26 +137,26 @@ ORACLE_SQL = {
     "weights": f"{W} SELECT place, factor, {s6('weight')} FROM weighted",
     "mu_sigma": f"{W} SELECT place, {s6('mu')}, {s6('sigma')} FROM mu",
     "deviant_factors": f"""{W} SELECT place, coalesce(string_agg(factor, ', ' ORDER BY factor_order) FILTER (n > 0 AND fsi >= mu + 0.05 - 1e-9), '') AS strong,
-        coalesce(string_agg(factor, ', ' ORDER BY factor_order) FILTER (n > 0 AND fsi <= mu - 0.05 + 1e-9), '') AS weak, round(first(mu), 6) + 0.0 AS mu FROM weighted JOIN mu USING (place) GROUP BY place""",
-    "place_metrics_wide": f"""{W} SELECT place, {", ".join(f"round({_wide('fsi', n)}, 6) + 0.0 AS {n}_fsi, {_wide('n', n)} AS {n}_n, round({_wide('weight', n)}, 6) + 0.0 AS {n}_weight" for n in _NAMES)},
-        round(first(mu), 6) + 0.0 AS mu, round(first(sigma), 6) + 0.0 AS sigma FROM weighted JOIN mu USING (place) GROUP BY place""",
+        coalesce(string_agg(factor, ', ' ORDER BY factor_order) FILTER (n > 0 AND fsi <= mu - 0.05 + 1e-9), '') AS weak, round((first(mu)) + 1e-10::DOUBLE, 6) + 0.0 AS mu FROM weighted JOIN mu USING (place) GROUP BY place""",
+    "place_metrics_wide": f"""{W} SELECT place, {", ".join(f"round(({_wide('fsi', n)}) + 1e-10::DOUBLE, 6) + 0.0 AS {n}_fsi, {_wide('n', n)} AS {n}_n, round(({_wide('weight', n)}) + 1e-10::DOUBLE, 6) + 0.0 AS {n}_weight" for n in _NAMES)},
+        round((first(mu)) + 1e-10::DOUBLE, 6) + 0.0 AS mu, round((first(sigma)) + 1e-10::DOUBLE, 6) + 0.0 AS sigma FROM weighted JOIN mu USING (place) GROUP BY place""",
     "recommend_mean": f"{W} SELECT place, {s6('score')} FROM (SELECT place, avg(fsi) AS score FROM weighted WHERE factor IN ('f0', 'f3', 'f7') GROUP BY place) ORDER BY round(score, 9) DESC, place LIMIT 3",
     "recommend_nonneutral": f"{W} SELECT place, {s6('score')} FROM (SELECT place, coalesce(avg(nullif(fsi, 0.5)), 0) AS score FROM weighted WHERE factor IN ('f0', 'f3', 'f7') GROUP BY place) WHERE score > 0",
     "legacy_factor_merge": f"""{W} SELECT place, CASE factor WHEN 'f0' THEN '개방성' WHEN 'f1' THEN '상호작용성' WHEN 'f2' THEN '상호작용성' ELSE factor END AS factor, CAST(sum(n) AS BIGINT) AS n,
-        round(avg(fsi), 6) + 0.0 AS fsi, round(least(sum(weight), 1.0), 6) + 0.0 AS weight FROM weighted GROUP BY 1, 2""",
+        round((avg(fsi)) + 1e-10::DOUBLE, 6) + 0.0 AS fsi, round((least(sum(weight), 1.0)) + 1e-10::DOUBLE, 6) + 0.0 AS weight FROM weighted GROUP BY 1, 2""",
     "top_reviews_per_factor": f"""{W} SELECT factor, place, review, CAST(rank AS INT) AS rank, {s6("similarity")} FROM
         (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY round(similarity, 9) DESC, place, review) AS rank FROM review_scores) WHERE rank <= 10""",
     "top_decile_places": f"{W}, q AS (SELECT factor, quantile_cont(fsi, 0.9) AS cut FROM fsi GROUP BY factor) SELECT factor, place, {s6('fsi')} FROM fsi JOIN q USING (factor) WHERE round(fsi, 9) >= round(cut, 9)",
     "text_vs_image": f"""{W}, i AS (SELECT place, factor, fsi, CASE WHEN factor IN ('f0', 'f1', 'f2') THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, place * 0.07::DOUBLE)) ELSE 0.5::DOUBLE END AS image FROM fsi)
-        SELECT place, factor, round(fsi, 6) + 0.0 AS text_score, round(image, 6) + 0.0 AS image_score, round(image - fsi, 6) + 0.0 AS difference FROM i""",
-    "score_audit": f"""{W} SELECT place, factor, round(CASE factor WHEN 'f0' THEN greatest(0.2, least(1.0, fsi + 0.3)) WHEN 'f4' THEN greatest(0.2, least(1.0, fsi - 0.4)) ELSE fsi END, 6) + 0.0 AS fsi FROM weighted""",
-    "score_audit_log": f"""{W}, c(factor, delta) AS (VALUES ('f0', 0.3::DOUBLE), ('f4', -0.4::DOUBLE))
-        SELECT place, factor, round(fsi, 6) + 0.0 AS original, round(greatest(0.2, least(1.0, fsi + delta)), 6) + 0.0 AS adjusted, round(delta, 6) + 0.0 AS delta FROM weighted JOIN c USING (factor)""",
+        SELECT place, factor, round((fsi) + 1e-10::DOUBLE, 6) + 0.0 AS text_score, round((image) + 1e-10::DOUBLE, 6) + 0.0 AS image_score, round((image - fsi) + 1e-10::DOUBLE, 6) + 0.0 AS difference FROM i""",
+    "score_audit": f"""{W} SELECT place, factor, round((CASE factor WHEN 'f0' THEN greatest(0.2, least(1.0, fsi + 0.3)) WHEN 'f4' THEN greatest(0.2, least(1.0, fsi - 0.4)) ELSE fsi END) + 1e-10::DOUBLE, 6) + 0.0 AS fsi FROM weighted""",
+    "score_audit_log": f"""{W}, c(factor, delta, reason) AS (VALUES ('f0', 0.3::DOUBLE, 'quiet'), ('f4', -0.4::DOUBLE, ''))
+        SELECT place, factor, round(fsi, 2) AS original, round(greatest(0.2, least(1.0, fsi + delta)), 2) AS adjusted, round(delta, 2) AS delta, reason FROM weighted JOIN c USING (factor)""",
     "blended_scores": f"""{W}, v AS (SELECT place, factor, {_blend} AS value FROM sims),
         s AS (SELECT place, factor, coalesce(sum(value), 0) AS total, count(value) AS n,
               CASE WHEN factor = 'f1' AND place % 3 > 0 THEN least(0.75::DOUBLE + 0.05::DOUBLE * (place % 3), 0.95) END AS k, CASE WHEN factor = 'f3' AND place % 2 = 0 THEN 0.9::DOUBLE END AS m FROM v GROUP BY place, factor)
-        SELECT place, factor, round((total + CASE WHEN k IS NULL THEN 0 ELSE 3 * k END + CASE WHEN m IS NULL THEN 0 ELSE 5 * m END)
-            / nullif(n + CASE WHEN k IS NULL THEN 0 ELSE 3 END + CASE WHEN m IS NULL THEN 0 ELSE 5 END, 0), 6) + 0.0 AS score FROM s""",
+        SELECT place, factor, round(((total + CASE WHEN k IS NULL THEN 0 ELSE 3 * k END + CASE WHEN m IS NULL THEN 0 ELSE 5 * m END)
+            / nullif(n + CASE WHEN k IS NULL THEN 0 ELSE 3 END + CASE WHEN m IS NULL THEN 0 ELSE 5 END, 0)) + 1e-10::DOUBLE, 6) + 0.0 AS score FROM s""",
     "blended_review_default": f"""{W}, r AS (SELECT place, review, factor, coalesce(avg({_blend}), 0.5) AS v FROM sims GROUP BY ALL), p AS (SELECT place, factor, avg(v) AS score FROM r GROUP BY ALL)
-        SELECT place, round(avg(score), 6) + 0.0 AS placeness, count(*) AS factors FROM p GROUP BY place""",
+        SELECT place, round((avg(score)) + 1e-10::DOUBLE, 6) + 0.0 AS placeness, count(*) AS factors FROM p GROUP BY place""",
 }
