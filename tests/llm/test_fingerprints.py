@@ -47,6 +47,31 @@ def test_sparse_ids(spark):
     assert all(got[f"w{i}"] == f"w{i}"[: len(f"w{i}") - len(f"w{i}") // 2] + f"w{(i + 1) % 50}"[: len(f"w{i}") // 2] for i in range(50))
 
 
+def test_ranges_of_any_ids(spark, monkeypatch):
+    """Hashed ids, repeated ones and many rows without one; the ranges are as even as the ids."""
+    import random
+
+    monkeypatch.setattr(fp, "_ranges", lambda rows, real=fp._ranges: real(rows, 8))
+    rng = random.Random(2)
+    rows = [(rng.randrange(-(1 << 63), (1 << 63) - 1), f"text {i} of hashed ids") for i in range(400)]
+    rows += [(rows[5][0], f"again {i}") for i in range(10)] + [(None, f"nameless {i}") for i in range(300)]
+    for own in (rows, rows[:400], rows[410:]):
+        df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+        follows = {r.text: r.next_text for r in fp.with_next(fp.keyed(df), ["text"]).collect()}
+        at, seen = own[0][1], []
+        while at not in seen:
+            seen.append(at)
+            at = follows[at]
+        ids = [dict((t, i) for i, t in own)[t] for t in seen]
+        turn = ids.index(min((i for i in ids if i is not None), default=None))
+        ids = ids[turn:] + ids[:turn]
+        assert len(seen) == len(own) and (None not in ids[: sum(i is not None for i in ids)] or ids[0] is None)
+        known = [i for i in ids if i is not None]
+        assert known == sorted(known)
+    sizes = fp.keyed(spark.createDataFrame(rows[:400], "doc_id long, text string"))
+    assert max(r["count"] for r in sizes.groupBy(fp._ranges(sizes)[1]).count().collect()) < 40
+
+
 def test_merging_and_containment(spark):
     a, b = " ".join(f"a{i}" for i in range(3000)), " ".join(f"b{i}" for i in range(200))
     df = spark.createDataFrame([(a, b, f"{a} {b}")], "a string, b string, c string")

@@ -6,13 +6,16 @@ rule) and two of them are compared below the smaller of the values up to which e
 gives the likeness (shared part of the union) and the containment (shared part of one side), also of
 texts of very unequal length. A sketch's size follows its text's: about `fraction` of its shingles.
 
-The next document by id is found without a global sort: ids are cut into ranges of 512, each range is
-ordered on its own, and the first row of a range is also handed to the range before it.
+The next document by id is found without a global sort: the ids from least to largest, dense or not, are
+cut into at most 2^18 ranges, each range is ordered on its own, and the first row of a range is also handed
+to the range before it. Only the ranges themselves are ordered in one task. Rows without an id have 64
+ranges of their own, by the hash of their text.
 
 Nulls: a null text is an empty one, without shingles; two such texts are alike (1), one such and another
 not (0). A text of fewer than five words is one shingle. A null id sorts last and comes back as null.
-Repeated rows of one id follow each other by text. An empty table gives an empty result; with one row,
-that row is its own next. Other columns are not read.
+Repeated rows of one id, and those without one, follow each other by the hash of their text and then by
+text; those of one id are ordered in one task. An empty table gives an empty result; with one row, that row
+is its own next. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of, written
+from .common import NO_ID, id_of, key_of, text_of, written
 
 WORDS = 5
 FRACTION = 1 / 8
 LEAST = 32
-RANGE_BITS = 9
+#: Rows that a range is made for, and the most ranges.
+PER_RANGE, MOST_RANGES = 512, 1 << 18
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -115,28 +119,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_sketch(keyed(docs, id_col, text_col))
 
 
-def _heads(docs: DataFrame) -> DataFrame:
-    """(first, before): the smallest key of every range and the range before it, cyclically."""
-    heads = docs.groupBy(F.shiftright("key", RANGE_BITS).alias("range")).agg(F.min("key").alias("first"))
-    heads = heads.withColumn("over", F.shiftright("range", RANGE_BITS))
-    tops = heads.groupBy("over").agg(F.max("range").alias("last"))
-    # One row for 2^18 ids: the only order over all of them.
-    order = Window.orderBy("over")
-    tops = tops.select("over", F.coalesce(F.lag("last").over(order), F.max("last").over(Window.partitionBy())).alias("carry"))
-    inside = Window.partitionBy("over").orderBy("range")
-    return heads.withColumn("before", F.lag("range").over(inside)).join(tops, "over").select("first", F.coalesce("before", "carry").alias("before"))
+def _ranges(rows: DataFrame, per_range: int = PER_RANGE) -> tuple[Column, Column]:
+    """A row's place among those of one key, and the number of its range, ascending with key and place.
+
+    The place is the hash of the text where ids are missing, of which the last 64 ranges are, and 0 elsewhere:
+    texts are read for it only then."""
+    own = F.when(F.col("key") != NO_ID, F.col("key"))
+    ends = rows.agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(own).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    width, last = 1 << 62, 1
+    if ends.n:
+        width = min(1 << 62, max(1, -(-(ends.high - ends.low + 1) // min(MOST_RANGES, max(1, ends.n // per_range)))))
+        last = max(0, ends.high // width) + 1
+    known = F.expr(f"key div {width}L")
+    if ends.n == ends.all:
+        return F.lit(0).cast("long"), known
+    missing = F.col("key") == NO_ID
+    place = F.when(missing, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    # Signed numbers in order, from 0 to 63.
+    sixth = F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(1 << 63))), 58)
+    return place, F.when(missing, F.lit(last).cast("long") + sixth).otherwise(known)
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """(first, before): the smallest key and place of every range and the range before it, cyclically."""
+    heads = rows.groupBy("range").agg(F.min(F.struct("key", "place")).alias("first"))
+    order = Window.orderBy("range")
+    return heads.select("first", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("before"))
 
 
 def with_next(rows: DataFrame, columns: list[str], extend: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """extend(rows) for rows (key, text), with next_<column> of the next row by key; after the last that of
+    """extend(rows) for rows (key, text), with next_<column> of the next row in order; after the last that of
     the first. The few rows that are needed twice are found before they are extended."""
+    place, of = _ranges(rows)
+    dealt = rows.withColumn("place", place).withColumn("range", of)
     # Written first: its size is known then, and texts are not shuffled to find a few of them.
-    heads = written(_heads(rows.select("key")), "heads")
-    own = extend(rows).withColumn("range", F.shiftright("key", RANGE_BITS)).withColumn("guest", F.lit(0))
-    guests = extend(rows.join(heads, F.col("key") == F.col("first"))).withColumn("guest", F.lit(1)).withColumnRenamed("before", "range").drop("first")
-    order = Window.partitionBy("range").orderBy("guest", "key", "text")
+    heads = written(_heads(dealt.select("key", "place", "range")), "heads").select(F.col("first.key").alias("key"), F.col("first.place").alias("place"), "before")
+    own = extend(dealt).withColumn("guest", F.lit(0))
+    guests = extend(dealt.drop("range").join(heads, ["key", "place"]).withColumnRenamed("before", "range")).withColumn("guest", F.lit(1))
+    order = Window.partitionBy("range").orderBy("guest", "key", F.xxhash64("text"), "text")
     both = own.unionByName(guests)
-    return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("guest = 0").drop("guest", "range")
+    return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("guest = 0").drop("guest", "range", "place")
 
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
