@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuescope.llm import mixing
+from venuescope.llm.queries import QUERIES
 
 
 def test_targets_stop_at_twice_the_size():
@@ -45,6 +46,48 @@ def test_overlapping_sources(spark):
     assert rows.agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * 900, abs=4) and rows.where("taken > 6").count() == 0
 
 
+def test_taken_against_brute_force(spark, sf, rows_of):
+    """Each source takes whole rounds of its documents, then those first by the seeded place, the last one cut."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    place = {r.doc_id: (r.place, r.check) for r in docs.select("doc_id", *mixing._places(11, "doc_id", "text")).collect()}
+    sizes, by = {}, {}
+    for i, text, source in rows_of(sf, "documents", "doc_id", "text", "source"):
+        sizes[i] = len((text or "").encode().split())
+        by.setdefault(source, []).append(i)
+    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    left, total = {s: sum(sizes[i] for i in by[s]) for s in names}, 1.5 * sum(sizes.values())
+    heft, targets = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}, {}
+    while True:
+        unit = (total - sum(targets.values())) / sum(heft[s] for s in names if s not in targets)
+        over = [s for s in names if s not in targets and unit * heft[s] > 2 * left[s]]
+        if not over:
+            break
+        targets |= {s: 2.0 * left[s] for s in over}
+    targets |= {s: unit * heft[s] for s in names if s not in targets}
+    want = {}
+    for s in names:
+        rounds, rest = divmod(round(targets[s]), left[s])
+        for i in sorted(by[s], key=lambda i: (place[i][0] % (1 << 64), place[i])):
+            part = min(rest, sizes[i])
+            want[i], rest = rounds * sizes[i] + part, rest - part
+    got = {r.doc_id: r for r in QUERIES["op5_mixing"](spark, sf).collect()}
+    source = {i: s for s, own in by.items() for i in own}
+    assert {i: r.taken for i, r in got.items()} == want
+    assert all(r.size == sizes[i] and r.source_size == left[source[i]] and r.target == pytest.approx(targets[source[i]]) for i, r in got.items())
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, 8, 9), (2, "d e", "s", 1, 2, 3)], "doc_id long, text string, source string, __words int, place int, taken int")
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns and {(r.doc_id, r["__words"], r.place, r.taken) for r in mixed.collect()} == {(1, 7, 8, 9), (2, 1, 2, 3)}
+
+
+def test_too_many_patterns_are_told(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(spark.createDataFrame([(i, "a", f"s{i}") for i in range(3)], "doc_id long, text string, source string"))
+
+
 def test_odd_rows(odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 13 and all(r.taken == 0 for r in rows if r.size == 0)

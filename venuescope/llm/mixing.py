@@ -28,6 +28,8 @@ from .common import splits, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKETS = 4096
+#: Patterns of sources, each a node of the network and a row of what is broadcast, at most.
+MOST_PATTERNS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -103,8 +105,10 @@ def ordered_sources(names: Iterable) -> list:
     return sorted(names, key=lambda s: (s is None, s or ""))
 
 
-def _place(seed: int, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+def _places(seed: int, id_col: str, text_col: str) -> list[Column]:
+    """A row's seeded place, and a second hash: both together tell rows apart."""
+    both = lambda n: F.xxhash64(F.lit(n), F.col(id_col), F.col(text_col))
+    return [both(seed).alias("place"), both(~seed).alias("check")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, share: float = 1.5, weights: tuple = WEIGHTS, repeats: int = 2, seed: int = 11) -> DataFrame:
@@ -113,9 +117,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     members: an array of the sources that hold a document; by default its one source. The sizes and
     targets are those of the first member."""
     members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
-    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), word_count(F.col(text_col)).alias("size"), _place(seed, id_col, text_col).alias("place"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), word_count(F.col(text_col)).alias("size"), *_places(seed, id_col, text_col))
     rows = written(rows.withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int")), "mix")
-    patterns = rows.groupBy("members").agg(F.sum("size").cast("long").alias("size")).collect()
+    patterns = rows.groupBy("members").agg(F.sum("size").cast("long").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources: the network is built on the driver")
     supply = {tuple(r.members): r.size or 0 for r in patterns}
     sources = ordered_sources({s for p in supply for s in p})
     sizes = {s: sum(n for p, n in supply.items() if s in p) for s in sources}
@@ -137,8 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     # One row a pattern: as many as there are sources and overlaps, which the driver has held already.
     told = rows.join(F.broadcast(known), rows.members.eqNullSafe(F.col("pattern")), "left").join(F.broadcast(by_source), F.element_at("members", 1).eqNullSafe(F.col("source")), "left")
     told = told.withColumn("round", F.when(F.col("cut").isNull() & (F.col("rest") > 0), F.col("size")).when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    keep = ["doc_id", "place", "members", "source", "size", "source_size", "target", "rounds"]
-    inside = Window.partitionBy("members", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keep = ["doc_id", "place", "check", "members", "source", "size", "source_size", "target", "rounds"]
+    inside = Window.partitionBy("members", "bucket").orderBy("place", "check", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = told.where("bucket = cut").withColumn("run", F.sum("size").over(inside) - F.col("size") + F.col("before"))
     last = last.withColumn("round", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("run"))).cast("long"))
     parts = told.where("cut is null or bucket <> cut").select(*keep, "round").unionByName(last.select(*keep, "round"))
@@ -149,12 +155,17 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs as often as the mix takes their words; a last, partial copy keeps its first words.
 
     All columns stay, whatever their names. Rows alike in id and text are taken alike."""
-    taken = mix(docs, id_col, text_col, seed=seed, **how).where("taken > 0").groupBy(F.col("place").alias("__place")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = docs.withColumn("__at", _place(seed, id_col, text_col)).join(taken, F.col("__at") == F.col("__place")).coalesce(splits(docs))
-    whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.pmod(F.col("__taken"), F.col("__size")).cast("int")
+    keys = ["place", "check"]
+    taken = mix(docs, id_col, text_col, seed=seed, **how).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    # Columns by position, as a table may hold any name.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = docs.toDF(*names).select("*", *_places(seed, own_id, text)).join(taken, keys).coalesce(splits(docs))
+    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.pmod(F.col("taken"), F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__words", F.explode(copies))
-    return rows.withColumn(text_col, F.when(F.col("__words") < 0, F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("__words")))).select(*docs.columns)
+    rows = rows.withColumn("words", F.explode(copies))
+    cut = F.when(F.col("words") < 0, F.col(text)).otherwise(_first_words(F.col(text), F.col("words")))
+    return rows.withColumn(text, cut).select(*names).toDF(*docs.columns)
 
 
 def _first_words(text: Column, words: Column) -> Column:
