@@ -5,45 +5,25 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.kept import written
+
 #: Stands for a missing id, so that rows without one sort last and never get lost in a join.
 NO_ID = (1 << 63) - 1
 #: The white space of the contracts, `[\x20\x09-\x0D]`, as Python's bytes methods define it too.
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="venuescope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def splits(df: DataFrame) -> int:
     """Tasks that read df: for a table, a measure of its size. (What is still to be shuffled runs for this.)"""
     return max(1, df.rdd.getNumPartitions())
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again with its schema.
-
-    files: at most so many, where shuffled rows are known to be few for the shuffle's partitions."""
-    spark = df.sparkSession
-    df = df.coalesce(files) if files else df
-    path = f"{shared_dir(spark)}/venuescope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
@@ -108,7 +88,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Arrow batches that stay small where rows are whole texts: by rows, and by bytes for long ones."""
+    """Arrow batches that stay small where rows are whole texts: by rows, and by bytes for long ones.
+
+    For the session from here on, and only downwards in rows: a plan reads these settings when it runs, which
+    may be long after it was made, so they cannot be put back."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

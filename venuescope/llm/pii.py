@@ -25,7 +25,8 @@ from .common import small_batches, tidy
 
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "mail")
-KEY = b"set a key of your own"
+#: The setting that holds the key of the query, and the key of a demonstration, which everyone can undo.
+KEY_SETTING, DEMONSTRATION = "spark.venuescope.pii.key", b"set a key of your own"
 FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # to the end of 2099
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,7 +91,7 @@ def _fill(shape: str, digits: str) -> str:
 class Pseudonyms:
     """Finds and replaces; `undo` finds the same formats and restores the originals."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.permutation = Permutation(key)
 
     def _number(self, digits: str, kind: str, back: bool) -> str:
@@ -206,7 +207,7 @@ class Pseudonyms:
         return self.replaced(text, back=True)[0]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """All columns of docs, the text with pseudonyms, and `spans`: kind:start:end of each value before, joined."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)

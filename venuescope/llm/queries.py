@@ -70,7 +70,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"))
+    # Without the setting the result is a demonstration: the key then stands in the source.
+    key = spark.conf.get(pii.KEY_SETTING, None)
+    done = pii.pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"), key.encode() if key else pii.DEMONSTRATION)
     counts = [F.regexp_count("spans", F.lit(rf"(^|,){kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return done.select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), *counts)
 
