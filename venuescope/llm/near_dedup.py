@@ -5,10 +5,14 @@ on a longer fingerprint: majority bits in 48 segments of 24 bits. Sets alike in
 in about 15 of 100 bits; a pair is a candidate if some segment differs in at most one bit, that is if both
 agree in a one-wildcard variant of it. A pair at 0.8 is missed with a probability of 0.005, one at 0.85 of
 0.0002, one at 0.9 of less than a millionth (independent bits). Rows are dealt by the half of a segment that
-has no wildcard; the variants of the other half are joined in the task that holds them. Candidates must
-agree in 46 of 64 further bits and are then verified on the whole shingle sets. In a small bucket
-all pairs are candidates; in a large one a spanning forest of verified links is made where its sets are, so
-that rows do not grow with the square of a group. Equal sets are merged before that.
+has no wildcard; the variants of the other half are joined in the task that holds them, which holds 32 bytes of
+each row. Candidates must agree in 46 of 64 further bits and are then verified on the whole shingle sets.
+
+Only what may join two components is verified, so that rows do not grow with the square of a group. A first
+round verifies the nearest candidate of each set, a second one the nearest two whose sets the links so far
+do not join, and the last one all that are left. From the second round on, for the sets that have more
+candidates, rows carry 768 bits of the fingerprint, of which candidates must agree in 627. Equal sets are
+merged before that. (The limits are three and two and a half standard deviations beyond what a pair at 0.8 has.)
 
 Nulls: a null text is an empty one; texts without words are alike. A text of fewer than five words is one
 shingle. A null id sorts last; rows without one are rows of their own. An empty table gives an empty result. Other columns are not read.
@@ -32,10 +36,12 @@ WORDS = 5
 SEGMENTS, BITS = 48, 24
 HALF = BITS // 2
 SEED = 42
-#: In buckets of more sets than this, links are found by a forest and not from all pairs.
-LARGE = 16
-#: Of the 64 check bits so many may differ: three standard deviations more than a pair at 0.8 has.
-CHECK = 18
+#: Candidates of each set that a task gives in each round, the nearest first; None: all.
+ROUNDS = (1, 2, None)
+#: Before the last round, members of a larger bucket are compared with so many neighbours by check bits.
+LARGE, NEIGHBOURS = 64, 16
+#: Of the 64 check bits and of the first 768 bits so many may differ.
+CHECK, PRINT_BITS, FAR = 18, 768, 141
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SEGMENTS * BITS // 64 + 1), dtype=np.uint64)
 _ADD, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -50,8 +56,8 @@ def shingles(text: str, width: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
 
 
-def fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    """The segments of a shingle set's fingerprint, and 64 bits more to check candidates by."""
+def fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.uint64, bytes]:
+    """The segments of a shingle set's fingerprint, 64 bits more to check candidates by, and its first bits."""
     ones = np.zeros(64 * len(_ADD), np.int64)
     for at in range(0, len(own), 1 << 10):
         mixed = (own[at : at + (1 << 10), None] ^ _ADD) * _TIMES
@@ -61,38 +67,11 @@ def fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.uint64]:
         ones += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int32)
     bits = ones * 2 > len(own)
     packed = np.packbits(bits[: SEGMENTS * BITS].reshape(SEGMENTS, BITS), axis=1).astype(np.int32)
-    return packed[:, 0] << 16 | packed[:, 1] << 8 | packed[:, 2], np.packbits(bits[SEGMENTS * BITS :]).view(np.uint64)[0]
-
-
-def near(a: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Whether a Jaccard similarity is 0.8 or more, in whole numbers."""
-    return 9 * common >= 4 * (len(a) + sizes)
-
-
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all sets reachable over links of near sets."""
-    out, left = [], np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            source = int(front.pop())
-            x = sets[source]
-            i = left[(9 * np.minimum(sizes[left], len(x)) >= 4 * (sizes[left] + len(x)))]
-            if not len(i):
-                continue
-            flat = np.concatenate([sets[j] for j in i])
-            spot = np.searchsorted(x, flat).clip(max=len(x) - 1)
-            common = np.add.reduceat((x[spot] == flat).astype(np.int64), np.r_[0, np.cumsum(sizes[i])[:-1]])
-            got = i[near(x, sizes[i], common)]
-            out.extend((source, int(j)) for j in got)
-            front.extend(got)
-            left = left[~np.isin(left, got)]
-    return out
+    return packed[:, 0] << 16 | packed[:, 1] << 8 | packed[:, 2], np.packbits(bits[SEGMENTS * BITS :]).view(np.uint64)[0], np.packbits(bits[:PRINT_BITS]).tobytes()
 
 
 def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(told, node, segments, check) of every row: hash of its text, hash of its shingle set, its fingerprint."""
+    """(told, node, segments, check, print) of every row: hash of its text, hash of its shingle set, its fingerprint."""
     small_batches(docs.sparkSession)
 
     def made(b: pa.RecordBatch) -> dict:
@@ -101,99 +80,173 @@ def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
         prints = [fingerprint(s) for s in sets]
         flat = np.concatenate([p[0] for p in prints])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEGMENTS), pa.int32()), pa.array(flat))
-        return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "segments": lists, "check": pa.array(np.array([p[1] for p in prints]).view(np.int64))}
+        return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "segments": lists, "check": pa.array(np.array([p[1] for p in prints]).view(np.int64)), "print": pa.array([p[2] for p in prints], pa.binary())}
 
     rows = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told"))
-    return arrow_map(rows, made, "told long, node long, segments array<int>, check long")
-
-
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From whole halves (half, rest, node, check): candidate pairs (a, b), and (bucket, b) of large buckets.
-
-    rest is the half that has a wildcard. A bucket is one segment value and all values a wildcard away."""
-    parts = [[b.column(c).to_numpy() for c in ("half", "rest", "node", "check")] for b in batches if b.num_rows]
-    if not parts:
-        return
-    half, rest, node, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key = half.astype(np.int64) << HALF | rest
-    order = np.argsort(key, kind="stable")
-    key, node, check = key[order], node[order], check[order].view(np.uint64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    lengths, values = np.diff(np.r_[starts, len(key)]), key[starts]
-    pairs, large = [np.empty((2, 0), np.int64)], [np.empty((2, 0), np.int64)]
-
-    def product(i: np.ndarray, j: np.ndarray) -> None:
-        close = np.bitwise_count(check[i] ^ check[j]) <= CHECK
-        pairs.append(np.stack([node[i[close]], node[j[close]]]))
-
-    # Equal segments: both halves of a segment meet them, one is enough.
-    first = (values >> (2 * HALF)) & 1 == 0
-    for n in range(2, LARGE + 1):
-        at = starts[(lengths == n) & first]
-        i, j = np.triu_indices(n, 1)
-        product((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
-    members = lambda v: node[starts[v] : starts[v] + lengths[v]]
-    for v in np.flatnonzero(lengths > LARGE):
-        large.append(np.stack([np.full(lengths[v], values[v]), members(v)]))
-    for bit in range(HALF):
-        low = np.flatnonzero((values >> bit) & 1 == 0)
-        at = np.searchsorted(values, values[low] | (1 << bit)).clip(max=len(values) - 1)
-        met = values[at] == values[low] | (1 << bit)
-        x, y = low[met], at[met]
-        one = (lengths[x] == 1) & (lengths[y] == 1)
-        product(starts[x[one]], starts[y[one]])
-        for v, w in zip(x[~one], y[~one], strict=True):
-            if max(lengths[v], lengths[w]) <= LARGE:
-                product(np.repeat(starts[v] + np.arange(lengths[v]), lengths[w]), np.tile(starts[w] + np.arange(lengths[w]), lengths[v]))
-            else:
-                v, w = (v, w) if lengths[v] >= lengths[w] else (w, v)
-                large.append(np.stack([np.full(lengths[w], values[v]), members(w)]))
-    small = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-    for which, a, b in ((False, *small), (True, *np.concatenate(large, axis=1))):
-        for at in range(0, len(a), 1 << 16):
-            own = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(len(a[own]), which)), "a": pa.array(a[own]), "b": pa.array(b[own])})
-
-
-def _forest_of(table: pa.Table) -> pa.Table:
-    nodes = table.column("node").to_numpy()
-    sets = [s.values.to_numpy().view(np.uint64) for s in table.column("own").combine_chunks()]
-    found = np.array(forest(sets), np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(nodes[found[:, 0]]), "b": pa.array(nodes[found[:, 1]])})
-
-
-def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part: int = 500_000) -> DataFrame:
-    """Links (a, b) that join the near ones among distinct sets (node, told, segments, check); told: one text of each."""
-    rows = distinct.select(F.posexplode("segments").alias("i", "value"), "node", "check")
+    return arrow_map(rows, made, "told long, node long, segments array<int>, check long, print binary")
+
+
+def _cross(x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the rows x, or of rows of x and of y."""
+    if y is None:
+        i, j = np.triu_indices(len(x), 1)
+        return x[i], x[j]
+    return np.repeat(x, len(y)), np.tile(y, len(x))
+
+
+def _pairs_of(x: np.ndarray, y: np.ndarray | None, check: np.ndarray, label: np.ndarray, last: bool, turn: int) -> Iterator[tuple]:
+    """Pairs of rows of a bucket, whose labels may differ; before the last round of a large one, of neighbours only."""
+    every = x if y is None else np.concatenate([x, y])
+    if len(every) <= LARGE:
+        yield _cross(x, y)
+    elif not last:
+        # In the order of the check bits, turned by half in the second round.
+        own = check[every]
+        order = every[np.argsort(own << np.uint64(turn) | own >> np.uint64(64 - turn) if turn else own)]
+        for step in range(1, NEIGHBOURS + 1):
+            yield order[:-step], order[step:]
+    else:
+        # Those of the largest label are joined already: the others meet all.
+        names, counts = np.unique(label[every], return_counts=True)
+        rest = every[label[every] != names[counts.argmax()]]
+        for at in range(0, len(rest), 64):
+            yield _cross(rest[at : at + 64], every)
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of either of their rows."""
+    keep = np.zeros(len(i), bool)
+    for own, other in ((i, j), (j, i)):
+        order = np.lexsort((other, far, own))
+        starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        keep[order[nth < most]] = True
+    return keep
+
+
+def _variants(most: int | None, turn: int = 0):
+    """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
+    so many of each node, the nearest; and (a, null) for the nodes that have more.
+
+    rest is the half that has a wildcard. A bucket is one segment value, or two that a wildcard joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], []
+        for b in batches:
+            if b.num_rows:
+                parts.append([b.column(c).to_numpy() for c in ("half", "rest", "node", "label", "check")])
+                if "print" in b.schema.names:
+                    held.append(np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint64).reshape(b.num_rows, -1))
+        if not parts:
+            return
+        half, rest, node, label, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key = half.astype(np.int64) << HALF | rest
+        order = np.argsort(key, kind="stable")
+        key, node, label, check = key[order], node[order], label[order], check[order].view(np.uint64)
+        prints = np.concatenate(held)[order] if held else None
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lengths, values = np.diff(np.r_[starts, len(key)]), key[starts]
+        found: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+        partial: list[np.ndarray] = [np.empty(0, np.int64)]
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            far = np.bitwise_count(check[i] ^ check[j]).astype(np.int64)
+            close = (far <= CHECK) & (label[i] != label[j])
+            i, j, far = i[close], j[close], far[close]
+            if prints is not None and len(i):
+                far = np.concatenate([np.bitwise_count(prints[i[at : at + 65536]] ^ prints[j[at : at + 65536]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 65536)])
+                i, j, far = i[far <= FAR], j[far <= FAR], far[far <= FAR]
+            if len(i):
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), far]))
+
+        def bucket(x: np.ndarray, y: np.ndarray | None = None) -> None:
+            for i, j in _pairs_of(x, y, check, label, most is None, turn):
+                take(i, j)
+            if most is not None and len(x) + (0 if y is None else len(y)) > LARGE:
+                partial.append(np.unique(node[x if y is None else np.concatenate([x, y])]))
+
+        members = lambda v: np.arange(starts[v], starts[v] + lengths[v])
+        # Equal segments: both halves of a segment meet them, one is enough.
+        first = (values >> (2 * HALF)) & 1 == 0
+        for n in range(2, LARGE + 1):
+            at = starts[(lengths == n) & first]
+            i, j = np.triu_indices(n, 1)
+            take((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
+        for v in np.flatnonzero((lengths > LARGE) & first):
+            bucket(members(v))
+        for bit in range(HALF):
+            low = np.flatnonzero((values >> bit) & 1 == 0)
+            at = np.searchsorted(values, values[low] | (1 << bit)).clip(max=len(values) - 1)
+            met = values[at] == values[low] | (1 << bit)
+            x, y = low[met], at[met]
+            one = (lengths[x] == 1) & (lengths[y] == 1)
+            take(starts[x[one]], starts[y[one]])
+            for v, w in zip(x[~one], y[~one], strict=True):
+                bucket(members(v), members(w))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        if most is not None and pairs.size:
+            keep = _nearest(*pairs, most)
+            partial.append(np.unique(pairs[:2, ~keep]))
+            pairs = pairs[:, keep]
+        more = np.unique(np.concatenate(partial))
+        for a, b in ((pairs[0], pairs[1]), (more, None)):
+            for at in range(0, len(a), 1 << 16):
+                own = a[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()) if b is None else pa.array(b[at : at + (1 << 16)])})
+
+    return run
+
+
+def _halves(nodes: DataFrame, carried: list[str]) -> DataFrame:
+    """A row for either half of every segment of nodes (node, label, segments, check, ...)."""
+    rows = nodes.select(F.posexplode("segments").alias("i", "value"), *carried)
     low, high = F.col("value").bitwiseAND((1 << HALF) - 1), F.shiftright("value", HALF)
     name = lambda h: F.shiftleft(F.col("i") * 2 + h, HALF)
     sides = F.array(F.struct((name(0) + high).alias("half"), low.alias("rest")), F.struct((name(1) + low).alias("half"), high.alias("rest")))
-    rows = rows.select(F.inline(sides), "node", "check")
-    rows = rows.repartition(parts_for(distinct, distinct.count() * SEGMENTS * 2, per_part), "half")
-    found = written(rows.mapInArrow(tidy(_variants), "large boolean, a long, b long"), "candidates", splits(docs))
-    pairs = written(found.where("not large").select("a", "b").distinct(), "pairs", splits(docs))
-    large = found.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    wanted = written(distinct.select("node", "told").join(wanted, "node"), "wanted", splits(docs))
+    return rows.select(F.inline(sides), *carried)
+
+
+def _checked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are near."""
+    files = splits(docs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(distinct.select("node", "told").join(nodes, "node"), "wanted", files)
     texts = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
 
     def made(b: pa.RecordBatch) -> dict:
         return {"node": b.column("node"), "own": pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-    sets = written(arrow_map(texts, made, "node long, own array<long>"), "sets", splits(docs))
+    sets = written(arrow_map(texts, made, "node long, own array<long>"), "sets", files)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
     common = F.size(F.array_intersect("own_a", "own_b"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
-    grown = large.join(sets, "node").groupBy("bucket").applyInArrow(_forest_of, "a long, b long")
-    return written(checked.unionByName(grown), "near", splits(docs))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("own_a") + F.size("own_b")))
+    return written(near.select("a", "b"), "near", files)
+
+
+def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part: int = 500_000) -> DataFrame:
+    """(node, root) of the linked ones among distinct sets (node, told, segments, check, print); told: one text of each."""
+    files = splits(docs)
+    nodes, links, roots = distinct.withColumn("label", F.col("node")), None, None
+    for turn, most in enumerate(ROUNDS):
+        rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn else [])]).repartition(parts_for(distinct, nodes.count() * SEGMENTS * 2, per_part), "half")
+        found = written(rows.mapInArrow(tidy(_variants(most, 32 * turn)), "a long, b long"), "candidates", files)
+        pairs = written(found.where("b is not null").distinct(), "pairs", files)
+        near = _checked(docs, distinct, pairs, text_col)
+        links = near if links is None else links.unionByName(near)
+        roots = written(components(links, files), "roots", files)
+        more = found.where("b is null").select(F.col("a").alias("node")).distinct()
+        nodes = written(distinct.join(more, "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "more", files)
+        if nodes.isEmpty():
+            break
+    return roots
 
 
 def near_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(told, root) of every text: texts of one root are near each other, or joined by texts that are."""
     rows = written(signed(docs, text_col).dropDuplicates(["told"]), "signed", splits(docs))
     files = splits(docs)
-    distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("segments").alias("segments"), F.first("check").alias("check")), "distinct", files)
-    roots = written(components(links(docs, distinct, text_col), files), "roots", files)
+    distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("segments").alias("segments"), F.first("check").alias("check"), F.first("print").alias("print")), "distinct", files)
+    roots = near_roots(docs, distinct, text_col)
     known = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("told", "node").join(written(known, "known", files), "node").select("told", "root")
 
