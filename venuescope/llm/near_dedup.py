@@ -209,7 +209,8 @@ def _halves(nodes: DataFrame, carried: list[str]) -> DataFrame:
 def _checked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are near."""
     files = splits(docs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    end = lambda c: pairs.select(F.col(c).alias("node")).distinct()
+    nodes = end("a").unionByName(end("b")).distinct()
     wanted = written(distinct.select("node", "told").join(nodes, "node"), "wanted", files)
     texts = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
 
