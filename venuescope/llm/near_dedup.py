@@ -124,6 +124,16 @@ def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> np.nda
     return keep
 
 
+def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Whether pairs, of whose first bits these differ, meet in an earlier segment too: one of them is enough."""
+    out = np.zeros(len(differ), bool)
+    for at in range(0, len(differ), 65536):
+        own = slice(at, at + 65536)
+        bits = np.bitwise_count(differ[own].view(np.uint8)).reshape(-1, PRINT_BITS // BITS, BITS // 8).sum(axis=2)
+        out[own] = ((bits <= 1) & (np.arange(bits.shape[1]) < segment[own, None])).any(axis=1)
+    return out
+
+
 def _variants(most: int | None, turn: int = 0):
     """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
     so many of each node, the nearest; and (a, null) for the nodes that have more.
@@ -155,7 +165,9 @@ def _variants(most: int | None, turn: int = 0):
             i, j, far = i[close], j[close], far[close]
             if prints is not None and len(i):
                 far = np.concatenate([np.bitwise_count(prints[i[at : at + 65536]] ^ prints[j[at : at + 65536]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 65536)])
-                i, j, far = i[far <= FAR], j[far <= FAR], far[far <= FAR]
+                near = far <= FAR
+                near[near] &= ~_met_before(prints[i[near]] ^ prints[j[near]], key[i[near]] >> (2 * HALF + 1))
+                i, j, far = i[near], j[near], far[near]
             if len(i):
                 found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), far]))
 
