@@ -9,10 +9,12 @@ has no wildcard; the variants of the other half are joined in the task that hold
 each row. Candidates must agree in 46 of 64 further bits and are then verified on the whole shingle sets.
 
 Only what may join two components is verified, so that rows do not grow with the square of a group. A first
-round verifies the nearest candidate of each set, a second one the nearest two whose sets the links so far
-do not join, and the last one all that are left. From the second round on, for the sets that have more
-candidates, rows carry 768 bits of the fingerprint, of which candidates must agree in 627. Equal sets are
-merged before that. (The limits are three and two and a half standard deviations beyond what a pair at 0.8 has.)
+round looks at eight of the segments and verifies the nearest candidate of each set there, so that most of a
+large group is joined before the others are looked at. The second takes all sets and segments and verifies the
+nearest candidate that the links so far do not join, one for two components; a third one the nearest two, and
+the last one all that are left. From the third round on, for the sets that have more candidates, rows carry
+768 bits of the fingerprint, of which candidates must agree in 627. Equal sets are merged before that. (The
+limits are three and two and a half standard deviations beyond what a pair at 0.8 has.)
 
 Nulls: a null text is an empty one; texts without words are alike. A text of fewer than five words is one
 shingle. A null id sorts last; rows without one are rows of their own. An empty table gives an empty result. Other columns are not read.
@@ -36,8 +38,10 @@ WORDS = 5
 SEGMENTS, BITS = 48, 24
 HALF = BITS // 2
 SEED = 42
-#: Candidates of each set that a task gives in each round, the nearest first; None: all.
-ROUNDS = (1, 2, None)
+#: Segments looked at in each round, and candidates that a task gives of each set and of two components, the nearest first; None: all.
+ROUNDS = ((8, 1), (SEGMENTS, 1), (SEGMENTS, 2), (SEGMENTS, None))
+#: The round from which rows carry more of the fingerprint.
+WITH_PRINT = 2
 #: Before the last round, members of a larger bucket are compared with so many neighbours by check bits.
 LARGE, NEIGHBOURS = 64, 16
 #: Of the 64 check bits and of the first 768 bits so many may differ.
@@ -113,15 +117,19 @@ def _pairs_of(x: np.ndarray, y: np.ndarray | None, check: np.ndarray, label: np.
             yield _cross(rest[at : at + 64], every)
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the `most` nearest of either of their rows."""
-    keep = np.zeros(len(i), bool)
-    for own, other in ((i, j), (j, i)):
-        order = np.lexsort((other, far, own))
-        starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
-        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        keep[order[nth < most]] = True
-    return keep
+def _places(far: np.ndarray, *group: np.ndarray) -> np.ndarray:
+    """The place of every pair in its group, the nearest first; ties in their order."""
+    order = np.lexsort((far, *group))
+    starts = np.flatnonzero(np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in group], axis=0)])
+    out = np.empty(len(far), np.int64)
+    out[order] = np.arange(len(far)) - np.repeat(starts, np.diff(np.r_[starts, len(far)]))
+    return out
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of either of their rows, and of the two components (2 x pairs) they would join."""
+    own = np.minimum(_places(far, i), _places(far, j)) < most
+    return own & (_places(far, labels.min(axis=0), labels.max(axis=0)) < most)
 
 
 def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -136,7 +144,7 @@ def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 def _variants(most: int | None, turn: int = 0):
     """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
-    so many of each node, the nearest; and (a, null) for the nodes that have more.
+    so many of each node and of two labels, the nearest; and (a, null) for the nodes that have more.
 
     rest is the half that has a wildcard. A bucket is one segment value, or two that a wildcard joins."""
 
@@ -197,7 +205,8 @@ def _variants(most: int | None, turn: int = 0):
                 bucket(members(v), members(w))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         if most is not None and pairs.size:
-            keep = _nearest(*pairs, most)
+            names, at = np.unique(node, return_index=True)
+            keep = _nearest(*pairs, label[at][np.searchsorted(names, pairs[:2])], most)
             partial.append(np.unique(pairs[:2, ~keep]))
             pairs = pairs[:, keep]
         more = np.unique(np.concatenate(partial))
@@ -209,9 +218,9 @@ def _variants(most: int | None, turn: int = 0):
     return run
 
 
-def _halves(nodes: DataFrame, carried: list[str]) -> DataFrame:
-    """A row for either half of every segment of nodes (node, label, segments, check, ...)."""
-    rows = nodes.select(F.posexplode("segments").alias("i", "value"), *carried)
+def _halves(nodes: DataFrame, carried: list[str], segments: int = SEGMENTS) -> DataFrame:
+    """A row for either half of every one of the first segments of nodes (node, label, segments, check, ...)."""
+    rows = nodes.select(F.posexplode(F.slice("segments", 1, segments)).alias("i", "value"), *carried)
     low, high = F.col("value").bitwiseAND((1 << HALF) - 1), F.shiftright("value", HALF)
     name = lambda h: F.shiftleft(F.col("i") * 2 + h, HALF)
     sides = F.array(F.struct((name(0) + high).alias("half"), low.alias("rest")), F.struct((name(1) + low).alias("half"), high.alias("rest")))
@@ -240,15 +249,17 @@ def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per
     """(node, root) of the linked ones among distinct sets (node, told, segments, check, print); told: one text of each."""
     files = splits(docs)
     nodes, links, roots = distinct.withColumn("label", F.col("node")), None, None
-    for turn, most in enumerate(ROUNDS):
-        rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn else [])]).repartition(parts_for(distinct, nodes.count() * SEGMENTS * 2, per_part), "half")
-        found = written(rows.mapInArrow(tidy(_variants(most, 32 * turn)), "a long, b long"), "candidates", files)
+    for turn, (segments, most) in enumerate(ROUNDS):
+        rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn >= WITH_PRINT else [])], segments)
+        rows = rows.repartition(parts_for(distinct, nodes.count() * segments * 2, per_part), "half")
+        found = written(rows.mapInArrow(tidy(_variants(most, 32 * (turn % 2))), "a long, b long"), "candidates", files)
         pairs = written(found.where("b is not null").distinct(), "pairs", files)
         near = _checked(docs, distinct, pairs, text_col)
         links = near if links is None else links.unionByName(near)
         roots = written(components(links, files), "roots", files)
-        more = found.where("b is null").select(F.col("a").alias("node")).distinct()
-        nodes = written(distinct.join(more, "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "more", files)
+        # After a round that has not looked at all segments, all go on.
+        more = distinct if segments < SEGMENTS else distinct.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
+        nodes = written(more.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "more", files)
         if nodes.isEmpty():
             break
     return roots
