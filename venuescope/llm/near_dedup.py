@@ -144,7 +144,7 @@ def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 def _variants(most: int | None, turn: int = 0):
     """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
-    so many of each node and of two labels, the nearest; and (a, null) for the nodes that have more.
+    so many of each node and of two labels, the nearest. more_a and more_b tell which nodes have more; (a, null) is such a node without a pair.
 
     rest is the half that has a wildcard. A bucket is one segment value, or two that a wildcard joins."""
 
@@ -210,10 +210,12 @@ def _variants(most: int | None, turn: int = 0):
             partial.append(np.unique(pairs[:2, ~keep]))
             pairs = pairs[:, keep]
         more = np.unique(np.concatenate(partial))
-        for a, b in ((pairs[0], pairs[1]), (more, None)):
-            for at in range(0, len(a), 1 << 16):
-                own = a[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()) if b is None else pa.array(b[at : at + (1 << 16)])})
+        alone = more[~np.isin(more, pairs[:2])]
+        none = np.zeros(len(alone), bool)
+        ends = [np.r_[pairs[0], alone], np.r_[pairs[1], alone], np.r_[np.isin(pairs[0], more), ~none], np.r_[np.isin(pairs[1], more), none], np.r_[np.zeros(pairs.shape[1], bool), ~none]]
+        for at in range(0, len(ends[0]), 1 << 16):
+            own = [x[at : at + (1 << 16)] for x in ends]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(own[0]), "b": pa.array(own[1], mask=own[4]), "more_a": pa.array(own[2]), "more_b": pa.array(own[3])})
 
     return run
 
@@ -252,13 +254,14 @@ def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per
     for turn, (segments, most) in enumerate(ROUNDS):
         rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn >= WITH_PRINT else [])], segments)
         rows = rows.repartition(parts_for(distinct, nodes.count() * segments * 2, per_part), "half")
-        found = written(rows.mapInArrow(tidy(_variants(most, 32 * (turn % 2))), "a long, b long"), "candidates", files)
-        pairs = written(found.where("b is not null").distinct(), "pairs", files)
+        found = written(rows.mapInArrow(tidy(_variants(most, 32 * (turn % 2))), "a long, b long, more_a boolean, more_b boolean"), "candidates", files)
+        pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs", files)
         near = _checked(docs, distinct, pairs, text_col)
         links = near if links is None else links.unionByName(near)
         roots = written(components(links, files), "roots", files)
         # After a round that has not looked at all segments, all go on.
-        more = distinct if segments < SEGMENTS else distinct.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
+        left = found.where("more_a").select(F.col("a").alias("node")).unionByName(found.where("more_b").select(F.col("b").alias("node"))).distinct()
+        more = distinct if segments < SEGMENTS else distinct.join(left, "node")
         nodes = written(more.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "more", files)
         if nodes.isEmpty():
             break
