@@ -11,8 +11,8 @@ each row. Candidates must agree in 46 of 64 further bits and are then verified o
 Only what may join two components is verified, so that rows do not grow with the square of a group. A first
 round looks at eight of the segments and verifies the nearest candidate of each set there, so that most of a
 large group is joined before the others are looked at. The second takes all sets and segments and verifies the
-nearest candidate that the links so far do not join, one for two components; a third one the nearest two, and
-the last one all that are left. From the third round on, for the sets that have more candidates, rows carry
+nearest candidate that the links so far do not join, one for two components; the last one all that are left.
+There, for the sets that have more candidates, rows carry
 768 bits of the fingerprint, of which candidates must agree in 627. Equal sets are merged before that. (The
 limits are three and two and a half standard deviations beyond what a pair at 0.8 has.)
 
@@ -39,7 +39,7 @@ SEGMENTS, BITS = 48, 24
 HALF = BITS // 2
 SEED = 42
 #: Segments looked at in each round, and candidates that a task gives of each set and of two components, the nearest first; None: all.
-ROUNDS = ((8, 1), (SEGMENTS, 1), (SEGMENTS, 2), (SEGMENTS, None))
+ROUNDS = ((8, 1), (SEGMENTS, 1), (SEGMENTS, None))
 #: The round from which rows carry more of the fingerprint.
 WITH_PRINT = 2
 #: Before the last round, members of a larger bucket are compared with so many neighbours by check bits.
@@ -144,7 +144,7 @@ def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 def _variants(most: int | None, turn: int = 0):
     """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
-    so many of each node and of two labels, the nearest. more_a and more_b tell which nodes have more; (a, null) is such a node without a pair.
+    so many of each node and of two labels, the nearest; and (a, null) for the nodes that have more.
 
     rest is the half that has a wildcard. A bucket is one segment value, or two that a wildcard joins."""
 
@@ -210,12 +210,29 @@ def _variants(most: int | None, turn: int = 0):
             partial.append(np.unique(pairs[:2, ~keep]))
             pairs = pairs[:, keep]
         more = np.unique(np.concatenate(partial))
-        alone = more[~np.isin(more, pairs[:2])]
-        none = np.zeros(len(alone), bool)
-        ends = [np.r_[pairs[0], alone], np.r_[pairs[1], alone], np.r_[np.isin(pairs[0], more), ~none], np.r_[np.isin(pairs[1], more), none], np.r_[np.zeros(pairs.shape[1], bool), ~none]]
-        for at in range(0, len(ends[0]), 1 << 16):
-            own = [x[at : at + (1 << 16)] for x in ends]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(own[0]), "b": pa.array(own[1], mask=own[4]), "more_a": pa.array(own[2]), "more_b": pa.array(own[3])})
+        for a, b in ((pairs[0], pairs[1]), (more, None)):
+            for at in range(0, len(a), 1 << 16):
+                own = a[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()) if b is None else pa.array(b[at : at + (1 << 16)])})
+
+    return run
+
+
+def _told_on_pairs(variants):
+    """What `variants` gives, with (a, null) told on the pairs of its node where it has any: (a, b, more_a, more_b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = list(variants(batches))
+        if not given:
+            return
+        table = pa.Table.from_batches(given)
+        null = table["b"].is_null().to_numpy()
+        a, b = table["a"].to_numpy(), table["b"].fill_null(0).to_numpy()
+        more = a[null]
+        kept = ~null | ~np.isin(a, np.r_[a[~null], b[~null]])
+        a, b, null = a[kept], b[kept], null[kept]
+        columns = {"a": pa.array(a), "b": pa.array(b, mask=null), "more_a": pa.array(np.isin(a, more)), "more_b": pa.array(np.isin(b, more) & ~null)}
+        yield from pa.table(columns).to_batches(1 << 16)
 
     return run
 
@@ -254,7 +271,7 @@ def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per
     for turn, (segments, most) in enumerate(ROUNDS):
         rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn >= WITH_PRINT else [])], segments)
         rows = rows.repartition(parts_for(distinct, nodes.count() * segments * 2, per_part), "half")
-        found = written(rows.mapInArrow(tidy(_variants(most, 32 * (turn % 2))), "a long, b long, more_a boolean, more_b boolean"), "candidates", files)
+        found = written(rows.mapInArrow(tidy(_told_on_pairs(_variants(most, 32 * (turn % 2)))), "a long, b long, more_a boolean, more_b boolean"), "candidates", files)
         pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs", files)
         near = _checked(docs, distinct, pairs, text_col)
         links = near if links is None else links.unionByName(near)
