@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from venuescope.llm import near_dedup, simhash
+from venuescope.llm import near_dedup
 
 
 def roots(sets):
@@ -96,15 +96,26 @@ def test_variants_find_what_differs_by_a_bit(monkeypatch, large):
 
 
 
+def test_shape_follows_the_rows():
+    assert near_dedup.shape_of(0) == near_dedup.Shape() and near_dedup.shape_of(10**9) == near_dedup.Shape(144, 32)
+
+
+def test_wide_segments_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect())
+    narrow = kept()
+    monkeypatch.setattr(near_dedup, "FEW", 10)
+    assert len(set(narrow) ^ set(kept())) <= 2
+
+
 def test_odd_rows(odd, nothing):
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in near_dedup.drop_near_duplicates(odd).collect())
     assert ids == [-5, -1, 1, 3, 4, 4, 5, 6, 8, 9]
     assert near_dedup.drop_near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("drop", [near_dedup.drop_near_duplicates, simhash.drop_near_duplicates])
-def test_no_text_leaves_with_another_of_its_id(spark, drop):
+def test_no_text_leaves_with_another_of_its_id(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(300)) for x in "abcd")
     rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, a), (7, d), (7, d), (9, d)]
-    kept = drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "b"), (0, "c"), (1, "a"), (7, "d"), (7, "d")]

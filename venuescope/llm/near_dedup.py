@@ -1,12 +1,14 @@
 """SimHash near duplicates at a similarity: five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
 Three bits of 64 are too few for this similarity, so the deletion-variant signatures of `simhash` are made
-on a longer fingerprint: majority bits in 48 segments of 24 bits. Sets alike in 0.8 of their shingles differ
-in about 15 of 100 bits; a pair is a candidate if some segment differs in at most one bit, that is if both
-agree in a one-wildcard variant of it. A pair at 0.8 is missed with a probability of 0.005, one at 0.85 of
-0.0002, one at 0.9 of less than a millionth (independent bits). Rows are dealt by the half of a segment that
+on a longer fingerprint: majority bits in segments of 24 bits, or of 32 for more than `FEW` rows, so that the sets
+that meet by chance in a segment do not grow with the corpus. Sets alike in 0.8 of their shingles differ in about 15 of
+100 bits; a pair is a candidate if some segment differs in at most one bit, that is if both agree in a one-wildcard
+variant of it. The number of segments follows: 48 (or 144), so that a pair at 0.8 of independent bits is missed with a
+probability of `MISS`; measured, it is 0.012 at 0.8 and 0.0003 at 0.85. Rows are dealt by the half of a segment that
 has no wildcard; the variants of the other half are joined in the task that holds them, which holds 32 bytes of
-each row. Candidates must agree in 46 of 64 further bits and are then verified on the whole shingle sets.
+each row. Candidates must agree in 46 of 64 further bits and are then verified on the whole shingle sets, which are
+made once of every set that is ever a candidate.
 
 Only what may join two components is verified, so that rows do not grow with the square of a group. A first
 round looks at eight of the segments and verifies the nearest candidate of each set there, so that most of a
@@ -22,8 +24,11 @@ shingle. A null id sorts last; rows without one are rows of their own. An empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +40,40 @@ from .common import arrow_map, one_of_each, parts_for, small_batches, splits, te
 from .components import components
 
 WORDS = 5
-SEGMENTS, BITS = 48, 24
-HALF = BITS // 2
 SEED = 42
+#: Up to so many rows a segment has 24 bits.
+FEW = 20_000_000
+#: Of 100 bits so many differ at a similarity of 0.8; so often no segment of a pair agrees but for one.
+DIFFER, MISS = 0.15, 0.005
 #: Segments looked at in each round, and candidates that a task gives of each set and of two components, the nearest first; None: all.
-ROUNDS = ((8, 1), (SEGMENTS, 1), (SEGMENTS, None))
+ROUNDS = ((8, 1), (None, 1), (None, None))
 #: The round from which rows carry more of the fingerprint.
 WITH_PRINT = 2
 #: Before the last round, members of a larger bucket are compared with so many neighbours by check bits.
 LARGE, NEIGHBOURS = 64, 16
 #: Of the 64 check bits and of the first 768 bits so many may differ.
 CHECK, PRINT_BITS, FAR = 18, 768, 141
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SEGMENTS * BITS // 64 + 1), dtype=np.uint64)
-_ADD, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+
+
+class Shape(NamedTuple):
+    """How many segments of how many bits; a multiple of 64 in all."""
+
+    segments: int = 48
+    bits: int = 24
+
+    @property
+    def half(self) -> int:
+        return self.bits // 2
+
+    def random(self) -> tuple[np.ndarray, np.ndarray]:
+        add, times = np.random.default_rng(SEED).integers(0, 1 << 63, (2, self.segments * self.bits // 64 + 1), dtype=np.uint64)
+        return add, times | np.uint64(1)
+
+
+def shape_of(rows: int) -> Shape:
+    bits = 24 if rows <= FEW else 32
+    agree = (1 - DIFFER) ** bits + bits * DIFFER * (1 - DIFFER) ** (bits - 1)
+    return Shape(-(-math.ceil(math.log(MISS) / math.log(1 - agree)) // 16) * 16, bits)
 
 
 def shingles(text: str, width: int = WORDS) -> np.ndarray:
@@ -60,34 +86,39 @@ def shingles(text: str, width: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
 
 
-def fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.uint64, bytes]:
+_random = cache(Shape.random)
+
+
+def fingerprint(own: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.uint64, bytes]:
     """The segments of a shingle set's fingerprint, 64 bits more to check candidates by, and its first bits."""
-    ones = np.zeros(64 * len(_ADD), np.int64)
+    add, times = _random(shape)
+    ones = np.zeros(64 * len(add), np.int64)
     for at in range(0, len(own), 1 << 10):
-        mixed = (own[at : at + (1 << 10), None] ^ _ADD) * _TIMES
+        mixed = (own[at : at + (1 << 10), None] ^ add) * times
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         ones += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int32)
     bits = ones * 2 > len(own)
-    packed = np.packbits(bits[: SEGMENTS * BITS].reshape(SEGMENTS, BITS), axis=1).astype(np.int32)
-    return packed[:, 0] << 16 | packed[:, 1] << 8 | packed[:, 2], np.packbits(bits[SEGMENTS * BITS :]).view(np.uint64)[0], np.packbits(bits[:PRINT_BITS]).tobytes()
+    whole = shape.segments * shape.bits
+    packed = bits[:whole].reshape(shape.segments, shape.bits) @ (1 << np.arange(shape.bits - 1, -1, -1))
+    return packed, np.packbits(bits[whole:]).view(np.uint64)[0], np.packbits(bits[:PRINT_BITS]).tobytes()
 
 
-def signed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
     """(told, node, segments, check, print) of every row: hash of its text, hash of its shingle set, its fingerprint."""
     small_batches(docs.sparkSession)
 
     def made(b: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-        prints = [fingerprint(s) for s in sets]
+        prints = [fingerprint(s, shape) for s in sets]
         flat = np.concatenate([p[0] for p in prints])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEGMENTS), pa.int32()), pa.array(flat))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, shape.segments), pa.int32()), pa.array(flat))
         return {"told": b.column("told"), "node": pa.array(nodes.view(np.int64)), "segments": lists, "check": pa.array(np.array([p[1] for p in prints]).view(np.int64)), "print": pa.array([p[2] for p in prints], pa.binary())}
 
     rows = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told"))
-    return arrow_map(rows, made, "told long, node long, segments array<int>, check long, print binary")
+    return arrow_map(rows, made, "told long, node long, segments array<long>, check long, print binary")
 
 
 def _cross(x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -132,22 +163,24 @@ def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, labels: np.ndarray,
     return own & (_places(far, labels.min(axis=0), labels.max(axis=0)) < most)
 
 
-def _met_before(differ: np.ndarray, segment: np.ndarray) -> np.ndarray:
+def _met_before(differ: np.ndarray, segment: np.ndarray, bits: int) -> np.ndarray:
     """Whether pairs, of whose first bits these differ, meet in an earlier segment too: one of them is enough."""
     out = np.zeros(len(differ), bool)
     for at in range(0, len(differ), 65536):
         own = slice(at, at + 65536)
-        bits = np.bitwise_count(differ[own].view(np.uint8)).reshape(-1, PRINT_BITS // BITS, BITS // 8).sum(axis=2)
-        out[own] = ((bits <= 1) & (np.arange(bits.shape[1]) < segment[own, None])).any(axis=1)
+        far = np.bitwise_count(differ[own].view(np.uint8)).reshape(-1, PRINT_BITS // bits, bits // 8).sum(axis=2)
+        out[own] = ((far <= 1) & (np.arange(far.shape[1]) < segment[own, None])).any(axis=1)
     return out
 
 
-def _variants(most: int | None, turn: int = 0):
+def _variants(most: int | None, turn: int = 0, shape: Shape = Shape()):
     """From whole halves (half, rest, node, label, check, and print if rows carry it): candidate pairs (a, b) of different labels, at most
     so many of each node and of two labels, the nearest; and (a, null) for the nodes that have more.
 
     rest is the half that has a wildcard. A bucket is one segment value, or two that a wildcard joins."""
 
+    h = shape.half
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], []
         for b in batches:
@@ -158,7 +191,7 @@ def _variants(most: int | None, turn: int = 0):
         if not parts:
             return
         half, rest, node, label, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key = half.astype(np.int64) << HALF | rest
+        key = half.astype(np.int64) << h | rest
         order = np.argsort(key, kind="stable")
         key, node, label, check = key[order], node[order], label[order], check[order].view(np.uint64)
         prints = np.concatenate(held)[order] if held else None
@@ -174,7 +207,7 @@ def _variants(most: int | None, turn: int = 0):
             if prints is not None and len(i):
                 far = np.concatenate([np.bitwise_count(prints[i[at : at + 65536]] ^ prints[j[at : at + 65536]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 65536)])
                 near = far <= FAR
-                near[near] &= ~_met_before(prints[i[near]] ^ prints[j[near]], key[i[near]] >> (2 * HALF + 1))
+                near[near] &= ~_met_before(prints[i[near]] ^ prints[j[near]], key[i[near]] >> (2 * h + 1), shape.bits)
                 i, j, far = i[near], j[near], far[near]
             if len(i):
                 found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), far]))
@@ -187,14 +220,14 @@ def _variants(most: int | None, turn: int = 0):
 
         members = lambda v: np.arange(starts[v], starts[v] + lengths[v])
         # Equal segments: both halves of a segment meet them, one is enough.
-        first = (values >> (2 * HALF)) & 1 == 0
+        first = (values >> (2 * h)) & 1 == 0
         for n in range(2, LARGE + 1):
             at = starts[(lengths == n) & first]
             i, j = np.triu_indices(n, 1)
             take((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
         for v in np.flatnonzero((lengths > LARGE) & first):
             bucket(members(v))
-        for bit in range(HALF):
+        for bit in range(h):
             low = np.flatnonzero((values >> bit) & 1 == 0)
             at = np.searchsorted(values, values[low] | (1 << bit)).clip(max=len(values) - 1)
             met = values[at] == values[low] | (1 << bit)
@@ -237,48 +270,55 @@ def _told_on_pairs(variants):
     return run
 
 
-def _halves(nodes: DataFrame, carried: list[str], segments: int = SEGMENTS) -> DataFrame:
+def _halves(nodes: DataFrame, carried: list[str], segments: int, half: int) -> DataFrame:
     """A row for either half of every one of the first segments of nodes (node, label, segments, check, ...)."""
     rows = nodes.select(F.posexplode(F.slice("segments", 1, segments)).alias("i", "value"), *carried)
-    low, high = F.col("value").bitwiseAND((1 << HALF) - 1), F.shiftright("value", HALF)
-    name = lambda h: F.shiftleft(F.col("i") * 2 + h, HALF)
+    low, high = F.col("value").bitwiseAND((1 << half) - 1), F.shiftright("value", half)
+    name = lambda h: F.shiftleft(F.col("i").cast("long") * 2 + h, half)
     sides = F.array(F.struct((name(0) + high).alias("half"), low.alias("rest")), F.struct((name(1) + low).alias("half"), high.alias("rest")))
     return rows.select(F.inline(sides), *carried)
 
 
-def _checked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are near."""
+def _checked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, text_col: str, sets: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are near. sets: tables of those made so far, to which this adds the missing ones."""
     files = splits(docs)
     end = lambda c: pairs.select(F.col(c).alias("node")).distinct()
     nodes = end("a").unionByName(end("b")).distinct()
+    for made in sets:
+        nodes = nodes.join(made.select("node"), "node", "left_anti")
     wanted = written(distinct.select("node", "told").join(nodes, "node"), "wanted", files)
-    texts = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
+    if not wanted.isEmpty():
+        texts = docs.select(text_of(text_col).alias("text"), told_of(text_col).alias("told")).join(wanted, "told").groupBy("node").agg(F.first("text").alias("text"))
 
-    def made(b: pa.RecordBatch) -> dict:
-        return {"node": b.column("node"), "own": pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
+        def made(b: pa.RecordBatch) -> dict:
+            return {"node": b.column("node"), "own": pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-    sets = written(arrow_map(texts, made, "node long, own array<long>"), "sets", files)
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
+        sets.append(written(arrow_map(texts, made, "node long, own array<long>"), "sets", files))
+    if not sets:
+        return pairs
+    known = reduce(DataFrame.unionByName, sets)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
     common = F.size(F.array_intersect("own_a", "own_b"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("own_a") + F.size("own_b")))
     return written(near.select("a", "b"), "near", files)
 
 
-def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per_part: int = 500_000) -> DataFrame:
+def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", shape: Shape = Shape(), per_part: int = 500_000) -> DataFrame:
     """(node, root) of the linked ones among distinct sets (node, told, segments, check, print); told: one text of each."""
-    files = splits(docs)
+    files, sets = splits(docs), []
     nodes, links, roots = distinct.withColumn("label", F.col("node")), None, None
     for turn, (segments, most) in enumerate(ROUNDS):
-        rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn >= WITH_PRINT else [])], segments)
+        segments = segments or shape.segments
+        rows = _halves(nodes, ["node", "label", "check", *(["print"] if turn >= WITH_PRINT else [])], segments, shape.half)
         rows = rows.repartition(parts_for(distinct, nodes.count() * segments * 2, per_part), "half")
-        found = written(rows.mapInArrow(tidy(_told_on_pairs(_variants(most, 32 * (turn % 2)))), "a long, b long, more_a boolean, more_b boolean"), "candidates", files)
+        found = written(rows.mapInArrow(tidy(_told_on_pairs(_variants(most, 32 * (turn % 2), shape))), "a long, b long, more_a boolean, more_b boolean"), "candidates", files)
         pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs", files)
-        near = _checked(docs, distinct, pairs, text_col)
+        near = _checked(docs, distinct, pairs, text_col, sets)
         links = near if links is None else links.unionByName(near)
         roots = written(components(links, files), "roots", files)
         # After a round that has not looked at all segments, all go on.
         left = found.where("more_a").select(F.col("a").alias("node")).unionByName(found.where("more_b").select(F.col("b").alias("node"))).distinct()
-        more = distinct if segments < SEGMENTS else distinct.join(left, "node")
+        more = distinct if segments < shape.segments else distinct.join(left, "node")
         nodes = written(more.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "more", files)
         if nodes.isEmpty():
             break
@@ -287,10 +327,10 @@ def near_roots(docs: DataFrame, distinct: DataFrame, text_col: str = "text", per
 
 def near_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(told, root) of every text: texts of one root are near each other, or joined by texts that are."""
-    rows = written(signed(docs, text_col).dropDuplicates(["told"]), "signed", splits(docs))
-    files = splits(docs)
+    shape, files = shape_of(docs.count()), splits(docs)
+    rows = written(signed(docs, text_col, shape).dropDuplicates(["told"]), "signed", files)
     distinct = written(rows.groupBy("node").agg(F.min("told").alias("told"), F.first("segments").alias("segments"), F.first("check").alias("check"), F.first("print").alias("print")), "distinct", files)
-    roots = near_roots(docs, distinct, text_col)
+    roots = near_roots(docs, distinct, text_col, shape)
     known = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("told", "node").join(written(known, "known", files), "node").select("told", "root")
 

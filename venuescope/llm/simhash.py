@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, id_of, key_of, one_of_each, parts_for, small_batches, splits, text_of, tidy, told_of, written
+from .common import NO_ID, arrow_map, id_of, key_of, parts_for, small_batches, splits, text_of, tidy, written
 from .components import components
 
 SEED = 42
@@ -135,13 +135,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(id_of("key").alias("doc_id"), "fp", id_of("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of the documents that stay, one of each group: the one with the smallest id.
-
-    What goes is told by row, not by id: see `one_of_each`."""
-    groups = simhash_groups(docs.withColumn("__told", told_of(text_col)), "__told", text_col, width, bits)
-    groups = groups.select(F.col("doc_id").alias("told"), F.col("component_id").alias("root")).distinct()
-    return one_of_each(docs, groups, id_col, text_col)
-
-
-__all__ = ["NO_ID", "drop_near_duplicates", "fingerprint", "fingerprints", "forest", "links", "simhash_groups"]
+__all__ = ["NO_ID", "fingerprint", "fingerprints", "forest", "links", "simhash_groups"]
