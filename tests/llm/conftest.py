@@ -24,6 +24,19 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, row int, range int, size int, score int")
 
 
+#: Names that operators use inside, or did.
+CLASHING = ["doc_id", "text", "__key", "__told", "__gone", "__toxicity", "__id", "__text", "key", "told", "c0", "root", "source"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """Three rows without an id, three alike, near and exact copies, and columns that hold what no operator may touch."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(None, " ".join(words)), (None, "other words, not like the rest of them at all"), (None, None), (3, "one two three"), (3, "one two three"), (3, "one two three"), (1, " ".join(words)), (2, " ".join([*words[:59], "new"])), (4, "a line that comes twice\nand one that does not"), (5, "a line that comes twice\nshort")]
+    rows = [(i, t, *(f"{c}{n}" for c in CLASHING[2:])) for n, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in CLASHING))
+
+
 @pytest.fixture(scope="session")
 def nothing(odd):
     return odd.limit(0)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_near_dedup import roots, shingled
 from venuescope.llm import line_dedup, mixing, toxicity
@@ -42,3 +44,30 @@ def test_odd_rows(spark, odd, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def test_no_stage_touches_other_columns(spark, sf, clashing):
+    """Every stage that returns documents, on rows with the names that are used inside."""
+    whole = {r["c0"]: r for r in clashing.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        # `n_chars` follows the text where a stage changes it.
+        out = stage(spark, clashing, sf)
+        assert out.columns[: len(clashing.columns)] == clashing.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            was = whole[r["c0"]]
+            assert [r[c] for c in clashing.columns if c != "text"] == [was[c] for c in clashing.columns if c != "text"], name
+            assert name in ("line_dedup", "mixing") or r.text == was.text
+    kept = corpus_pipeline.remove_near_duplicates(spark, clashing, sf).collect()
+    assert sorted(r["c0"] for r in kept) == ["c01", "c02", "c03", "c04", "c05", "c06", "c08", "c09"]
+    lines = {r["c0"]: r.text for r in corpus_pipeline.remove_repeated_lines(spark, clashing, sf).collect()}
+    assert len(lines) == 10 and lines["c08"] == whole["c08"].text and lines["c09"] == "short"
+
+
+def test_rows_alike_are_taken_by_their_own_takes(spark):
+    rows = [(7, "a b c", "s", n) for n in range(3)] + [(8, "d e f g", "s", 9), (9, "x " * 40, "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    want = {r.source: r.words for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    got = {r.source: r.words for r in mixing.mixed_rows(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words")).collect()}
+    assert got == {s: n for s, n in want.items() if n}

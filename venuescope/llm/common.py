@@ -50,15 +50,17 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str)
     rows = docs.select(key_of(id_col).alias("key"), told_of(text_col).alias("told")).distinct()
     rows = written(written(rows, "rows", splits(docs)).join(written(groups, "groups", splits(docs)), "told"), "grouped", splits(docs))
     first = written(rows.groupBy("root").agg(F.min(F.struct("key", "told")).alias("first")), "firsts", splits(docs))
-    gone = rows.join(first, "root").where("struct(key, told) <> first").select(F.col("key").alias("__key"), F.col("told").alias("__told"))
-    gone = written(gone, "gone", splits(docs))
-    marked = docs.withColumn("__key", key_of(id_col)).withColumn("__told", told_of(text_col))
+    gone = written(rows.join(first, "root").where("struct(key, told) <> first").select("key", "told"), "gone", splits(docs))
+    # Columns by position, as a table may hold any name.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    marked = docs.toDF(*names).withColumn("key", key_of(own_id)).withColumn("told", told_of(own_text))
 
     def left(rows: DataFrame) -> DataFrame:
-        return rows.join(gone, ["__key", "__told"], "left_anti")
+        return rows.join(gone, ["key", "told"], "left_anti")
 
-    named, unnamed = left(marked.where(F.col(id_col).isNotNull())), left(marked.where(F.col(id_col).isNull()))
-    return named.unionByName(unnamed.dropDuplicates(["__told"])).select(*docs.columns)
+    named, unnamed = left(marked.where(F.col(own_id).isNotNull())), left(marked.where(F.col(own_id).isNull()))
+    return named.unionByName(unnamed.dropDuplicates(["told"])).select(*names).toDF(*docs.columns)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -193,14 +193,16 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Where nothing is dropped the text stays as it was, null included."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    drops = later_lines(base, least, filter_bytes).select(F.col("key").alias("__key"), F.col("digests").alias("__gone"))
-    joined = docs.join(drops, key_of(id_col) == F.col("__key"), "left").drop("__key").coalesce(splits(docs))
-    at, gone = joined.columns.index(text_col), len(joined.columns) - 1
+    drops = later_lines(base, least, filter_bytes)
+    # Columns by position, as a table may hold any name.
+    at, own = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    joined = docs.toDF(*own).join(drops, key_of(own[docs.columns.index(id_col)]) == F.col("key"), "left").drop("key").coalesce(splits(docs))
+    gone = len(own)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if not d else _without(t, d, least)[2] for t, d in zip(b.column(at).to_pylist(), b.column(gone).to_pylist(), strict=True)]
+            texts = [t if not d or t is None else _without(t, d, least)[2] for t, d in zip(b.column(at).to_pylist(), b.column(gone).to_pylist(), strict=True)]
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -154,13 +154,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **how: object) -> DataFrame:
     """The rows of docs as often as the mix takes their words; a last, partial copy keeps its first words.
 
-    All columns stay, whatever their names. Rows alike in id and text are taken alike."""
+    All columns stay, whatever their names. Of rows alike in id and text each has its own take; which of them has
+    which does not matter but for other columns, so they are dealt in no order."""
     keys = ["place", "check"]
-    taken = mix(docs, id_col, text_col, seed=seed, **how).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    dealt = mix(docs, id_col, text_col, seed=seed, **how).select(*keys, "taken", "size")
+    # How often rows of a key have each take: rows alike differ in it only where a quota ends between them.
+    takes = dealt.groupBy(*keys, "taken", "size").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.expr("-taken").alias("least"), "n"))).alias("takes"), F.max("size").alias("size"), F.sum("n").alias("alike"))
+    takes = takes.where("takes[0].least < 0")
     # Columns by position, as a table may hold any name.
     names = [f"c{i}" for i in range(len(docs.columns))]
     own_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    rows = docs.toDF(*names).select("*", *_places(seed, own_id, text)).join(taken, keys).coalesce(splits(docs))
+    rows = docs.toDF(*names).select("*", *_places(seed, own_id, text)).join(takes, keys).coalesce(splits(docs))
+    # Rows of a key are numbered only where their takes differ.
+    mixed_up = F.size("takes") > 1
+    few = rows.where(~mixed_up).withColumn("taken", -F.col("takes")[0]["least"])
+    turn = rows.where(mixed_up).withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    upto = F.aggregate("takes", F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("taken")), lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.when(s["taken"].isNull() & (F.col("turn") <= s["at"] + x["n"]), -x["least"]).otherwise(s["taken"]).alias("taken")))
+    rows = few.unionByName(turn.withColumn("taken", upto["taken"]).drop("turn")).where("taken > 0")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.pmod(F.col("taken"), F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("words", F.explode(copies))

@@ -248,6 +248,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score under the cut."""
-    scored = with_scores(docs, fit(docs, labels, id_col, text_col), text_col, "__toxicity")
-    return scored.where(F.col("__toxicity") < cut).drop("__toxicity")
+    """The rows of docs that score under the cut, with all their columns, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    scored = with_scores(docs, fit(docs, labels, id_col, text_col), text_col).toDF(*names, "score")
+    return scored.where(F.col("score") < cut).select(*names).toDF(*docs.columns)
