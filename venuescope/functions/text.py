@@ -185,11 +185,6 @@ def best_minutes(text: Column, phrases: list[str]) -> Column:
     return F.array_max(F.transform(told, lambda m: score(m.try_cast("int"))))
 
 
-def tokens(text: Column) -> Column:
-    """Words of two and more letters, digits or underscores, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-
-
 def hangul_only(text: Column) -> Column:
     return F.regexp_replace(text, r"[^가-힣\s]", "")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import EARTH_M
 from ..functions.geo import haversine, walking_minutes
+from ..sources.kept import written
 
 
 def known_reviews(rows: DataFrame, place: str = "place", text: str = "review_text") -> DataFrame:
@@ -18,18 +23,27 @@ def with_defaults(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumns({new: F.col(old) for old, new in names.items() if old in rows.columns and new not in rows.columns})
 
 
-def numbered(rows: DataFrame, ordinal: str, name: str = "review_index", ranges: int = 1 << 16) -> DataFrame:
-    """Positions from 0 by an ordinal, without one task that holds all rows: ranges first, then within each.
-
-    The ordinals from least to largest are cut into at most so many ranges, dense or not; only those are
-    ordered in one task."""
-    ends = rows.agg(F.min(ordinal).cast("long").alias("low"), F.max(ordinal).cast("long").alias("high")).first()
-    width = 1 if ends.low is None else max(1, -(-(ends.high - ends.low + 1) // ranges))
-    dealt = rows.withColumn("__range", F.expr(f"`{ordinal}` div {width}L"))
-    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(ordinal))
-    return dealt.join(starts, "__range").withColumn(name, (F.col("__start") + within - 1).cast("long")).drop("__range", "__start")
+def numbered(rows: DataFrame, ordinal: str, name: str = "review_index") -> DataFrame:
+    """Positions from 0 by an ordinal, rows without one last, and no task that holds more than its share of them.
+
+    Rows are dealt to ranges by splitters that Spark samples, so any ordinals, dense, hashed or with outliers, make
+    ranges of about one size; rows of one ordinal, or of none, are dealt on by a hash of all they hold, rows alike by
+    where they were read. Each range is sorted and written as a file of its own, so a row's position is the number
+    of rows in the files before it and its place in its file; both are read with the rows."""
+    spark, names = rows.sparkSession, rows.columns
+    own = rows.toDF(*(f"c{i}" for i in range(len(names))))
+    by = F.col(own.columns[names.index(ordinal)])
+    told = F.xxhash64(*(c for c, t in own.dtypes if not t.startswith("map")))
+    keys = [by.asc_nulls_last(), told.asc(), F.monotonically_increasing_id().asc()]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
+    table = written(own.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys[:2]), "numbered")
+    file, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    read = table.select("*", file.alias("file"), place.alias("place"))
+    # One row a file; names of files ascend with the ranges.
+    sizes = read.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
+    at = (F.col("start") + F.col("place")).cast("long")
+    return read.join(F.broadcast(starts), "file").select(*(F.col(c).alias(n) for c, n in zip(own.columns, names, strict=True)), at.alias(name))
 
 
 def place_slice(rows: DataFrame, start: int, stop: int, place: str = "place", ordinal: str = "ordinal") -> DataFrame:
@@ -82,31 +96,119 @@ def matched(places: DataFrame, known: DataFrame) -> DataFrame:
     district, and the same neighbourhood where the place has one.
 
     places: place, name, district, neighborhood; known: k_name, k_district, k_neighborhood, ordinal, lat, lng.
-    Joined on the district and the name's first letter, which both tiers share."""
-    a = places.withColumn("__letter", F.substring("name", 1, 1))
-    b = known.withColumn("__letter", F.substring("k_name", 1, 1))
-    same = (a["__letter"] == b["__letter"]) & (F.col("district") == F.col("k_district")) & F.col("k_name").startswith(F.col("name"))
-    near = F.col("neighborhood").isNull() | (F.col("neighborhood") == F.col("k_neighborhood"))
-    tier = F.when(F.col("k_name") == F.col("name"), 1).otherwise(2)
-    found = a.join(b, same & near).withColumn("tier", tier)
-    best = found.groupBy("place").agg(F.min(F.struct("tier", "ordinal", "lat", "lng")).alias("m"))
-    return places.join(best, "place", "left").select("place", F.col("m.tier").alias("tier"), F.col("m.ordinal").alias("match"), F.col("m.lat").alias("lat"), F.col("m.lng").alias("lng"))
-
-
-def nearest(points: DataFrame, stations: DataFrame, reach_m: float = 600.0, degrees: float = 0.01) -> DataFrame:
-    """The station with the shortest walk within reach, ties by ordinal; null where none is.
-
-    points: point, lat, lng; stations: station, kind, s_lat, s_lng, ordinal. A grid of cells turns the
-    search into an equi-join: a point meets the stations of its own and the neighbouring cells."""
-    cell = lambda lat, lng: (F.floor(F.col(lat) / degrees), F.floor(F.col(lng) / degrees))
-    y, x = cell("lat", "lng")
-    around = F.array(*(F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    sy, sx = cell("s_lat", "s_lng")
-    a = points.withColumn("c", F.explode(around)).select("point", "lat", "lng", F.col("c.y").alias("y"), F.col("c.x").alias("x"))
-    found = a.join(stations.withColumn("y", sy).withColumn("x", sx), ["y", "x"])
-    found = found.withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))).where(F.col("metres") <= reach_m)
-    found = found.withColumn("minutes", walking_minutes(F.col("metres")))
-    best = found.groupBy("point").agg(F.min(F.struct("minutes", "ordinal", "station", "kind", "metres")).alias("b"))
+    Known names are indexed by those of their prefixes that are asked for in their district: prefixes of the lengths
+    that names asked for there have, then the names themselves. Of each the best point is kept before any join, so a
+    name meets one row, however many start with it, and all joins are by whole names."""
+    asked = places.select("name", "district", "neighborhood").where("name is not null and district is not null")
+    lengths = asked.groupBy("district").agg(F.collect_set(F.length("name")).alias("lengths"))
+    begun = known.join(lengths, F.col("k_district") == F.col("district")).drop("district")
+    size = F.length("k_name")
+    # The empty name is a prefix of no other one.
+    own = F.filter("lengths", lambda n: (n <= size) & ((n > 0) | (size == 0)))
+    begun = begun.withColumn("n", F.explode(own)).withColumn("prefix", F.expr("left(k_name, n)"))
+    begun = begun.join(asked.select(F.col("district").alias("k_district"), F.col("name").alias("prefix")).distinct(), ["k_district", "prefix"], "left_semi")
+    best = F.min(F.struct(F.when(F.col("n") == size, 1).otherwise(2).alias("tier"), "ordinal", "lat", "lng")).alias("m")
+    anywhere = begun.groupBy(F.col("k_district").alias("district"), F.col("prefix").alias("name")).agg(best)
+    nearby = begun.where("k_neighborhood is not null").groupBy(F.col("k_district").alias("district"), F.col("k_neighborhood").alias("neighborhood"), F.col("prefix").alias("name")).agg(best)
+    told = asked.distinct()
+    found = told.where("neighborhood is null").join(anywhere, ["district", "name"]).unionByName(told.where("neighborhood is not null").join(nearby, ["district", "neighborhood", "name"]))
+    found = found.select(F.col("name").alias("own_name"), F.col("district").alias("own_district"), F.col("neighborhood").alias("own_hood"), "m")
+    same = (F.col("name") == F.col("own_name")) & (F.col("district") == F.col("own_district")) & F.col("neighborhood").eqNullSafe(F.col("own_hood"))
+    # Of rows of one place the best point counts.
+    one = places.join(found, same).groupBy("place").agg(F.min("m").alias("m"))
+    return places.select("place").join(one, "place", "left").select("place", F.col("m.tier").alias("tier"), F.col("m.ordinal").alias("match"), F.col("m.lat").alias("lat"), F.col("m.lng").alias("lng"))
+
+
+#: The smallest ring, and meetings of points and stations in a ring that a point may have on average.
+FINEST_M, MEETINGS = 10.0, 64
+
+
+def _row(lat: Column, level: int) -> Column:
+    """The row of cells of a latitude: rows are 180 / 2^level degrees high."""
+    return F.greatest(F.lit(0), F.least(F.floor((lat + 90.0) / (180.0 / (1 << level))), F.lit((1 << level) - 1))).cast("long")
+
+
+def _cells_of(row: Column, level: int) -> Column:
+    """The cells of a row, about as wide as high: fewer towards the poles."""
+    side = 180.0 / (1 << level)
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians((row + 0.5) * side - 90.0)) * (2 << level))).cast("long")
+
+
+def _cell(lat: Column, lng: Column, level: int) -> Column:
+    row = _row(lat, level)
+    return F.struct(row.alias("y"), F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * _cells_of(row, level)).cast("long").alias("x"))
+
+
+def _around(lat: Column, lng: Column, metres: float, level: int) -> Column:
+    """All cells that hold a place within so many metres of a point: round the globe, and the whole row about a pole."""
+    angle = min(metres / EARTH_M, math.pi) * (1 + 1e-9) + 1e-9
+    degrees = math.degrees(angle)
+    # How far east and west the circle reaches; all round, once it holds a pole.
+    reach = F.try_divide(F.lit(math.sin(min(angle, math.pi / 2))), F.cos(F.radians(lat)))
+    polar = (lat + degrees >= 90.0) | (lat - degrees <= -90.0) | reach.isNull() | (reach >= 1.0)
+    wide = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))))
+    rows = F.sequence(_row(lat - degrees, level), _row(lat + degrees, level))
+
+    def cells(y: Column) -> Column:
+        n = _cells_of(y, level)
+        first = F.floor((lng + 180.0 - wide) / 360.0 * n).cast("long")
+        last = F.least(F.floor((lng + 180.0 + wide) / 360.0 * n).cast("long"), first + n - 1)
+        return F.transform(F.sequence(first, last), lambda x: F.struct(y.alias("y"), F.pmod(x, n).alias("x")))
+
+    return F.flatten(F.transform(rows, cells))
+
+
+def _level(metres: float) -> int:
+    """The level whose rows are about as high as so many metres, so that a circle meets a few cells."""
+    return max(0, min(24, math.floor(math.log2(math.pi * EARTH_M / max(metres, FINEST_M)))))
+
+
+def _met(points: DataFrame, stations: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    """Points in every cell that a ring touches, stations in their own."""
+    level = _level(metres)
+    a = points.withColumn("cell", F.explode(_around(F.col("lat"), F.col("lng"), metres, level)))
+    return a, stations.withColumn("cell", _cell(F.col("s_lat"), F.col("s_lng"), level))
+
+
+def _first_ring(points: DataFrame, stations: DataFrame, limit: float) -> float:
+    """The widest ring up to the limit in which a point meets a bounded number of stations on average: told by counts a cell."""
+    n, ring = points.count(), limit
+    while ring > FINEST_M:
+        a, b = _met(points, stations, ring)
+        counts = a.groupBy("cell").agg(F.count(F.lit(1)).alias("p")).join(b.groupBy("cell").agg(F.count(F.lit(1)).alias("s")), "cell")
+        if (counts.agg(F.sum(F.col("p").cast("double") * F.col("s"))).first()[0] or 0) <= MEETINGS * n:
+            break
+        ring = max(FINEST_M, ring / 8)
+    return ring
+
+
+def nearest(points: DataFrame, stations: DataFrame, reach_m: float | None = 600.0) -> DataFrame:
+    """The station with the shortest walk within reach (None: anywhere), ties by ordinal; null where none is.
+
+    points: point, lat, lng; stations: station, kind, s_lat, s_lng, ordinal; what has no place is near nothing. Cells
+    of the globe turn the search into equi-joins, ring by ring. The first ring is the widest in which a point meets few
+    stations, told by counts of both in every cell, so a crowded city does not meet itself; each further ring is four
+    times as wide, up to the reach, and only points that no smaller ring has settled go on. Cells follow the ring's
+    radius and the latitude and go round the globe and over the poles, so all within the ring is met. A point is settled
+    when its best walk is shorter than the walk to the ring's edge: no farther station can tie with it."""
+    limit = math.pi * EARTH_M if reach_m is None else min(float(reach_m), math.pi * EARTH_M)
+    known = stations.where("s_lat is not null and s_lng is not null")
+    left, done = points.select("point", "lat", "lng").where("lat is not null and lng is not null"), []
+    ring = _first_ring(left, known, limit)
+    while True:
+        a, b = _met(left, known, ring)
+        found = a.join(b, "cell").withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))).where(F.col("metres") <= ring)
+        best = found.withColumn("minutes", walking_minutes(F.col("metres"))).groupBy("point").agg(F.min(F.struct("minutes", "ordinal", "station", "kind", "metres")).alias("b"))
+        if ring >= limit:
+            done.append(best)
+            break
+        settled = written(best.where(F.col("b.minutes") < walking_minutes(F.lit(ring))), "nearest")
+        done.append(settled)
+        left = written(left.join(settled.select("point"), "point", "left_anti"), "unsettled")
+        if left.isEmpty():
+            break
+        ring = min(ring * 4, limit)
+    best = reduce(DataFrame.unionByName, done)
     return points.join(best, "point", "left").select("point", F.col("b.station").alias("station"), F.col("b.kind").alias("kind"), F.col("b.minutes").alias("minutes"), F.col("b.metres").alias("metres"))
 
 
@@ -115,23 +217,42 @@ def row_slice(rows: DataFrame, start: int, stop: int, ordinal: str = "ordinal")
     return numbered(rows, ordinal, "__at").where((F.col("__at") >= start) & (F.col("__at") < stop)).drop("__at")
 
 
+#: Letters of a gram of the index of names.
+GRAM = 3
+
+
+def _grams(text: str) -> Column:
+    """The distinct grams of a text, and its shorter pieces, which words shorter than a gram are looked up by."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(*(F.substring(F.col(text), i, F.lit(n)) for n in range(1, GRAM + 1))))))
+
+
 def districts_of(names: DataFrame, known: DataFrame) -> DataFrame:
     """The district of every name (place): of the same place, else of the place that is its first word, else
-    of the first known place that starts with or holds that word.
+    of the first known place that starts with or holds that word; a blank name has none.
 
-    known: k_place, district, ordinal. All steps are equi-joins. The last, for words that the others left
-    over, joins on a word's first characters, three or as many as it has: a place that holds the word holds these."""
+    known: k_place, district, ordinal. All steps are equi-joins. For words that the first two leave over, the known
+    places are indexed by the grams of three letters that these words have. A gram's count and its first place are summed
+    before any join: a word of up to three letters is a gram, and has its answer there; a longer one meets the
+    places of its rarest gram only, so a gram that half of all places hold is met by words that have no rarer one."""
     word = F.element_at(F.split("place", " "), 1)
     firsts = known.where("district is not null").groupBy("k_place").agg(F.min(F.struct("ordinal", "district")).alias("d"))
     firsts = firsts.select("k_place", F.col("d.ordinal").alias("ordinal"), F.col("d.district").alias("district"))
     exact = firsts.select(F.col("k_place").alias("place"), F.col("district").alias("d1"))
     begun = firsts.select(F.col("k_place").alias("word"), F.col("district").alias("d2"))
     told = names.select("place").distinct().withColumn("word", word).join(exact, "place", "left").join(begun, "word", "left")
-    rest = told.where("d1 is null and d2 is null").select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
-    spots = F.sequence(F.lit(1), F.greatest(F.length("k_place"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(*(F.substring(F.col("k_place"), i, F.lit(n)) for n in (1, 2, 3))))))
-    held = firsts.withColumn("gram", F.explode(grams))
-    found = rest.join(held, "gram").where(F.col("k_place").contains(F.col("word"))).groupBy("word").agg(F.min(F.struct("ordinal", "district")).alias("d"))
-    out = told.join(found, "word", "left")
+    rest = written(told.where("d1 is null and d2 is null and word <> ''").select("word").distinct(), "words")
+    short, long = rest.where(F.length("word") <= GRAM), rest.where(F.length("word") > GRAM)
+    spots = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
+    asked = long.select("word", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("word"), i, F.lit(GRAM))))).alias("gram"))
+    wanted = asked.select("gram").unionByName(short.select(F.col("word").alias("gram"))).distinct()
+    held = written(firsts.select("k_place", "ordinal", "district", F.explode(_grams("k_place")).alias("gram")).join(wanted, "gram", "left_semi"), "grams")
+    counts = written(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ordinal", "district")).alias("d")), "gram-counts")
+    answers = short.join(counts, short["word"] == counts["gram"]).select("word", "d")
+    # A gram that no place holds counts 0: its words are in none.
+    rarest = asked.join(counts, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = rarest.where("r.n > 0").select("word", F.col("r.gram").alias("gram"))
+    longer = rarest.join(held, "gram").where(F.col("k_place").contains(F.col("word"))).groupBy("word").agg(F.min(F.struct("ordinal", "district")).alias("d"))
+    out = told.join(answers.unionByName(longer), "word", "left")
     tier = F.when(F.col("d1").isNotNull(), 1).when(F.col("d2").isNotNull(), 2).when(F.col("d").isNotNull() & F.col("d1").isNull(), 3)
     return out.select("place", F.coalesce("d1", "d2", "d.district").alias("district"), tier.alias("tier"))

@@ -50,7 +50,7 @@ def nearest_station(spark, d):
     own = b.table(spark, d, "supplier").select("s_suppkey", (37.4 + 0.003 * F.col("s_suppkey")).alias("lat"), (126.8 + 0.00001 * F.col("s_acctbal")).alias("lng"))
     points = own.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("point"), "lat", "lng")
     stations = own.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("station"), F.when(F.col("s_suppkey") % 2 == 0, "subway").otherwise("bus").alias("kind"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("s_suppkey").alias("ordinal"))
-    return places.nearest(points, stations, 3000.0, 0.04).select("point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres"))
+    return places.nearest(points, stations, 3000.0).select("point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres"))
 
 
 FACTORS = ["assistant", "system", "user"]

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterable
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .records import csv_records, in_groups
+
 #: The column that holds a broken row's line while files are read.
 BROKEN = "__broken"
 
@@ -55,45 +58,84 @@ def _csv(spark: SparkSession, encoding: str, escape: str) -> DataFrameReader:
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", escape).option("encoding", encoding).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("emptyValue", "")
 
 
-def _parsed(spark: SparkSession, path: str, encoding: str | None, escape: str) -> DataFrame:
-    """All rows of the files with `_broken`, the line of a row whose fields are not as many as the header's."""
+def _in_one_task(spark: SparkSession, files: list[str], names: list[str], encoding: str, escape: str) -> DataFrame:
+    """The rows of files by Spark's own reader for quoted line ends, which gives every file to one task."""
+    schema = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
+    rows = _csv(spark, encoding, escape).schema(schema).option("columnNameOfCorruptRecord", BROKEN).option("enforceSchema", True).csv(files)
+    told = [f"c{i}" for i in range(len(rows.columns))]
+    again = F.from_csv(BROKEN, ", ".join(f"`{n}` string" for n in told), _options(escape))
+    return rows.withColumn(BROKEN, F.when(again[told[-1]].isNotNull(), F.col(BROKEN)))
+
+
+def _options(escape: str) -> dict[str, str]:
+    return {"quote": '"', "escape": escape, "nullValue": "\x00", "emptyValue": ""}
+
+
+def _line_end(spark: SparkSession, path: str) -> str:
+    """Line feeds, if one comes before a carriage return that stands alone; else such carriage returns."""
+    first = spark.read.option("lineSep", "\n").text(path).select(F.substring(F.col("value"), 1, 1 << 20)).limit(1).collect()
+    return "\r" if first and "\r" in first[0][0][:-1] else "\n"
+
+
+def _in_ranges(spark: SparkSession, files: list[str], names: list[str], encoding: str, escape: str) -> DataFrame:
+    """The rows of files cut into byte ranges that are read on their own."""
+    if encoding != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     by: dict[str, list[str]] = {}
-    for f, e in (encodings(spark, path) if encoding is None else dict.fromkeys([path], encoding)).items():
+    for f in files:
+        by.setdefault(_line_end(spark, f), []).append(f)
+    per_range = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    parts = []
+    for end, own in by.items():
+        for group in in_groups({f: _size(spark, f) for f in own}, per_range):
+            records = csv_records(spark, group, escape, end).where("not first")
+            text = F.col("record").cast("string") if encoding == "UTF-8" else F.decode("record", encoding)
+            # Where lines end in two characters, such an end within a text is one line feed.
+            plain = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r$", "")
+            rows = records.select(text.alias("text")).select(F.when(F.col("text").endswith("\r"), plain).otherwise(F.col("text")).alias("text")).where("text <> ''")
+            told = [f"c{i}" for i in range(len(names) + 1)]
+            fields = rows.select(F.from_csv("text", ", ".join(f"{n} string" for n in told), _options(escape)).alias("f"), "text")
+            named = [F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)]
+            parts.append(fields.select(*named, F.when(F.col(f"f.{told[-1]}").isNotNull(), F.col("text")).alias(BROKEN)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    fs, own = _filesystem(spark, path)
+    return fs.getFileStatus(own).getLen()
+
+
+def _parsed(spark: SparkSession, path: str, encoding: str | None, escape: str, split: bool) -> DataFrame:
+    """All rows of the files with `_broken`, the line of a row that has more fields than the header."""
+    by: dict[str, list[str]] = {}
+    for f, e in (encodings(spark, path) if encoding is None else dict.fromkeys(_files(spark, path), encoding)).items():
         by.setdefault(e, []).append(f)
     out = None
     for e, files in sorted(by.items()):
-        reader = _csv(spark, e, escape)
-        names = reader.csv(files).columns
-        schema = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
-        part = reader.schema(schema).option("columnNameOfCorruptRecord", BROKEN).option("enforceSchema", True).csv(files)
+        names = _csv(spark, e, escape).csv(files).columns
+        part = (_in_ranges if split else _in_one_task)(spark, files, names, e, escape)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def _too_long(rows: DataFrame, escape: str) -> Column:
-    """Whether a broken row has more fields than there are columns."""
-    names = [f"c{i}" for i in range(len(rows.columns))]
-    again = F.from_csv(BROKEN, ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": escape, "nullValue": "\x00", "emptyValue": ""})
-    return F.col(BROKEN).isNotNull() & again[names[-1]].isNotNull()
-
-
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, escape: str = '"') -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, escape: str = '"', split: bool = True) -> DataFrame:
     """CSV files with a header, all columns strings: quoted texts may hold line ends, delimiters and quotes.
 
-    Quotes inside quotes are doubled; `escape="\\\\"` reads files that write them after a backslash. A row with
-    too few fields ends in nulls; one with too many is left out, see `broken_rows`. The encoding of each
-    file is found by looking at all of it, unless given."""
-    rows = _parsed(spark, path, encoding, escape)
-    kept = rows.where(~_too_long(rows, escape)).drop(BROKEN)
+    Files are read in byte ranges, so that one large file keeps many tasks busy (`records.csv_records`); with
+    split=False each is read by one task. Quotes inside quotes are doubled; `escape="\\\\"` reads files that write
+    them after a backslash. A row with too few fields ends in nulls; one with too many is left out, see
+    `broken_rows`. The encoding of each file is found by looking at all of it, unless given."""
+    rows = _parsed(spark, path, encoding, escape, split)
+    kept = rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
     return kept.select(*columns) if columns else kept
 
 
-def broken_rows(spark: SparkSession, path: str, encoding: str | None = None, escape: str = '"') -> DataFrame:
+def broken_rows(spark: SparkSession, path: str, encoding: str | None = None, escape: str = '"', split: bool = True) -> DataFrame:
     """The rows that `read_csv` leaves out, as they stand in the file (line)."""
-    rows = _parsed(spark, path, encoding, escape)
-    # The reader does not give broken lines alone: a condition that always holds reads the columns too.
+    rows = _parsed(spark, path, encoding, escape, split)
+    # The one-task reader does not give broken lines alone: a condition that always holds reads the columns too.
     read = F.length(F.concat_ws("", *(c for c in rows.columns if c != BROKEN))) >= 0
-    return rows.where(read & _too_long(rows, escape)).select(F.col(BROKEN).alias("line"))
+    return rows.where(read & F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
 
 
 def read_parts(spark: SparkSession, paths: list[str], order: tuple[str, ...] = ("review_index", "place")) -> DataFrame:

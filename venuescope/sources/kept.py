@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again with its schema.
 
@@ -30,12 +35,13 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     lives until `remove_written`: frames made from it read it whenever they run."""
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
-    path = f"{shared_dir(spark)}/{FOLDER}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_written(spark: SparkSession) -> bool:
-    """Remove all written tables of the shared folder, once no frame that reads them is needed; whether there were any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{FOLDER}")
+    """Remove the tables that this application has written, once no frame that reads them is needed; whether there
+    were any. Those of other applications on the same folder stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
