@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from venuescope.operators import keywords, stats
 
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -78,3 +80,42 @@ def test_profiles_whatever_is_sent(spark, monkeypatch, sent, survivors, held):
     for r in keywords.hybrid(rows, "g", "t", stop, features, 5).where("g is not null").collect():
         share = plain[r.g][r.word] / sum(plain[r.g].values())
         assert np.isclose(r.share, share) and np.isclose(r.hybrid, r.tfidf * (1 + 2 * share)) and r["rank"] <= 5
+
+
+@pytest.mark.parametrize(("block", "tile"), [(1 << 26, 1024), (2000, 7)])
+def test_products_of_blocks(spark, monkeypatch, block, tile):
+    from venuescope.operators import similarity
+
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rng = np.random.default_rng(3)
+    vector = lambda n: rng.normal(size=n).astype(np.float32).tolist()
+    rows = [(n % 3, n, n, 0.5, vector(8)) for n in range(60)] + [(0, 60, 60, 0.5, [0.0] * 8), (0, 61, 61, None, None), (0, 62, 62, 0.5, vector(4))]
+    anchors = [(f"f{n}", n, vector(8)) for n in range(40)] + [("short", 40, vector(4)), ("zero", 41, [0.0] * 8), ("none", 42, None)]
+    a = spark.createDataFrame(rows, "place int, review long, sentence long, sentiment double, embedding array<float>")
+    f = spark.createDataFrame(anchors, "factor string, factor_order int, embedding array<float>")
+
+    def cosine(x, y):
+        if x is None or y is None or len(x) != len(y) or not any(x) or not any(y):
+            return None
+        x, y = np.array(x), np.array(y)
+        return float(x @ y / np.sqrt((x @ x) * (y @ y)))
+
+    want = {(r[2], g): cosine(r[4], v) for r in rows for g, _, v in anchors}
+    got = {(r.sentence, r.factor): r.similarity for r in similarity.similarities(a, f, block_bytes=block).collect()}
+    assert got.keys() == want.keys() and all((want[k] is None) == (got[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-6) for k in want)
+    few = {(r.sentence, r.factor) for r in similarity.similarities(a, f, 0.4, block).collect()}
+    assert few == {k for k, v in want.items() if v is not None and v >= 0.4}
+
+
+def test_many_anchors(spark):
+    from venuescope.operators import similarity
+
+    rng = np.random.default_rng(4)
+    many = rng.normal(size=(100_000, 16)).astype(np.float32)
+    f = spark.range(100_000).select(F.concat(F.lit("f"), "id").alias("factor"), F.col("id").cast("int").alias("factor_order"), F.array(*(F.sin((F.col("id") + 1) * (k + 1.3)).cast("float") for k in range(16))).alias("embedding"))
+    a = spark.createDataFrame([(0, n, n, 0.5, many[n].tolist()) for n in range(20)], "place int, review long, sentence long, sentiment double, embedding array<float>")
+    table = np.stack([np.sin((np.arange(100_000) + 1.0) * (k + 1.3)).astype(np.float32) for k in range(16)], axis=1).astype(float)
+    own = many[:20].astype(float)
+    told = own @ table.T / np.linalg.norm(own, axis=1)[:, None] / np.linalg.norm(table, axis=1)
+    got = {(r.sentence, r.factor_order) for r in similarity.similarities(a, f, 0.8, 4 << 20).collect()}
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(told >= 0.8)), strict=True))

@@ -1,4 +1,4 @@
-"""Vectors: cosine, blends, and an encoder without a model."""
+"""Vectors: blends, and an encoder without a model."""
 
 from __future__ import annotations
 
@@ -15,15 +15,6 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..constants import BLEND_CUT, BLEND_SENTIMENT, BLEND_SIMILARITY, KEYWORD_COPIES, MINUTES_COPIES
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine over doubles; null for a vector of zeros."""
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
-
-
 def blended(similarity: Column, sentiment: Column) -> Column:
     """Similarity, cut to 0 to 1, and sentiment together; null at or under the threshold."""
     own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))

@@ -5,29 +5,80 @@ embedding, a row per factor."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEVIATION, LEGACY_MERGES, LEGACY_RENAMES, NEUTRAL, SIMILARITY
-from ..functions.vectors import cosine
-
-
-#: Anchors that are inlined into plans, at most.
-MOST_ANCHORS = 1000
-
-
-def similarities(sentences: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Every sentence with every factor. Anchors are a dimension of some ten rows, collected and inlined."""
-    rows = anchors.select("factor", "factor_order", "embedding").limit(MOST_ANCHORS + 1).collect()
-    if len(rows) > MOST_ANCHORS:
-        raise ValueError(f"more than {MOST_ANCHORS} anchors are no dimension")
-    listed = F.array(*(F.struct(F.lit(r.factor).alias("factor"), F.lit(r.factor_order).alias("factor_order"), F.array(*map(F.lit, r.embedding)).alias("v")) for r in rows))
-    wide = sentences.withColumn("anchor", F.explode(listed))
-    return wide.withColumn("similarity", cosine(F.col("embedding"), F.col("anchor.v"))).select("place", "review", "sentence", "sentiment", F.col("anchor.factor").alias("factor"), F.col("anchor.factor_order").alias("factor_order"), "similarity")
-
-
-def mentions(similar: DataFrame, cut: float = SIMILARITY) -> DataFrame:
-    return similar.where(F.col("similarity") >= cut)
+from ..constants import DEVIATION, LEGACY_MERGES, LEGACY_RENAMES, NEUTRAL
+
+#: Bytes of anchors that tasks are given at a time; more are given block after block, each with a pass over the sentences.
+BLOCK_BYTES = 64 << 20
+#: Rows and anchors of one matrix product.
+TILE = 1024
+
+
+def similarities(sentences: DataFrame, anchors: DataFrame, cut: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every sentence with every factor, or with those whose similarity is `cut` or more.
+
+    A product of matrices: the sentences of an Arrow batch with a block of anchors, both at length 1, so that no
+    pair below the cut is ever a row. Anchors are a stated set of any size, read in blocks of bounded bytes. A vector
+    of zeros, a missing one or one of another length than the anchor's has no similarity (null, under any cut)."""
+    spark, keys = sentences.sparkSession, ["place", "review", "sentence", "sentiment"]
+    own = anchors.select("factor", "factor_order", "embedding")
+    size = own.agg(F.coalesce(F.sum(8 * F.coalesce(F.size("embedding"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    kinds = {f.name: f.dataType.simpleString() for f in [*sentences.schema, *anchors.schema]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "factor", "factor_order"]) + ", similarity double"
+    out = None
+    for i in range(blocks):
+        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("factor", "factor_order"), F.lit(blocks)) == i)
+        given = spark.sparkContext.broadcast([(r.factor, r.factor_order, _unit(r.embedding)) for r in part.collect()])
+        found = sentences.select(*keys, "embedding").mapInArrow(_products(given, cut, pa.int64() if kinds["factor_order"] == "bigint" else pa.int32()), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _unit(v: list | None) -> np.ndarray | None:
+    """The vector at length 1; none of a vector without a length."""
+    if v is None or None in v:
+        return None
+    own = np.array(v, np.float64)
+    length = np.sqrt(own @ own)
+    return own / length if length else None
+
+
+def _products(given, cut: float | None, order_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, list[int]] = {}
+        for i, (_, _, v) in enumerate(given.value):
+            sizes.setdefault(-1 if v is None else len(v), []).append(i)
+        factor, order = ([a[k] for a in given.value] for k in (0, 1))
+        tables = {n: np.stack([given.value[i][2] for i in at]) for n, at in sizes.items() if n >= 0}
+        for b in batches:
+            for low in range(0, b.num_rows, TILE):
+                own = b.slice(low, TILE)
+                vectors = own.column("embedding")
+                lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for n, at in sizes.items():
+                    alike = np.flatnonzero(lengths == n) if n >= 0 else np.empty(0, np.int64)
+                    flat = vectors.take(pa.array(alike)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(alike), max(n, 0))
+                    norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+                    flat = np.divide(flat, norm, out=np.full_like(flat, np.nan), where=norm > 0)
+                    for first in range(0, len(at), TILE):
+                        told = np.full((own.num_rows, len(at[first : first + TILE])), np.nan)
+                        if n >= 0:
+                            told[alike] = flat @ tables[n][first : first + TILE].T
+                        row, column = np.nonzero(told >= cut) if cut is not None else np.indices(told.shape).reshape(2, -1)
+                        if len(row):
+                            value, chosen = told[row, column], [at[first + c] for c in column.tolist()]
+                            columns = [own.column(k).take(pa.array(row)) for k in range(4)]
+                            names = [pa.array([factor[c] for c in chosen], pa.string()), pa.array([order[c] for c in chosen], order_type)]
+                            yield pa.RecordBatch.from_arrays([*columns, *names, pa.array(value, mask=np.isnan(value))], ["place", "review", "sentence", "sentiment", "factor", "factor_order", "similarity"])
+
+    return run
 
 
 def review_scores(found: DataFrame) -> DataFrame:
@@ -94,17 +145,17 @@ def group_quantile(rows: DataFrame, group: str, column: str, share: float, bucke
     """(group, cut): the exact quantile of each group, linear between two values, as no task holds a group:
     a histogram finds the buckets of the two values, in which equal values are counted first.
 
-    Groups are a dimension, such as the factors."""
+    Groups may be many: what is joined is a row, or two, of each, and Spark broadcasts it only while it is small."""
     known = rows.where(F.col(column).isNotNull()).select(group, F.col(column).alias("v"))
     ends = known.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     spot = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    dealt = known.join(F.broadcast(ends), group).withColumn("bucket", spot)
+    dealt = known.join(ends, group).withColumn("bucket", spot)
     order = Window.partitionBy(group).orderBy("bucket")
     sums = dealt.groupBy(group, "bucket", "n").agg(F.count(F.lit(1)).alias("own")).withColumn("before", F.sum("own").over(order) - F.col("own"))
     at = F.lit(share) * (F.col("n") - 1)
     held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("own"))
     wanted = sums.where(held(F.floor(at)) | held(F.ceil(at))).select(group, "bucket", "before")
-    values = dealt.join(F.broadcast(wanted), [group, "bucket"]).groupBy(group, "bucket", "n", "before", "v").agg(F.count(F.lit(1)).alias("own"))
+    values = dealt.join(wanted, [group, "bucket"]).groupBy(group, "bucket", "n", "before", "v").agg(F.count(F.lit(1)).alias("own"))
     placed = values.withColumn("before", F.col("before") + F.sum("own").over(Window.partitionBy(group, "bucket").orderBy("v")) - F.col("own"))
     value = lambda k: F.max(F.when(held(k), F.col("v")))
     pair = placed.groupBy(group, "n").agg(value(F.floor(at)).alias("a"), value(F.ceil(at)).alias("b"))
@@ -114,8 +165,7 @@ def group_quantile(rows: DataFrame, group: str, column: str, share: float, bucke
 def top_share(scores: DataFrame, share: float = 0.9, column: str = "fsi") -> DataFrame:
     """Rows of each factor at or above its quantile; ties stay."""
     cuts = group_quantile(scores, "factor", column, share)
-    # A row per factor.
-    return scores.join(F.broadcast(cuts), "factor").where(F.round(F.col(column), 9) >= F.round("cut", 9))
+    return scores.join(cuts, "factor").where(F.round(F.col(column), 9) >= F.round("cut", 9))
 
 
 def compared(text_scores: DataFrame, image_scores: DataFrame) -> DataFrame:

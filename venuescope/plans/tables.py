@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mapping, places, stats
 from ..sources import bindings as b
-from ..sources import files
+from ..sources import files, html
 from .common import r6, s6
 
 METRICS = ["quantity", "discount", "tax", "price"]
@@ -102,17 +102,26 @@ def page_fields(spark, d):
     return files.html_fields(b.table(spark, d, "pages")).select("page_id", "title", "heading", "links", "paragraphs", "page_lang")
 
 
+def page_selectors(spark, d):
+    wanted = {"headline": ["article .headline", "article h1", "h1"], "first_link": ["nav li a@href", "a@href"], "advert": ["div.ad"]}
+    return html.fields(b.table(spark, d, "pages"), wanted, counts={"nav_links": "nav a[href]", "adverts": "div.ad"}).select("page_id", *wanted, "nav_links", "adverts")
+
+
 def page_numbers(spark, d):
     rows = b.table(spark, d, "pages").select("page_id", F.concat(F.lit("Rated "), (F.col("page_id") % 5 + 1).cast("string"), F.lit(" of 5")).alias("label"), F.concat(F.lit("https://m/@"), (F.col("page_id") * 0.25 + 0.5).cast("string"), F.lit(","), (F.col("page_id") * -0.5 - 0.5).cast("string"), F.lit(",17z")).alias("map"))
     return rows.select("page_id", files.rating_of(F.col("label")).alias("rating"), r6(files.point_of(F.col("map"))["lat"], "lat"), r6(files.point_of(F.col("map"))["lng"], "lng"))
 
 
-QUERIES = {f.__name__: f for f in (pair_correlations, told_correlations, complete_correlations, trend_line, quantile_bins, describe, nearest_station, llm_flatten, llm_review_pivot, llm_resume, page_fields, page_numbers)}
+QUERIES = {f.__name__: f for f in (pair_correlations, told_correlations, complete_correlations, trend_line, quantile_bins, describe, nearest_station, llm_flatten, llm_review_pivot, llm_resume, page_fields, page_selectors, page_numbers)}
 
 M = "WITH m AS (SELECT l_suppkey AS place, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_extendedprice) AS price FROM lineitem GROUP BY l_suppkey)"
 C = "WITH m0 AS (SELECT floor(l_quantity / 5) / 10 AS a, floor(l_discount * 100) / 10 AS b, floor(l_tax * 100) / 10 AS c FROM lineitem), m AS (SELECT nullif(a, 0.5) AS a, nullif(b, 0.5) AS b, nullif(c, 0.5) AS c FROM m0)"
 
 
+#: Text of an element without others in it: entities resolved, white space collapsed, null where blank.
+PLAIN_SQL = r"nullif(trim(regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')), '')"
+
+
 def _pairs(columns: list[str], where: str, t: bool) -> str:
     rows = [f"SELECT '{x}' AS a, '{y}' AS b, count(*) AS n, CASE WHEN count(*) > 10 THEN corr({x}, {y}) END AS r FROM m WHERE {where.format(x, y)}" for i, x in enumerate(columns) for y in columns[i + 1 :]]
     return f", p AS ({' UNION ALL '.join(rows)}) SELECT a, b, n, {s6('r')}" + (", round((r * sqrt((n - 2) / (1 - r * r))) + 1e-10::DOUBLE, 6) + 0.0 AS t" if t else "") + " FROM p"
@@ -149,5 +158,8 @@ ORACLE_SQL = {
     "page_fields": r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
         coalesce(nullif(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')) AS heading,
         len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS page_lang FROM pages""",
+    "page_selectors": f"""SELECT page_id, {PLAIN_SQL.format("regexp_extract(html, '<article><h1[^>]*>([^<]*)</h1>', 1)")} AS headline,
+        {PLAIN_SQL.format("regexp_extract(html, '(?s)<nav>.*?<a href=\"([^\"]*)\"', 1)")} AS first_link, {PLAIN_SQL.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} AS advert,
+        len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')) AS nav_links, len(regexp_extract_all(html, '<div class="ad">')) AS adverts FROM pages""",
     "page_numbers": "SELECT page_id, CAST(page_id % 5 + 1 AS INT) AS rating, page_id * 0.25::DOUBLE + 0.5 AS lat, page_id * -0.5::DOUBLE - 0.5 AS lng FROM pages",
 }

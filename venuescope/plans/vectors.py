@@ -17,8 +17,12 @@ def _similar(spark, d):
     return op.similarities(b.sentences(spark, d), b.anchors(spark, d))
 
 
+def _mentions(spark, d):
+    return op.similarities(b.sentences(spark, d), b.anchors(spark, d), b.CUT)
+
+
 def _reviews(spark, d):
-    return op.review_scores(op.mentions(_similar(spark, d), b.CUT))
+    return op.review_scores(_mentions(spark, d))
 
 
 def _weighted(spark, d):
@@ -30,7 +34,7 @@ def similarity_long(spark, d):
 
 
 def factor_mentions(spark, d):
-    return op.mentions(_similar(spark, d), b.CUT).select("place", "review", "sentence", "factor", r6("similarity"), r6("sentiment"))
+    return _mentions(spark, d).select("place", "review", "sentence", "factor", r6("similarity"), r6("sentiment"))
 
 
 def review_factor_scores(spark, d):

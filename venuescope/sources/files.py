@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .html import fields
 from .records import csv_records, in_groups
 
 #: The column that holds a broken row's line while files are read.
@@ -147,7 +148,7 @@ def read_parts(spark: SparkSession, paths: list[str], order: tuple[str, ...] = (
     return df.orderBy(F.col(by).try_cast("long"), by) if by else df
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines that are not blank, of a log that may hold broken ones."""
     return spark.read.text(path).where(F.regexp_replace("value", r"\s+", "") != "")
 
@@ -196,11 +197,13 @@ def remembered(spark: SparkSession, folder: str, make: Callable[..., DataFrame],
     return spark.read.parquet(path)
 
 
+#: Where a page tells its title, heading and language, the first selector that has a text.
+PAGE_FIELDS = {"title": ["title", 'meta[property="og:title"]@content'], "heading": ["h1", "title"], "page_lang": ["html@lang", "[lang]@lang"]}
+
+
 def html_fields(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title, heading, number of links and paragraphs of pages, and coordinates where a page tells them."""
-    of = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    heading = F.coalesce(of(r"<h1[^>]*>([^<]*)</h1>"), of(r"<title>([^<]*)</title>"))
-    return pages.select("*", of(r"<title>([^<]*)</title>").alias("title"), heading.alias("heading"), F.regexp_count(html, F.lit("<a ")).cast("long").alias("links"), F.regexp_count(html, F.lit("<p[ >]")).cast("long").alias("paragraphs"), of(r'lang="([a-z]+)"').alias("page_lang"))
+    """Title, heading and language of pages, as they are written, and the numbers of links and paragraphs."""
+    return fields(pages, PAGE_FIELDS, html, {"links": "a", "paragraphs": "p"}, as_written=True)
 
 
 def rating_of(label):

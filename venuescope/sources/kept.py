@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _own(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}"
 
@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     lives until `remove_written`: frames made from it read it whenever they run."""
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,5 +43,5 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 def remove_written(spark: SparkSession) -> bool:
     """Remove the tables that this application has written, once no frame that reads them is needed; whether there
     were any. Those of other applications on the same folder stay."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
