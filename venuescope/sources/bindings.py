@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FACTOR_ORDER
 from ..functions.sentiment import label_of, lexicon_score
+from .kept import spread
 
 # The factor dimension of the event tables, in alphabetical order.
 EVENT_FACTORS = [("click", 0, "physical"), ("error", 1, "physical"), ("purchase", 2, "activity"), ("signup", 3, "activity"), ("view", 4, "meaning")]
@@ -18,8 +19,13 @@ CUT = 0.2
 VECTOR_FACTORS = [(i, f"f{i}") for i in range(len(FACTOR_ORDER))]
 
 
+#: Tables whose rows are work enough to deal them out.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    read = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(read) if name in TEXTS else read
 
 
 def dimension(spark: SparkSession, rows=EVENT_FACTORS) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The part of the shared folder that these tables are in.
 FOLDER = "venuescope"
@@ -40,6 +41,22 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table from which it is worth to deal out its rows, and splits for each core beyond which it is not looked at.
+WORTH, MANY = 4 << 20, 4
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from files, its rows dealt to all cores where the files keep most of them idle.
+
+    A Parquet file is read by at most as many tasks as it has row groups, so one file of one group, however many
+    splits it has, is one task's work. Only tables of few splits are looked at, by counting rows a split."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < WORTH or table.rdd.getNumPartitions() >= MANY * cores:
+        return table
+    busy = table.select(F.spark_partition_id().alias("split")).distinct().count()
+    return table.repartition(cores) if busy < cores else table
+
+
 def remove_written(spark: SparkSession) -> bool:
     """Remove the tables that this application has written, once no frame that reads them is needed; whether there
     were any. Those of other applications on the same folder stay."""
