@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.kept import spread
 from . import decontaminate, exact_dedup, fingerprints, itemsets, line_dedup, mixing, packing, pii, search, secrets, simhash, toxicity, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return url_filter.filter_urls(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
