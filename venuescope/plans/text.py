@@ -258,6 +258,13 @@ def evidence_spans_exact(spark, d):
     return spans.evidence_spans(_own_words(spark, d)).where("tier = 'exact'")
 
 
+def evidence_spans_spaced(spark, d):
+    """Evidence whose words stand apart otherwise than in the text, so that only the second search finds it."""
+    rows = _rows(spark, d).select("review", "review_text")
+    apart = F.array_join(F.slice(F.filter(F.split("review_text", r"[ \n]+"), lambda w: w != ""), 2, 4), "   \n ")
+    return spans.evidence_spans(rows.withColumn("evidence", F.array(apart))).where("tier = 'spaced'")
+
+
 def highlighted_text(spark, d):
     rows = _own_words(spark, d).where(F.contains("review_text", F.element_at("evidence", 1)))
     return spans.highlighted(rows).select("review", F.md5(F.col("html").cast("binary")).alias("html"))
@@ -281,7 +288,7 @@ def evidence_spans(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans, evidence_spans_exact, highlighted_text)
+    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans, evidence_spans_exact, evidence_spans_spaced, highlighted_text)
 }
 
 W = f"WITH {b.REVIEWS_SQL}"
@@ -399,6 +406,9 @@ ORACLE_SQL = {
         g AS (SELECT review, count(DISTINCT substr(md5(substr(w, CAST(i AS INT), n)), 30, 3)) AS filled FROM i GROUP BY review)
         SELECT r.review, CAST(coalesce(filled, 0) AS INT) AS filled, CASE WHEN filled > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM reviews r LEFT JOIN g USING (review)""",
     "evidence_spans_exact": f"""{OWN_WORDS_SQL} SELECT review, CAST(strpos(t, e) - 1 AS INT) AS start, CAST(strpos(t, e) - 1 + length(e) AS INT) AS stop, 'exact' AS tier FROM own WHERE e <> '' AND contains(t, e)""",
+    "evidence_spans_spaced": f"""{W}, w AS (SELECT review, review_text AS t, list_slice(list_filter(string_split_regex(review_text, '[ @n]+'), lambda x: x <> ''), 2, 5) AS ws FROM reviews),
+        s AS (SELECT review, t, array_to_string(ws, '') AS e, regexp_replace(t, '[ @n]', '', 'g') AS solid, list_filter(range(length(t)), lambda i: substr(t, CAST(i AS INT) + 1, 1) NOT IN (' ', chr(10))) AS places FROM w WHERE len(ws) > 1)
+        SELECT review, CAST(places[strpos(solid, e)] AS INT) AS start, CAST(places[strpos(solid, e) + length(e) - 1] + 1 AS INT) AS stop, 'spaced' AS tier FROM s WHERE contains(solid, e)""".replace("@n", chr(92) + "n"),
     "highlighted_text": f"""{OWN_WORDS_SQL} SELECT review, md5(CASE WHEN e = '' THEN {HTML_SQL.format("t")} ELSE {HTML_SQL.format("substr(t, 1, CAST(strpos(t, e) AS INT) - 1)")} || '<mark>' || {HTML_SQL.format("e")} || '</mark>'
         || {HTML_SQL.format("substr(t, CAST(strpos(t, e) AS INT) + CAST(length(e) AS INT))")} END) AS html FROM own WHERE contains(t, e)""",
     "row_slice": f"{W} SELECT review, place FROM reviews ORDER BY review LIMIT 50 OFFSET 40",
