@@ -78,3 +78,14 @@ def test_merging_and_containment(spark):
     s = {c: fp.sketch(F.col(c)) for c in "abc"}
     row = df.select(fp.containment(s["b"], s["c"]).alias("b_in_c"), fp.containment(s["c"], s["b"]).alias("c_in_b"), F.array_except(fp.merged(s["a"], s["b"]), s["c"]).alias("extra"), fp.likeness(s["a"], s["b"]).alias("none")).first()
     assert row.b_in_c == 1 and row.c_in_b < 0.15 and row.extra == [] and row.none == 0
+
+
+def test_far_and_crowded_ids_share_ranges(spark):
+    """What one id far away, or clusters, do to ranges: none has many times its share."""
+    for ids in ([*range(20_000), 1 << 60], [*range(-(1 << 63), -(1 << 63) + 10_000), *range(10_000), (1 << 63) - 2], list(range(20_000)), [7] * 3):
+        rows = spark.createDataFrame([(i, "") for i in ids], "key long, text string")
+        place, of = fp._ranges(rows)
+        sizes = [r["count"] for r in rows.groupBy(of.alias("r")).count().collect()]
+        assert max(sizes) <= 2 * fp.PER_RANGE
+        ordered = [r.r for r in rows.select("key", of.alias("r")).orderBy("key").collect()]
+        assert ordered == sorted(ordered)

@@ -30,8 +30,8 @@ from .common import NO_ID, id_of, key_of, text_of, written
 WORDS = 5
 FRACTION = 1 / 8
 LEAST = 32
-#: Rows that a range is made for, and the most ranges.
-PER_RANGE, MOST_RANGES = 512, 1 << 18
+#: Rows that a range is made for, the most ranges, and the most quantiles of the ids that they follow.
+PER_RANGE, MOST_RANGES, SPLITTERS = 512, 1 << 18, 2048
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -122,22 +122,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _ranges(rows: DataFrame, per_range: int = PER_RANGE) -> tuple[Column, Column]:
     """A row's place among those of one key, and the number of its range, ascending with key and place.
 
-    The place is the hash of the text where ids are missing, of which the last 64 ranges are, and 0 elsewhere:
-    texts are read for it only then."""
+    Ranges follow the ids there are: up to `SPLITTERS` quantiles of them, found by a sketch, and between two of these
+    ranges of equal width, so that far or crowded ids leave no range with more than its share. The place is the hash of the
+    text where ids are missing, of which the last 64 ranges are, and 0 elsewhere: texts are read for it only then."""
     own = F.when(F.col("key") != NO_ID, F.col("key"))
     ends = rows.agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(own).alias("n"), F.count(F.lit(1)).alias("all")).first()
-    width, last = 1 << 62, 1
+    splitters = [0]
     if ends.n:
-        width = min(1 << 62, max(1, -(-(ends.high - ends.low + 1) // min(MOST_RANGES, max(1, ends.n // per_range)))))
-        last = max(0, ends.high // width) + 1
-    known = F.expr(f"key div {width}L")
+        parts = min(SPLITTERS, max(1, ends.n // per_range))
+        told = rows.agg(F.percentile_approx(own, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first().q if parts > 1 else []
+        splitters = sorted({ends.low, *told})
+    each = min(MOST_RANGES // len(splitters), max(1, (ends.n or 0) // per_range // len(splitters) + 1))
+    stops = [*splitters[1:], (ends.high or 0) + 1]
+    widths = [min(1 << 62, max(1, -(-(b - a) // each))) for a, b in zip(splitters, stops, strict=True)]
+    # Whole widths from 0 to each splitter, towards 0: what is subtracted never leaves the numbers of a range.
+    bases = [-(-a // w) if a < 0 else a // w for a, w in zip(splitters, widths, strict=True)]
+    longs = lambda x: F.lit(x).cast("array<long>")
+    # The last splitter up to the key, by halving.
+    steps = F.lit([1 << k for k in range(len(splitters).bit_length() - 1, -1, -1)])
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(longs(splitters), low + step) <= F.col("key"), low + step).otherwise(low))
+    within = lambda i: F.call_function("div", F.col("key"), F.get(longs(widths), i)) - F.get(longs(bases), i)
+    known = F.get(F.transform(F.array(at), lambda i: i.cast("long") * each + F.greatest(F.lit(0).cast("long"), F.least(F.lit(each - 1).cast("long"), within(i)))), F.lit(0))
     if ends.n == ends.all:
         return F.lit(0).cast("long"), known
     missing = F.col("key") == NO_ID
     place = F.when(missing, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     # Signed numbers in order, from 0 to 63.
     sixth = F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(1 << 63))), 58)
-    return place, F.when(missing, F.lit(last).cast("long") + sixth).otherwise(known)
+    return place, F.when(missing, F.lit(len(splitters) * each).cast("long") + sixth).otherwise(known)
 
 
 def _heads(rows: DataFrame) -> DataFrame:
