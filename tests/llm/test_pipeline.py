@@ -35,15 +35,40 @@ def test_stages_follow_each_other(spark, sf):
             assert kept.agg({"length": "sum"}).first()[0] > 0
 
 
+def packed_well(rows, docs):
+    """Every id of every document that mixing has kept lies in one piece, and sequences are without gaps."""
+    by, sequences = {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert set(by) == {d.doc_id for d in docs}
+    for i, pieces in by.items():
+        copies = sum(d.doc_id == i for d in docs)
+        assert sum(n for _, n, _ in pieces) == sum(t for s, _, t in pieces if s == 0) and sum(s == 0 for s, _, _ in pieces) == copies
+
+
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame((own := stage(spark, docs, sf)).collect(), own.schema)
+    packed_well(corpus_pipeline.run(spark, sf).collect(), docs.collect())
 
 
 def test_odd_rows(spark, odd, sf):
-    docs = odd
+    docs, kept = odd, []
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-    assert docs.count() > 0
+        docs = spark.createDataFrame((own := stage(spark, docs, sf)).collect(), own.schema)
+        kept.append(docs.collect())
+    # Of the copies of "One" and of the two long texts one stays; a text without words takes nothing of the mix.
+    assert [len(k) for k in kept[:2]] == [len(kept[0])] * 2 and {r.doc_id for r in kept[3]} <= {r.doc_id for r in kept[2]} <= {r.doc_id for r in kept[0]}
+    assert {r.doc_id for r in kept[3]} == {r.doc_id for r in kept[2] if (r.text or "").split()} and not {7, 10_000_000_000} & {r.doc_id for r in kept[2]}
+    packed_well(kept[4], kept[3])
 
 
 def test_no_stage_touches_other_columns(spark, sf, clashing):
