@@ -8,15 +8,14 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = sorted(n.removesuffix(".parquet") for n in os.listdir(SF) if n.endswith(".parquet"))
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
     for t in TABLES:
-        if os.path.exists(f"{SF}/{t}.parquet"):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 

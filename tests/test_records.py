@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from venuescope.sources import files, kept, records
 
 
@@ -113,3 +115,16 @@ def test_only_own_tables_are_removed(spark, monkeypatch):
     spark.range(2).write.parquet(other)
     assert kept.written(spark.range(3), "t").count() == 3
     assert kept.remove_written(spark) and not kept.remove_written(spark) and spark.read.parquet(other).count() == 2
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    busy = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    path = str(tmp_path / "one.parquet")
+    spark.range(20_000).withColumn("t", F.sha2(F.col("id").cast("string"), 512)).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert busy(kept.spread(table)) == 1  # too small to be worth it
+    monkeypatch.setattr(kept, "WORTH", 1000)
+    assert busy(table) == 1 and busy(kept.spread(table)) == spark.sparkContext.defaultParallelism
+    assert kept.spread(table).agg(F.sum("id")).first()[0] == sum(range(20_000))
+    monkeypatch.setattr(kept, "MANY", 0)
+    assert busy(kept.spread(table)) == 1  # a table of many splits is not looked at
