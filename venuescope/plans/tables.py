@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mapping, places, stats
@@ -46,11 +49,24 @@ def describe(spark, d):
     return stats.described(_metrics(spark, d), METRICS).select("metric", "count", *map(r6, ("mean", "std", "min", "q25", "q50", "q75", "max")))
 
 
-def nearest_station(spark, d):
+def _stations(spark, d):
     own = b.table(spark, d, "supplier").select("s_suppkey", (37.4 + 0.003 * F.col("s_suppkey")).alias("lat"), (126.8 + 0.00001 * F.col("s_acctbal")).alias("lng"))
     points = own.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("point"), "lat", "lng")
     stations = own.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("station"), F.when(F.col("s_suppkey") % 2 == 0, "subway").otherwise("bus").alias("kind"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("s_suppkey").alias("ordinal"))
-    return places.nearest(points, stations, 3000.0).select("point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres"))
+    return points, stations
+
+
+def nearest_station(spark, d):
+    return places.nearest(*_stations(spark, d), 3000.0).select("point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres"))
+
+
+REACHES = [150.0, 600.0, 50_000.0, None]
+
+
+def nearest_station_reaches(spark, d):
+    """The same search at several reaches, the last without any."""
+    parts = [places.nearest(*_stations(spark, d), r).select(F.lit(r or -1.0).alias("reach"), "point", F.col("station").cast("double").alias("station"), "kind", "minutes", r6("metres")) for r in REACHES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 FACTORS = ["assistant", "system", "user"]
@@ -112,7 +128,7 @@ def page_numbers(spark, d):
     return rows.select("page_id", files.rating_of(F.col("label")).alias("rating"), r6(files.point_of(F.col("map"))["lat"], "lat"), r6(files.point_of(F.col("map"))["lng"], "lng"))
 
 
-QUERIES = {f.__name__: f for f in (pair_correlations, told_correlations, complete_correlations, trend_line, quantile_bins, describe, nearest_station, llm_flatten, llm_review_pivot, llm_resume, page_fields, page_selectors, page_numbers)}
+QUERIES = {f.__name__: f for f in (pair_correlations, told_correlations, complete_correlations, trend_line, quantile_bins, describe, nearest_station, nearest_station_reaches, llm_flatten, llm_review_pivot, llm_resume, page_fields, page_selectors, page_numbers)}
 
 M = "WITH m AS (SELECT l_suppkey AS place, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_extendedprice) AS price FROM lineitem GROUP BY l_suppkey)"
 C = "WITH m0 AS (SELECT floor(l_quantity / 5) / 10 AS a, floor(l_discount * 100) / 10 AS b, floor(l_tax * 100) / 10 AS c FROM lineitem), m AS (SELECT nullif(a, 0.5) AS a, nullif(b, 0.5) AS b, nullif(c, 0.5) AS c FROM m0)"
@@ -158,6 +174,13 @@ ORACLE_SQL = {
     "page_fields": r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
         coalesce(nullif(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')) AS heading,
         len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS page_lang FROM pages""",
+    "nearest_station_reaches": """WITH s AS (SELECT s_suppkey AS k, 37.4::DOUBLE + 0.003::DOUBLE * s_suppkey AS lat, 126.8::DOUBLE + 0.00001::DOUBLE * s_acctbal AS lng FROM supplier),
+        j AS (SELECT p.k AS point, q.k AS station, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lng - p.lng) / 2), 2) AS a FROM s p, s q WHERE p.k % 3 <> 0 AND q.k % 3 = 0),
+        r AS (SELECT unnest([150, 600, 50000, -1])::DOUBLE AS reach), m AS (SELECT point, station, 2 * 6371000.0::DOUBLE * atan2(sqrt(a), sqrt(1 - a)) AS metres FROM j),
+        w AS (SELECT *, round(metres * 1.4::DOUBLE / 67.0::DOUBLE, 1) AS minutes FROM m, r WHERE reach < 0 OR metres <= reach),
+        b AS (SELECT *, row_number() OVER (PARTITION BY reach, point ORDER BY minutes, station) AS n FROM w)
+        SELECT r.reach, s.k AS point, CAST(b.station AS DOUBLE) AS station, CASE WHEN b.station % 2 = 0 THEN 'subway' WHEN b.station IS NOT NULL THEN 'bus' END AS kind, b.minutes, round((b.metres) + 1e-10::DOUBLE, 6) + 0.0 AS metres
+        FROM s CROSS JOIN r LEFT JOIN b ON b.point = s.k AND b.reach = r.reach AND b.n = 1 WHERE s.k % 3 <> 0""",
     "page_selectors": f"""SELECT page_id, {PLAIN_SQL.format("regexp_extract(html, '<article><h1[^>]*>([^<]*)</h1>', 1)")} AS headline,
         {PLAIN_SQL.format("regexp_extract(html, '(?s)<nav>.*?<a href=\"([^\"]*)\"', 1)")} AS first_link, {PLAIN_SQL.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} AS advert,
         len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')) AS nav_links, len(regexp_extract_all(html, '<div class="ad">')) AS adverts FROM pages""",

@@ -161,6 +161,20 @@ def union_parts(spark, d):
     return places.in_order(both, "place", "review")
 
 
+def csv_texts(spark, d):
+    """Texts with quotes, commas and line ends, written as CSV and read in byte ranges."""
+    path = files.write_csv(_rows(spark, d).select("review", "review_text", "place"), f"{kept.own_folder(spark)}/texts-{uuid.uuid4().hex}")
+    return files.read_csv(spark, path).select(F.col("review").cast("long").alias("review"), "place", F.md5(F.col("review_text").cast("binary")).alias("text"))
+
+
+def sparse_positions(spark, d):
+    """Positions by ordinals that are hashed, crowded or missing; of those without one only that they come last."""
+    review = F.col("review")
+    ordinal = F.when(review % 50 == 0, F.lit(None)).when(review % 3 == 0, review * 1_000_003_000_017 % 998_244_353_111_111).otherwise(review)
+    told = places.numbered(_rows(spark, d).select("review", ordinal.cast("long").alias("ordinal")), "ordinal", "at")
+    return told.select("review", F.when(F.col("ordinal").isNull(), F.lit(-1)).otherwise(F.col("at")).cast("long").alias("position"))
+
+
 def empty_only_places(spark, d):
     rows = _rows(spark, d).select(F.concat("place", F.lit("-"), F.floor(F.col("review") / 100).cast("string")).alias("place"), F.when(F.length("review_text") < 1500, F.lit(" ")).otherwise(F.col("review_text")).alias("t"))
     return places.only_blank(rows, "place", "t")
@@ -288,7 +302,7 @@ def evidence_spans(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans, evidence_spans_exact, evidence_spans_spaced, highlighted_text)
+    for f in (place_key_clean, text_flags, review_clean, review_clean_author, scraped_text, rating_backfill, sentences, sentences_keep_punct, truncate_text, compact_text, lexicon_sentiment, place_avg_sentiment, sentiment_outer_merge, keyword_boost, minutes_boost, tfidf_keywords, hybrid_keywords, dedup_reviews, stratified_sample, strata_sizes, resume_by_key, resume_by_position, place_slice, row_numbers, union_parts, csv_texts, sparse_positions, empty_only_places, rating_rules, label_rules, script_filter, search_query, fingerprint, data_url, district_parse, tiered_place_match, district_lookup, row_slice, group_evaluation, char_ngram_cosine, hash_encode, evidence_spans, evidence_spans_exact, evidence_spans_spaced, highlighted_text)
 }
 
 W = f"WITH {b.REVIEWS_SQL}"
@@ -373,6 +387,9 @@ ORACLE_SQL = {
     "place_slice": f"{W}, f AS (SELECT place, row_number() OVER (ORDER BY min(review)) AS n FROM reviews GROUP BY place) SELECT review, place FROM reviews SEMI JOIN (SELECT place FROM f WHERE n > 3 AND n <= 8) USING (place)",
     "row_numbers": f"{W} SELECT review, row_number() OVER (ORDER BY review) - 1 AS review_index FROM reviews WHERE place IS NOT NULL AND {_strip('review_text')} <> ''",
     "union_parts": f"{W} SELECT place, min(review) AS first FROM reviews GROUP BY place",
+    "csv_texts": f"{W} SELECT review, place, md5(review_text) AS text FROM reviews",
+    "sparse_positions": f"""{W}, o AS (SELECT review, CASE WHEN review % 50 = 0 THEN NULL WHEN review % 3 = 0 THEN review * 1000003000017 % 998244353111111 ELSE review END AS ordinal FROM reviews)
+        SELECT review, CASE WHEN ordinal IS NULL THEN -1 ELSE row_number() OVER (ORDER BY ordinal NULLS LAST) - 1 END AS position FROM o""",
     "empty_only_places": f"{W}, t AS (SELECT place || '-' || CAST(review // 100 AS VARCHAR) AS place, length(review_text) < 1500 AS blank FROM reviews) SELECT place FROM t GROUP BY place HAVING bool_and(blank)",
     "rating_rules": f"{W} SELECT review, CAST(CASE WHEN rating - review % 3 >= 4 THEN 0.9 WHEN rating - review % 3 >= 3 THEN 0.5 WHEN rating IS NOT NULL THEN 0.1 END AS DOUBLE) AS score FROM reviews",
     "label_rules": f"""{W}, l AS (SELECT review, (['POSITIVE', 'negative', 'LABEL_1', 'label_0', 'odd', '5 stars', '2 stars', '긍정', 'neutral'])[review % 9 + 1] AS label, (review % 10) / 10.0::DOUBLE AS s,
