@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple]]:
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The rows (id, text) of a query set in blocks of about so many bytes of text, ordered by id and text.
 
     One block at a time is collected, so what is on the driver is bounded whatever the set's size; a block
