@@ -9,14 +9,16 @@ from venuescope.sources import files, kept, records
 
 
 def rows_of(spark, path, size, **how):
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, (str(size), "0"), strict=True):
+        spark.conf.set(n, value)
     try:
         df = files.read_csv(spark, path, **how)
         return sorted(map(tuple, df.collect()), key=repr), sorted(r.line for r in files.broken_rows(spark, path, **how).collect()), df.rdd.getNumPartitions()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
 
 
 ADVERSE = 'id,text,n\n1,"a\nb",x\n2,plain "quoted" text,y\n3,"two ""doubled"" and\n""\n,still in",z\n\n4,"",\n5,"x"y,1\n6,"open, ""\n""",2\n7,a,b,c,d\n8,short\n9,"end"'

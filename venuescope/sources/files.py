@@ -125,7 +125,8 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, e
     Files are read in byte ranges, so that one large file keeps many tasks busy (`records.csv_records`); with
     split=False each is read by one task. Quotes inside quotes are doubled; `escape="\\\\"` reads files that write
     them after a backslash. A row with too few fields ends in nulls; one with too many is left out, see
-    `broken_rows`. The encoding of each file is found by looking at all of it, unless given."""
+    `broken_rows`. The encoding of each file is found by looking at all of it, unless given. Rows of a file of one
+    range come in its order; those of several ranges in no order (a record over a range's end comes last)."""
     rows = _parsed(spark, path, encoding, escape, split)
     kept = rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
     return kept.select(*columns) if columns else kept
