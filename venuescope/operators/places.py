@@ -23,7 +23,7 @@ def with_defaults(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumns({new: F.col(old) for old, new in names.items() if old in rows.columns and new not in rows.columns})
 
 
-def numbered(rows: DataFrame, ordinal: str, name: str = "review_index") -> DataFrame:
+def numbered(rows: DataFrame, ordinal: str, name: str = "review_index", ranges: int | None = None) -> DataFrame:
     """Positions from 0 by an ordinal, rows without one last, and no task that holds more than its share of them.
 
     Rows are dealt to ranges by splitters that Spark samples, so any ordinals, dense, hashed or with outliers, make
@@ -35,7 +35,7 @@ def numbered(rows: DataFrame, ordinal: str, name: str = "review_index") -> DataF
     by = F.col(own.columns[names.index(ordinal)])
     told = F.xxhash64(*(c for c, t in own.dtypes if not t.startswith("map")))
     keys = [by.asc_nulls_last(), told.asc(), F.monotonically_increasing_id().asc()]
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
     table = written(own.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys[:2]), "numbered")
     file, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     read = table.select("*", file.alias("file"), place.alias("place"))
