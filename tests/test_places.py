@@ -107,6 +107,18 @@ def test_crowded_city_meets_few(spark, monkeypatch):
     assert {p: got[p] for p in range(0, 2000, 40)} == brute(points[::40], stations, 3000.0)
 
 
+def test_latitudes_beyond_the_poles(spark):
+    """A line of places that goes on over both poles and round: it meets its neighbours, not all that lie beyond a pole."""
+    draw = random.Random(8)
+    line = [(n, 37.4 + 0.6 * n, 126.8 + draw.uniform(-0.01, 0.1)) for n in range(1500)] + [(1500 + n, -95.0 - 0.6 * n, 10.0) for n in range(100)]
+    points, stations = [x for x in line if x[0] % 3], [(n, "bus", lat, lng, n) for n, lat, lng in line if n % 3 == 0]
+    a = spark.createDataFrame(points, "point long, lat double, lng double")
+    b = spark.createDataFrame(stations, "station long, kind string, s_lat double, s_lng double, ordinal long")
+    x, y = places._met(a, b, 100_000.0)
+    assert x.join(y, "cell").count() < 60 * len(points)
+    assert {r.point: r.station for r in places.nearest(a, b, 100_000.0).collect()} == brute(points, stations, 100_000.0)
+
+
 def test_prefix_matches_against_all_pairs(spark):
     draw = random.Random(3)
     word = lambda: "".join(draw.choice("ab카") for _ in range(draw.randrange(5)))

@@ -163,11 +163,21 @@ def _level(metres: float) -> int:
     return max(0, min(24, math.floor(math.log2(math.pi * EARTH_M / max(metres, FINEST_M)))))
 
 
+def _on_globe(lat: Column, lng: Column) -> tuple[Column, Column]:
+    """The same place with a latitude of -90 to 90: one beyond a pole lies on the other side of the globe."""
+    turned = F.pmod(lat + 90.0, F.lit(360.0))
+    inside = lat.between(-90.0, 90.0)
+    own = F.when(inside, lat).when(turned <= 180.0, turned - 90.0).otherwise(270.0 - turned)
+    return own, F.when(inside | (turned <= 180.0), lng).otherwise(lng + 180.0)
+
+
 def _met(points: DataFrame, stations: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
     """Points in every cell that a ring touches, stations in their own."""
     level = _level(metres)
-    a = points.withColumn("cell", F.explode(_around(F.col("lat"), F.col("lng"), metres, level)))
-    return a, stations.withColumn("cell", _cell(F.col("s_lat"), F.col("s_lng"), level))
+    a = points.withColumns(dict(zip(("__lat", "__lng"), _on_globe(F.col("lat"), F.col("lng")), strict=True)))
+    b = stations.withColumns(dict(zip(("__lat", "__lng"), _on_globe(F.col("s_lat"), F.col("s_lng")), strict=True)))
+    a = a.withColumn("cell", F.explode(_around(F.col("__lat"), F.col("__lng"), metres, level)))
+    return a.drop("__lat", "__lng"), b.withColumn("cell", _cell(F.col("__lat"), F.col("__lng"), level)).drop("__lat", "__lng")
 
 
 def _first_ring(points: DataFrame, stations: DataFrame, limit: float) -> float:
@@ -189,7 +199,8 @@ def nearest(points: DataFrame, stations: DataFrame, reach_m: float | None = 600.
     of the globe turn the search into equi-joins, ring by ring. The first ring is the widest in which a point meets few
     stations, told by counts of both in every cell, so a crowded city does not meet itself; each further ring is four
     times as wide, up to the reach, and only points that no smaller ring has settled go on. Cells follow the ring's
-    radius and the latitude and go round the globe and over the poles, so all within the ring is met. A point is settled
+    radius and the latitude and go round the globe and over the poles, so all within the ring is met; latitudes beyond a
+    pole, which the distance takes as they are, have the cell of the place that they stand for. A point is settled
     when its best walk is shorter than the walk to the ring's edge: no farther station can tie with it."""
     limit = math.pi * EARTH_M if reach_m is None else min(float(reach_m), math.pi * EARTH_M)
     known = stations.where("s_lat is not null and s_lng is not null")
