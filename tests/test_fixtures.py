@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,12 @@ def test_quantiles_of_groups(spark):
     got = {r.g: r.cut for r in similarity.group_quantile(spark.createDataFrame(rows, "g string, v double"), "g", "v", 0.9, 8).collect()}
     assert set(got) == {"a", "b", "c"}
     assert all(abs(got[g] - np.quantile([v for k, v in rows if k == g], 0.9)) < 1e-9 for g in got)
+
+
+def test_vectors_come_in_small_batches():
+    """A batch of vectors is bounded whatever the number of texts in the batch read; each text keeps its own."""
+    texts = [f"word{n} and more" for n in range(1000)]
+    parts = list(vectors.hash_encoded.func(iter([pd.Series(texts)])))
+    assert max(map(len, parts)) <= 256
+    own = [v for p in parts for v in p]
+    assert len(own) == 1000 and all((own[n] == vectors.hash_vector(texts[n]).astype("float32")).all() for n in (0, 500, 999))

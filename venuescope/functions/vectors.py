@@ -31,29 +31,41 @@ def keyword_boost(hits: Column) -> Column:
     return F.when(hits > 0, F.least(0.75 + 0.05 * hits, F.lit(0.95)))
 
 
-@lru_cache(maxsize=200_000)
-def _word_buckets(word: str, buckets: int, least: int, most: int) -> tuple[int, ...]:
+#: Words whose buckets a worker remembers, and texts whose vectors it holds at a time.
+REMEMBERED, ENCODED = 50_000, 128
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _word_buckets(word: str, buckets: int, least: int, most: int) -> bytes:
+    """The buckets of a word's n-grams, packed: boxed numbers would take eight times the memory."""
     padded, out = f" {word} ", []
     for n in range(least, most + 1):
         out += [int.from_bytes(hashlib.md5(padded[i : i + n].encode()).digest()[8:], "big") % buckets for i in range(max(1, len(padded) - n + 1))]
         if len(padded) <= n:
             break
-    return tuple(out)
+    return np.array(out, np.int32).tobytes()
 
 
 def hash_vector(text: str, buckets: int = 4096, least: int = 2, most: int = 5) -> np.ndarray:
     """Counts of the character n-grams of padded words by hash, at length 1."""
-    found = [b for word in text.lower().split() for b in _word_buckets(word, buckets, least, most)]
-    out = np.bincount(np.array(found, np.int64), minlength=buckets).astype(float)
+    found = b"".join(_word_buckets(word, buckets, least, most) for word in text.lower().split())
+    out = np.bincount(np.frombuffer(found, np.int32), minlength=buckets).astype(float)
     norm = np.sqrt((out * out).sum())
     return out / norm if norm else out
 
 
+def _in_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Batches of few texts: a vector may be far larger than its text, so a batch of vectors is bounded by their number."""
+    for batch in batches:
+        for at in range(0, len(batch), ENCODED):
+            yield batch.iloc[at : at + ENCODED]
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def hash_encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Vectors for text where no sentence model is at hand."""
-    for batch in batches:
-        yield pd.Series([hash_vector(t or "").astype(np.float32) for t in batch])
+    for part in _in_parts(batches):
+        yield pd.Series([hash_vector(t or "").astype(np.float32) for t in part])
 
 
 def encoder(candidates: list[Callable[[], Callable[[list[str]], np.ndarray]]]):
@@ -63,8 +75,8 @@ def encoder(candidates: list[Callable[[], Callable[[list[str]], np.ndarray]]]):
     @F.pandas_udf(ArrayType(FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = first_that_loads(candidates)
-        for batch in batches:
-            yield pd.Series([np.asarray(v, np.float32) for v in model(batch.fillna("").tolist())])
+        for part in _in_parts(batches):
+            yield pd.Series([np.asarray(v, np.float32) for v in model(part.fillna("").tolist())])
 
     return encode
 
