@@ -1,5 +1,6 @@
 """Positions, nearest stations and name lookups against brute force, on data that crowd or stretch them."""
 
+import hashlib
 import math
 import random
 
@@ -41,6 +42,17 @@ def test_no_range_holds_more_than_its_share(spark, monkeypatch, ids):
     assert len(sizes) == 4 and max(sizes) <= 2 * len(ids) / len(sizes)
 
 
+def test_joined_texts_of_a_group(spark):
+    """Every text counts, in order, whatever its batch; missing ones do not, and a group may have no name."""
+    rows = [("a", n, f"t{n}") for n in range(25_000)] + [("a", 30_000, None), (None, 2, "y"), (None, 1, ""), ("b", 1, None), ("c", 1, "")]
+    draw = random.Random(2)
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "place string, review long, t string").repartition(6)
+    want = {"a": "\n".join(f"t{n}" for n in range(25_000)), None: "\ny", "c": ""}
+    got = places.joined_md5(df, ["place"], "t", "review").collect()
+    assert {r.place: r.texts for r in got} == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()} and len(got) == 3
+
+
 def test_slice_by_position(spark):
     df = spark.createDataFrame([(n * n, n) for n in range(50)] + [(None, 99)], "ordinal long, n int")
     assert sorted(r.n for r in places.row_slice(df, 10, 13).collect()) == [10, 11, 12]

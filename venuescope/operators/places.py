@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,38 @@ def stratified(rows: DataFrame, stratum: str, key: str, most: int = 100, seed: i
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(stratum).orderBy(place, key))).where(F.col("__n") <= most).drop("__n")
 
 
+def joined_md5(rows: DataFrame, group: list[str], text: str, ordinal: str, name: str = "texts") -> DataFrame:
+    """(group, name): the MD5 of each group's texts in order, joined by line ends; groups without a text have no row.
+
+    Such a sum takes its bytes in order, so a group is one task's work; but no task gathers it: the sorted rows, which
+    spill to disk, are read a batch at a time, and only the sum's state is kept."""
+    own = rows.where(F.col(text).isNotNull()).select(*(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), F.col(ordinal).alias("o"), F.col(text).cast("binary").alias("t"))
+    keys = [f"g{i}" for i in range(len(group))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        done: list = []
+        for b in batches:
+            types = [f.type for f in b.schema][:-1]
+            for *key, text in zip(*(c.to_pylist() for c in b.columns[:-1]), b.column(len(keys)), strict=True):
+                if own is None or key != last:
+                    if own is not None:
+                        done.append((*last, own.hexdigest()))
+                    last, own = key, hashlib.md5(usedforsecurity=False)
+                else:
+                    own.update(b"\n")
+                own.update(text.as_buffer())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [*types, pa.string()], strict=True)], [*keys, "md5"])
+                done = []
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*last, own.hexdigest()), [*types, pa.string()], strict=True)], [*keys, "md5"])
+
+    dealt = own.repartition(*keys).sortWithinPartitions(*keys, "o", "t").select(*keys, "t")
+    schema = ", ".join([*(f"{k} {t}" for k, t in dealt.dtypes[:-1]), "md5 string"])
+    return dealt.mapInArrow(run, schema).toDF(*group, name)
+
+
 def only_blank(rows: DataFrame, place: str, text: str) -> DataFrame:
     """Places that have rows but no review that is not blank."""
     told = F.max((F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "") != "").cast("int"))

@@ -238,9 +238,10 @@ def row_slice(spark, d):
 def group_evaluation(spark, d):
     rows = _rows(spark, d)
     n = F.size(ft.sentences(F.col("review_text")))
-    # What stands for the texts of a place is a sum of hashes, so that no task gathers them.
-    told = F.conv(F.substring(F.md5(F.concat_ws(":", "review", F.coalesce("review_text", F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("decimal(28,0)")
-    return rows.groupBy("place", "district").agg(F.count_if(ft.strip(F.col("review_text")) != "").alias("reviews"), F.sum(n).alias("sentences"), r6(F.avg("rating"), "rating"), r6(F.avg(b.lexicon(F.col("review_text"))), "sentiment"), F.sum(told).cast("string").alias("texts"))
+    told = rows.groupBy("place", "district").agg(F.count_if(ft.strip(F.col("review_text")) != "").alias("reviews"), F.sum(n).alias("sentences"), r6(F.avg("rating"), "rating"), r6(F.avg(b.lexicon(F.col("review_text"))), "sentiment"))
+    texts = places.joined_md5(rows, ["place", "district"], "review_text", "review", "texts").toDF("own_place", "own_district", "texts")
+    same = F.col("place").eqNullSafe(F.col("own_place")) & F.col("district").eqNullSafe(F.col("own_district"))
+    return told.join(texts, same, "left").drop("own_place", "own_district")
 
 
 def char_ngram_cosine(spark, d):
@@ -432,7 +433,7 @@ ORACLE_SQL = {
     "group_evaluation": rf"""{W}, s AS (SELECT *, {_strip("review_text")} AS t FROM reviews),
         n AS (SELECT *, len(list_filter(list_transform(string_split_regex(t, '[.!?]\s+'), lambda x: {_strip("x")}), lambda x: length(x) > 1)) AS k FROM s)
         SELECT place, district, CAST(count_if(t <> '') AS BIGINT) AS reviews, CAST(sum(CASE WHEN t = '' THEN 0 WHEN k = 0 THEN 1 ELSE k END) AS BIGINT) AS sentences, round((avg(rating)) + 1e-10::DOUBLE, 6) + 0.0 AS rating,
-        round((avg({b.LEXICON_SQL.format("review_text")})) + 1e-10::DOUBLE, 6) + 0.0 AS sentiment, CAST(sum(CAST('0x' || substr(md5(CAST(review AS VARCHAR) || ':' || coalesce(review_text, '')), 1, 15) AS BIGINT)) AS VARCHAR) AS texts FROM n GROUP BY place, district""",
+        round((avg({b.LEXICON_SQL.format("review_text")})) + 1e-10::DOUBLE, 6) + 0.0 AS sentiment, md5(string_agg(review_text, chr(10) ORDER BY review)) AS texts FROM n GROUP BY place, district""",
     "char_ngram_cosine": f"""{W}, t AS (SELECT review, lower(review_text) AS t FROM reviews),
         g AS (SELECT review, substr(t, CAST(i AS INT), 3) AS g, count(*) AS n FROM (SELECT review, t, unnest(range(1, length(t) - 1)) AS i FROM t WHERE length(t) >= 3) GROUP BY ALL),
         l AS (SELECT review, sqrt(sum(n * n)) AS len FROM g GROUP BY review), d AS (SELECT a.review, sum(a.n * c.n) AS dot FROM g a JOIN g c ON c.review = a.review + 1 AND a.g = c.g GROUP BY a.review)
