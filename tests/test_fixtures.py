@@ -278,3 +278,24 @@ def test_vectors_come_in_small_batches():
     assert max(map(len, parts)) <= 256
     own = [v for p in parts for v in p]
     assert len(own) == 1000 and all((own[n] == vectors.hash_vector(texts[n]).astype("float32")).all() for n in (0, 500, 999))
+
+
+def test_next_cosine_without_a_table_of_grams(spark):
+    """Keys that repeat, have gaps, are below 0 or lie over the end of a block; and no row is made for a gram."""
+    texts = {k: f"text {abs(k) % 7} and {'more ' * (abs(k) % 3)}\U0001f600" for k in [*range(-70, 70), 1000, (1 << 60) - 1, 1 << 60]} | {5: "ab", 200: "aaaa", 201: "bbbb"}
+    rows = [*texts.items(), (7, "again more"), (None, "text 1"), (8, None)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    counts: dict = {}
+    for k, t in rows:
+        for i in range(len(t or "") - 2):
+            own = counts.setdefault(k, {})
+            own[t[i : i + 3]] = own.get(t[i : i + 3], 0) + 1
+    want = {}
+    for k, a in counts.items():
+        b = counts.get(k + 1, {}) if k is not None else {}
+        if dot := sum(n * b.get(g, 0) for g, n in a.items()):
+            want[k] = dot / math.sqrt(sum(n * n for n in a.values())) / math.sqrt(sum(n * n for n in b.values()))
+    found = similarity.next_cosine(df, "k", "t")
+    got = {r.k: r.cosine for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert (1 << 60) - 1 in got and -1 in got and 63 in got and found._jdf.queryExecution().toString().count("Join") == 0

@@ -88,3 +88,18 @@ def first_that_loads(candidates: list[Callable]) -> Callable[[list[str]], list]:
         except (ImportError, OSError, RuntimeError, ValueError):  # a model that is not there
             continue
     return lambda texts: [hash_vector(t) for t in texts]
+
+
+def gram_counts(text: str, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The character n-grams of a text (of up to three characters), each packed into a number, ascending, and their counts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = max(0, len(codes) - size + 1)
+    return np.unique(sum(codes[i : i + n] << 21 * i for i in range(size)), return_counts=True)
+
+
+def added_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of two texts together."""
+    grams, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    out = np.zeros(len(grams), np.int64)
+    np.add.at(out, at, np.concatenate([a[1], b[1]]))
+    return grams, out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEVIATION, LEGACY_MERGES, LEGACY_RENAMES, NEUTRAL
+from ..functions.vectors import added_counts, gram_counts
 
 #: Bytes of anchors that tasks are given at a time; more are given block after block, each with a pass over the sentences.
 BLOCK_BYTES = 64 << 20
@@ -185,3 +186,51 @@ def audited(scores: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataF
     told = joined.withColumn("adjusted", new)
     log = told.where("delta is not null").select("place", "factor", F.round("fsi", 2).alias("original"), F.round("adjusted", 2).alias("adjusted"), F.round("delta", 2).alias("delta"), "reason")
     return told.select("place", "factor", F.col("adjusted").alias("fsi")), log
+
+
+#: Bits of a key that rows of one block differ in.
+BLOCK = 6
+
+
+def next_cosine(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, cosine): how like the counts of character trigrams are of each key's text and the next key's, where any is shared.
+
+    Texts are dealt out in blocks of consecutive keys, the first of a block to the block before too, so that each meets the
+    next one where it lies: one shuffle of the texts, no table of their grams. Texts of one key count together."""
+    own = rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where((F.length("t") >= 3) & F.col("k").isNotNull())
+    block = F.shiftright("k", BLOCK)
+    first = F.col("k").bitwiseAND(F.lit((1 << BLOCK) - 1)) == 0
+    dealt = own.withColumn("block", F.explode(F.when(first, F.array(block, block - 1)).otherwise(F.array(block))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The block, key and counts of the key before, and of the one that is read.
+        last = own = None
+
+        def told() -> list[tuple]:
+            if last is None or last[0] != own[0] or last[1] + 1 != own[1]:
+                return []
+            a, b = last[2], own[2]
+            at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+            dot = int((a[1] * b[1][at])[b[0][at] == a[0]].sum())
+            return [(own[1] - 1, dot, int((a[1] * a[1]).sum()), int((b[1] * b[1]).sum()))] if dot else []
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k", "dot", "a", "b"])
+
+        for b in batches:
+            out = []
+            for block, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                counts = gram_counts(t.as_py())
+                if own is not None and own[:2] == (block, k):
+                    own = (block, k, added_counts(own[2], counts))
+                    continue
+                if own is not None:
+                    out += told()
+                last, own = own, (block, k, counts)
+            if out:
+                yield packed(out)
+        if own is not None and (out := told()):
+            yield packed(out)
+
+    sums = dealt.select("block", "k", "t").repartition("block").sortWithinPartitions("block", "k").mapInArrow(run, "k long, dot long, a long, b long")
+    return sums.select(F.col("k").alias(key), (F.col("dot") / (F.sqrt("a") * F.sqrt("b"))).alias("cosine"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import sentiment as fs
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import keywords, places, spans
+from ..operators import keywords, places, similarity, spans
 from ..sources import bindings as b
 from ..sources import files, kept
 from .common import r6, s6
@@ -247,14 +247,7 @@ def group_evaluation(spark, d):
 def char_ngram_cosine(spark, d):
     """Cosine of two texts' character n-gram counts, exactly: what hashed vectors come near to."""
     rows = _rows(spark, d).select("review", F.lower("review_text").alias("t"))
-    grams_of = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(*(F.element_at(c, i + k) for k in range(3))))
-    chars = ft.let(F.split("t", ""), grams_of)
-    grams = rows.where("length(t) >= 3").select("review", F.explode(chars).alias("g")).groupBy("review", "g").agg(F.count(F.lit(1)).alias("n"))
-    norms = grams.groupBy("review").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
-    a, c = grams.alias("a"), grams.select((F.col("review") - 1).alias("review"), "g", "n").alias("c")
-    dots = a.join(c, ["review", "g"]).groupBy("review").agg(F.sum(F.col("a.n") * F.col("c.n")).alias("dot"))
-    after = norms.select((F.col("review") - 1).alias("review"), F.col("len").alias("len2"))
-    return dots.join(norms, "review").join(after, "review").select("review", r6(F.col("dot") / (F.col("len") * F.col("len2")), "cosine"))
+    return similarity.next_cosine(rows, "review", "t").select("review", r6("cosine"))
 
 
 def hash_encode(spark, d):
