@@ -1,6 +1,7 @@
 """Hand-made cases whose results follow from the definitions."""
 
 import math
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -10,7 +11,7 @@ from venuescope import constants as C
 from venuescope.functions import format as ff
 from venuescope.functions import geo, text, vectors
 from venuescope.functions import sentiment as fs
-from venuescope.operators import evidence, images, mapping, places, recommend, similarity, spans, stats
+from venuescope.operators import evidence, images, keywords, mapping, places, recommend, similarity, spans, stats
 
 
 @pytest.fixture(scope="module")
@@ -299,3 +300,17 @@ def test_next_cosine_without_a_table_of_grams(spark):
     got = {r.k: r.cosine for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
     assert (1 << 60) - 1 in got and -1 in got and 63 in got and found._jdf.queryExecution().toString().count("Join") == 0
+
+
+def test_frequent_words_with_few_held(spark, monkeypatch):
+    """Words dropped on the way, of which a task holds no more than twice what it sends, do not change the outcome."""
+    monkeypatch.setattr(keywords, "SENT", 8)
+    monkeypatch.setattr(keywords, "HELD", 20)
+    monkeypatch.setattr(keywords, "TAKEN", 2)
+    rows = [("a" if n % 2 else "b", " ".join(f"w{n * 31 % 97} w{m}" for m in range(6 + n % 5))) for n in range(300)] + [("c", None)]
+    df = spark.createDataFrame(rows, "place string, t string").coalesce(2)
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:12]
+    got = keywords.tfidf(df, "place", "t", [], 12).collect()
+    assert {r.word for r in got} == set(top)
+    assert {(r.place, r.word): r.tf for r in got} == Counter((g, w) for g, t in rows for w in (t or "").split() if w in top)

@@ -17,8 +17,8 @@ from ..sources.kept import written
 TOKEN, SPACE = re.compile(r"\b\w\w+\b"), re.compile(r"[ \t\n\x0b\f\r]+")
 #: Words that a task sends of its own in the first round, and that all tasks are given in the second.
 SENT, SURVIVORS = 200_000, 500_000
-#: A task sends what it has counted once it holds so many words of groups.
-HELD = 1_000_000
+#: A task sends what it has counted once it holds so many words of groups; rows that it takes out of an Arrow batch at a time.
+HELD, TAKEN = 200_000, 256
 #: What a counted row is: a word of the vocabulary, the same as written, all words as written, or the rows.
 WORD, PLAIN, ALL, ROW = range(4)
 
@@ -26,24 +26,37 @@ WORD, PLAIN, ALL, ROW = range(4)
 def frequent(rows: DataFrame, text: str, stop_words: list[str], features: int) -> DataFrame:
     """(word): words that may be among the `features` most frequent ones of all texts, and surely all that are.
 
-    Each task sends the words that it has met most, `SENT` at most, and the largest count that it has kept back. A
+    Each task sends the words that it has met most, `SENT` at most, and the largest count that it has kept back. It holds
+    twice as many at most: beyond, it drops the rarer half and adds the largest count dropped to what it keeps back. A
     word's true count is thus between the sum of what was sent and that sum with all that may have been kept back;
     words that cannot reach the last place by sums sent are out. Should words that no task has sent be able to
     reach it, all is done again with more sent."""
     stop, most = frozenset(stop_words), SENT
 
     def sending(most: int):
+        def halved(own: Counter) -> tuple[Counter, int]:
+            """The words met most, and the largest count of the others."""
+            if len(own) <= most:
+                return own, 0
+            least = sorted(own.values(), reverse=True)[most]
+            kept = Counter({w: n for w, n in own.items() if n > least})
+            return kept, least
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: Counter = Counter()
+            back = 0
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    if t:
-                        own.update(TOKEN.findall(t.lower()))
+                for t in b.column(0):
+                    if t.is_valid:
+                        own.update(TOKEN.findall(t.as_py().lower()))
+                    if len(own) > 2 * most:
+                        own, dropped = halved(own)
+                        back += dropped
             for w in stop:
                 own.pop(w, None)
-            sent = own.most_common(most + 1)
-            if len(sent) > most:
-                sent.append(("", sent.pop()[1]))
+            own, dropped = halved(own)
+            back += dropped
+            sent = [*own.items(), *([("", back)] if back else [])]
             if sent:
                 words, counts = zip(*sent, strict=True)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(counts, pa.int64())})
@@ -80,19 +93,22 @@ def counted(rows: DataFrame, group: str, text: str, words: DataFrame, plain: boo
             g, k, w, n = zip(*told, strict=True) if told else ((), (), (), ())
             return pa.RecordBatch.from_pydict({"g": pa.array(g, group_type), "kind": pa.array(k, pa.int32()), "word": pa.array(w, pa.string()), "n": pa.array(n, pa.int64())})
 
-        for b in batches:
-            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own[g, ROW][""] += 1
-                if t:
-                    own[g, WORD].update(TOKEN.findall(t.lower()))
-                    if plain:
-                        spaced = [w for w in SPACE.split(t) if w]
-                        own[g, PLAIN].update(spaced)
-                        own[g, ALL][""] += len(spaced)
-            if sum(map(len, own.values())) > HELD:
-                yield sent(b.schema.field(0).type)
-                own.clear()
-            last = b.schema.field(0).type
+        for whole in batches:
+            last = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, TAKEN):
+                b = whole.slice(at, TAKEN)
+                for g, t in zip(b.column(0), b.column(1), strict=True):
+                    g, t = g.as_py(), t.as_py()
+                    own[g, ROW][""] += 1
+                    if t:
+                        own[g, WORD].update(TOKEN.findall(t.lower()))
+                        if plain:
+                            spaced = [w for w in SPACE.split(t) if w]
+                            own[g, PLAIN].update(spaced)
+                            own[g, ALL][""] += len(spaced)
+                if sum(map(len, own.values())) > HELD:
+                    yield sent(last)
+                    own.clear()
         if own:
             yield sent(last)
 
