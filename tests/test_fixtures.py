@@ -1,9 +1,13 @@
 """Hand-made cases whose results follow from the definitions."""
 
+import hashlib
+import itertools
 import math
+import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +285,39 @@ def test_vectors_come_in_small_batches():
     assert len(own) == 1000 and all((own[n] == vectors.hash_vector(texts[n]).astype("float32")).all() for n in (0, 500, 999))
 
 
+def test_an_ngram_is_hashed_once(monkeypatch):
+    """New words of known n-grams cost no hashing; 4,096 words of four letters have 2,040 n-grams, 22 a word."""
+    calls, md5 = [], vectors.hashlib.md5
+    monkeypatch.setattr(vectors.hashlib, "md5", lambda gram: calls.append(gram) or md5(gram))
+    words = ["".join(w) for w in itertools.product("აბგდ", repeat=6)]
+    list(vectors.hash_encoded.func(iter([pd.Series([" ".join(words[n::64]) for n in range(64)])])))
+    assert len(calls) == 2040
+
+
+def test_vectors_of_many_texts_are_those_of_each(monkeypatch, spark):
+    """Whatever is looked up at a time, and however few n-grams a worker remembers."""
+    rng = random.Random(1)
+    texts = ["", " ", "a", "a b", "\0", "\0\0 \0\0\0", "İstanbul ΣΑΣ ß", "가나다라 마바사 \U0001f600\U0001f600a\U0010ffff", "x" * 50, *("".join(rng.choices("ab 가\0\U0010ffff", k=n)) for n in range(40))]
+    want = [vectors.hash_vector(t).astype("float32") for t in texts]
+    # Worked out by hand: each gram of " ab " once.
+    own = sorted(int(hashlib.md5(g.encode()).hexdigest()[-3:], 16) for g in (" a", "ab", "b ", " ab", "ab ", " ab "))
+    assert vectors.hash_matrix(["ab"])[0].nonzero()[0].tolist() == own
+    for chunk, bits in ((1, 1), (3, 20), (7, 3), (1 << 16, 20)):
+        monkeypatch.setattr(vectors, "LOOKED_UP", chunk)
+        monkeypatch.setattr(vectors, "SLOT_BITS", bits)
+        vectors._remembered.cache_clear()
+        for found in (vectors.hash_matrix(texts), vectors.hash_matrix(texts), [vectors.hash_matrix([t])[0] for t in texts]):
+            assert all((a == b).all() for a, b in zip(found, want, strict=True))
+    vectors._remembered.cache_clear()
+    assert all((a == vectors.hash_vector(t)).all() for a, t in zip(vectors.first_that_loads([])(texts), texts, strict=True))
+    parts = list(vectors.hash_encoded_arrow.func(iter([pa.array(texts * 10), pa.array([], pa.string()), pa.array(texts)])))
+    assert max(map(len, parts)) <= 256
+    assert all(a == b.tolist() for a, b in zip((v for p in parts for v in p.to_pylist()), want * 11, strict=True))
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string").repartition(3)
+    got = {r.k: r.v for r in df.select("k", vectors.hash_encoded_arrow("t").alias("v")).collect()}
+    assert got == {-1: [0.0] * 4096, **{k: v.tolist() for k, v in enumerate(want)}}
+
+
 def test_next_cosine_without_a_table_of_grams(spark):
     """Keys that repeat, have gaps, are below 0 or lie over the end of a block; and no row is made for a gram."""
     texts = {k: f"text {abs(k) % 7} and {'more ' * (abs(k) % 3)}\U0001f600" for k in [*range(-70, 70), 1000, (1 << 60) - 1, 1 << 60]} | {5: "ab", 200: "aaaa", 201: "bbbb"}

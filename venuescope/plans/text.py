@@ -251,7 +251,7 @@ def char_ngram_cosine(spark, d):
 
 
 def hash_encode(spark, d):
-    v = fv.hash_encoded(F.col("review_text"))
+    v = fv.hash_encoded_arrow(F.col("review_text"))
     rows = _rows(spark, d).select("review", v.alias("v"))
     return rows.select("review", F.size(F.filter("v", lambda x: x > 0)).alias("filled"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
